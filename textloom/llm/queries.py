@@ -112,12 +112,35 @@ SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{a
 """
 
 
+def op2_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op7_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.language_id import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_scan_licenses": op2_scan_licenses,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mix_sources": op5_mix_sources,
         "op6_decontaminate": op6_decontaminate,
+        "op7_extract_html": op7_extract_html,
         "op8_shard": op8_shard,
+        "op9_identify_language": op9_identify_language,
         "op10_filter_urls": op10_filter_urls,
     }
 
