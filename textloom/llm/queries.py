@@ -118,6 +118,14 @@ def op2_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.suffix_dedup import repeated_passages
+
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["first"], x["end"])), ",")
+    return found.select("doc_id", "n_words", "n_repeated", "n_later", "repeated", text(F.col("spans")).alias("spans"), text(F.col("later_spans")).alias("later_spans"))
+
+
 def op7_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.html_extract import extract
 
@@ -135,6 +143,7 @@ def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_scan_licenses": op2_scan_licenses,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mix_sources": op5_mix_sources,
         "op6_decontaminate": op6_decontaminate,
