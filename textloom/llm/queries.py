@@ -112,6 +112,12 @@ SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{a
 """
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.license_scan import scan_licenses
 
@@ -142,6 +148,7 @@ def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_scan_licenses": op2_scan_licenses,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_exact_dedup": op4_exact_dedup,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.bitset import key_filter
 from textloom.llm.common import cut, shuffle_partitions, word_hashes, words
 
 #: A passage has at least so many words.
@@ -17,11 +17,6 @@ LEAST_WORDS = 50
 #: Words of a suffix's head.  A window of LEAST_WORDS - HEAD + 1 heads has one minimiser, so every
 #: run of LEAST_WORDS equal words holds the same retained suffix wherever it stands.
 HEAD = 20
-#: The filter of repeated heads is broadcast with at most this many bytes; more heads raise its
-#: share of false positives, which cost time and never a result.
-MOST_FILTER_BYTES = 64 << 20
-FILTER_HASHES = 4
-
 B = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -74,12 +69,6 @@ def _arrays(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarra
         yield i, flat[ends[i] : ends[i + 1]]
 
 
-def _bits(heads: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    low, high = heads & np.uint64(0xFFFFFFFF), heads >> np.uint64(32)
-    for i in range(FILTER_HASHES):
-        yield ((low + np.uint64(i) * high + np.uint64(i * i)) % np.uint64(size)).astype(np.int64)
-
-
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("copy"), word_hashes(F.col(text_col)).alias("w"))
 
@@ -114,30 +103,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     heads = source.select("w").mapInArrow(heads_of, "h long")
     repeated = cut(heads.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
-    n = repeated.count()
-    size = int(min(MOST_FILTER_BYTES * 8, max(64, 12 * n)))
-    size += 1 - size % 2
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size // 8 + 1, np.uint8)
-        for b in batches:
-            h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            for x in _bits(h, size):
-                np.bitwise_or.at(bits, x >> 3, (1 << (x & 7)).astype(np.uint8))
-        # Blocks of the filter that have marks; the reader joins equal ones by "or".
-        step = 1 << 16
-        at = [i for i in range(0, len(bits), step) if bits[i : i + step].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([bits[i : i + step].tobytes() for i in at], pa.binary())], names=["at", "bits"])
-
-    table = np.zeros(size // 8 + 1, np.uint8)
-    # As many rows as partitions hold blocks: the filter once for each of a few partitions at most.
-    for r in repeated.coalesce(max(1, min(8, math.ceil(n / 2_000_000)))).mapInArrow(marks, "at long, bits binary").toLocalIterator():
-        block = np.frombuffer(bytes(r["bits"]), np.uint8)
-        table[r["at"] : r["at"] + len(block)] |= block
-    shared = spark.sparkContext.broadcast(table)
+    may_repeat = key_filter(repeated, "h")
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for b in batches:
             rows, starts, sizes, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
             for i, w in _arrays(b, "w"):
@@ -145,10 +113,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     continue
                 h = rolled(w, head)
                 m = minimisers(h, width)
-                own = h[m]
-                hit = np.ones(len(m), bool)
-                for x in _bits(own, size):
-                    hit &= (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+                hit = may_repeat(h[m])
                 if hit.any():
                     at = np.flatnonzero(hit)
                     run, place, n = np.unique(rolled(w, least)[at], return_inverse=True, return_counts=True)
