@@ -40,24 +40,26 @@ COVERED = "aggregate(_spans, named_struct('e', 0, 'c', 0L), (a, x) -> named_stru
 
 
 def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """docs with the columns _w (words), _spans (sorted ranges of words inside occurrences of windows).
+    """docs with the columns _w (words), _row (a row number), _spans (sorted ranges of words inside occurrences of windows).
 
     The size of the set is counted first.  Beyond most_windows the positions of the documents are
     exploded and joined with the windows by shuffle; ranges are then gathered for each row.
     """
     windows = item_windows(items, n, item_id_col, item_text_col)
     distinct = windows.select("len", "window").distinct()
-    with_words = docs.withColumn("_w", words(F.col(text_col)))
+    # A filter on the spans must name the row number too: it then stays above this projection.
+    # Pushed below it, the filter would cut the words anew for every position.
+    with_words = docs.select("*", words(F.col(text_col)).alias("_w"), F.monotonically_increasing_id().alias("_row"))
     if distinct.count() <= most_windows:
         parts = F.split("window", " ")
         known = [(r[0], r[1], r[2]) for r in distinct.select("len", "window", F.xxhash64(F.element_at(parts, F.lit(1)), F.get(parts, F.floor(F.col("len") / 2).cast("int")), F.element_at(parts, F.lit(-1)))).collect()]
         return with_words.withColumn("_spans", _scan(known))
     sizes = [r[0] for r in distinct.select("len").distinct().collect()]
-    rows = with_words.withColumn("_row", F.monotonically_increasing_id())
+    rows = with_words
     runs = " , ".join(f"if(size(_w) >= {k}, transform(sequence(0, size(_w) - {k}), i -> named_struct('s', i, 'e', i + {k}, 'window', array_join(slice(_w, i + 1, {k}), ' '))), array())" for k in sizes)
     hits = rows.select("_row", F.explode(F.expr(f"concat({runs})")).alias("x")).select("_row", "x.*").join(distinct.select("window"), "window", "left_semi")
     spans = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_spans"))
-    return rows.join(spans, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.expr("cast(array() as array<struct<s:int,e:int>>)"))).drop("_row")
+    return rows.join(spans, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
@@ -88,10 +90,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
 
 def remove_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """The rows without any hit, all their columns unchanged."""
-    clash = [c for c in docs.columns if c in ("_w", "_spans")]
     kept = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
-    assert not clash, f"reserved column names: {clash}"
-    return find_hits(kept, items, text_col="_text", **kw).filter(F.size("_spans") == 0).select("_doc.*")
+    return find_hits(kept, items, text_col="_text", **kw).filter((F.size("_spans") == 0) & (F.col("_row") >= 0)).select("_doc.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:

@@ -8,11 +8,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bitset import key_filter
-from textloom.llm.common import cut, text_or_empty, words
+from textloom.llm.common import cut, small, text_or_empty, words
 from textloom.llm.components import components
 
 WORDS_EACH = 5
@@ -203,6 +203,11 @@ def _batch_sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield i, shingles(flat[ends[i] : ends[i + 1]])
 
 
+def word_key(words_col: str, text_col: str) -> Column:
+    """md5 of a text's words; of the text itself if it has none."""
+    return F.when(F.size(words_col) > 0, F.md5(F.array_join(words_col, " "))).otherwise(F.md5(F.concat(F.lit("\n"), text_or_empty(F.col(text_col)))))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, copy_id, n_links, n_copies.
 
@@ -224,11 +229,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty; empty texts are one another's copies and have no links.  A null doc_id can't
     become class_id unless all are null.  Repeated rows are copies of each other.  An empty table gives no rows.
     """
+    return _joined(docs, id_col, text_col).select("doc_id", "class_id", "copy_id", "n_links", "n_copies")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class: the one with the least doc_id (null last); all columns unchanged.
+
+    Of rows repeated with their doc_id and words one stays.
+    """
+    rows = cut(_joined(docs, id_col, text_col).select("doc_id", "pick", "component"))
+    kept = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "pick")).alias("_m")).select(F.col("_m.pick").alias("_pick"))
+    each = cut(rows.groupBy("pick").agg(F.count(F.lit(1)).alias("_rows")).join(kept.withColumn("_kept", F.lit(True)), F.col("pick") == F.col("_pick"), "left").filter("_kept is null or _rows > 1").select("pick", F.col("_kept").isNotNull().alias("_again")))
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), words(F.col(text_col)).alias("_w"))
+    marked = packed.select("_doc", F.xxhash64("doc_id", word_key("_w", "_t")).alias("pick")).join(small(each, each.count()), "pick", "left")
+    single = marked.filter("_again is null").select("_doc")
+    if each.filter("_again").limit(1).count():
+        single = single.unionByName(marked.filter("_again").dropDuplicates(["pick"]).select("_doc"))
+    return single.select("_doc.*")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     w = words(F.col(text_col))
-    key = F.when(F.size("_w") > 0, F.md5(F.array_join("_w", " "))).otherwise(F.md5(F.concat(F.lit("\n"), text_or_empty(F.col("_t")))))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), w.alias("_w")).withColumn("key", key)
-    slim = cut(base.select("doc_id", "key", F.xxhash64("key").alias("cid"), (F.size("_w") > 0).alias("full")))
-    classes = cut(slim.groupBy("cid", "key").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.min(F.xxhash64("doc_id", "key")).alias("_pick"), F.max("full").alias("full")))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), w.alias("_w")).withColumn("key", word_key("_w", "_t"))
+    slim = cut(base.select("doc_id", "key", F.xxhash64("doc_id", "key").alias("pick"), F.xxhash64("key").alias("cid"), (F.size("_w") > 0).alias("full")))
+    classes = cut(slim.groupBy("cid", "key").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.min("pick").alias("_pick"), F.max("full").alias("full")))
 
     hashed = base.filter(F.size("_w") > 0).select(F.xxhash64("key").alias("cid"), F.xxhash64("doc_id", "key").alias("pick"), F.transform("_w", lambda x: F.xxhash64(x)).alias("w"))
 
@@ -284,5 +308,5 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = known.select("key", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "cid").alias("component"))
     known = cut(known)
     least = known.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    table = cut(known.join(least, "component").select("key", "class_id", "copy_id", "n_links", "n_copies"))
-    return slim.select("doc_id", "key").join(table, "key").select("doc_id", "class_id", "copy_id", "n_links", "n_copies")
+    table = cut(known.join(least, "component").select("key", "component", "class_id", "copy_id", "n_links", "n_copies"))
+    return slim.select("doc_id", "key", "pick").join(table, "key")

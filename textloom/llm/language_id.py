@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -10,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,6 +209,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows are labelled one by one.  An empty table gives no rows.
     """
 
+    label = _labeller(model, switch)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInPandas(label, f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>")
+
+
+def _labeller(model: Model, switch: float):
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for b in batches:
@@ -229,9 +236,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield _report(scorer, b["doc_id"].iloc[begin:done], np.array(ids, np.int64), np.array(sizes, np.int64), switch)
                 scorer.trim()
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(label, f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>")
+    return label
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """docs without the rows that have no language (und) or none with least_score of the words; all columns unchanged."""
+    label = _labeller(model, switch)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            frame = pd.DataFrame({"doc_id": np.arange(b.num_rows), "text": b.column(text_col).to_pandas()})
+            found = [x for x in label(iter([frame]))]
+            good = np.concatenate([((x["lang_pred"] != "und") & (x["score"] >= least_score)).to_numpy() for x in found]) if found else np.zeros(0, bool)
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def _report(scorer: Scorer, doc_ids: pd.Series, ids: np.ndarray, sizes: np.ndarray, switch: float) -> pd.DataFrame:

@@ -70,6 +70,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The rows that a mix takes, with the number of whole or part repeats as column repeats."""
-    return mix(docs, **kw).filter("taken > 0").withColumn("repeats", F.ceil(F.col("taken") / F.col("size")).cast("int"))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """docs as often as the mix takes them: once for each whole epoch, and once more if at least half of the row lies before its source's cut.
+
+    All columns unchanged.  Rows that repeat with their identifier, text and source share their takes evenly, rounded up.
+    """
+    tag = F.xxhash64(id_col, text_col, source_col)
+    plan = mix(docs.select(tag.alias("_tag"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), id_col="_tag", **kw)
+    times = F.floor(F.col("taken") / F.col("size")) + F.when((F.col("taken") % F.col("size")) * 2 >= F.col("size"), 1).otherwise(0)
+    each = cut(plan.filter("taken > 0").select(F.col("doc_id").alias("_tag"), times.cast("int").alias("_n")).filter("_n > 0").groupBy("_tag").agg(F.ceil(F.avg("_n")).cast("int").alias("_n")))
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), tag.alias("_tag"))
+    return packed.join(small(each, each.count()), "_tag").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_doc.*")
