@@ -26,7 +26,8 @@ def hits(docs: DataFrame, dictionary: list[tuple[str, int, str]] = DICTIONARY, t
     # A phrase's first apostrophe is optional where the phrase itself is not found.
     bare = lambda p: F.regexp_replace(p, "^([^']*)'", "$1")
     found = F.filter(_entries(dictionary), lambda e: F.col("_low").contains(e["phrase"]) | (e["phrase"].contains("'") & F.col("_low").contains(bare(e["phrase"]))))
-    rows = base.select(*others, "_t", "_low", F.explode(found).alias("_e")).select(*others, "_t", "_low", "_e.*")
+    # Not explode(): its filter on the array's size would be pushed below and lower the text for each phrase.
+    rows = base.select(*others, "_t", "_low", F.explode_outer(found).alias("_e")).filter("_e is not null").select(*others, "_t", "_low", "_e.*")
     at = F.instr("_low", F.col("phrase")) - 1
     placed = rows.withColumn("position", F.when(at >= 0, at).otherwise(F.instr("_low", bare(F.col("phrase"))) - 1))
     start = F.greatest(F.lit(0), F.col("position") - 48)
@@ -41,10 +42,9 @@ def occurrences(text: Column, phrase: Column) -> Column:
     return ((F.length(t) - F.length(F.replace(t, phrase, F.lit("")))) / F.length(phrase)).cast("int")
 
 
-def present(kind: str, text: Column, dictionary: list[tuple[str, int, str]] = DICTIONARY) -> Column:
-    """Number of distinct phrases of a kind in a text."""
+def present(kind: str, low: Column, dictionary: list[tuple[str, int, str]] = DICTIONARY) -> Column:
+    """Number of distinct phrases of a kind in a lower-cased text, given as a column that is computed already."""
     phrases = [p for k, _, p in dictionary if k == kind]
-    low = F.lower(whole(text))
     return F.size(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: low.contains(p)))
 
 

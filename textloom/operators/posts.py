@@ -30,7 +30,7 @@ class Voice:
 def measure(posts: DataFrame, known: DataFrame, overlap: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One wide row for each post; overlap: (id, overlap), absent without history."""
     text = F.col(text_col)
-    base = posts.select(id_col, text.alias("_t"), T.sentence_lengths(text).alias("_l"), L.cta_positions(text).alias("_c"), T.first_line(text).alias("_f"))
+    base = posts.select(id_col, text.alias("_t"), T.sentence_lengths(text).alias("_l"), L.cta_positions(text).alias("_c"), T.first_line(text).alias("_f"), F.lower(T.whole(text)).alias("_low"))
     t = F.col("_t")
     n_words = count(T.whole(t), T.WORD)
     ratio = T.second_to_first(T.pronouns(t, T.SECOND), T.pronouns(t, T.FIRST), n_words)
@@ -43,15 +43,15 @@ def measure(posts: DataFrame, known: DataFrame, overlap: DataFrame | None = None
         round_half_up(T.variation(F.col("_l")), 3).alias("variation"),
         F.coalesce(F.array_max(F.transform(T.paragraphs(t), F.length)), F.lit(0)).alias("longest_paragraph"),
         F.size(T.imperatives(t)).alias("imperatives"),
-        L.present("hard", t).alias("hard_bans"),
-        L.present("soft", t).alias("soft_tells"),
+        L.present("hard", F.col("_low")).alias("hard_bans"),
+        L.present("soft", F.col("_low")).alias("soft_tells"),
         round_half_up(ratio, 2).alias("second_to_first"),
         F.size("_c").alias("ctas"),
         round_half_up(F.when(F.size("_c") > 0, F.array_min("_c") / F.greatest(F.length(T.whole(t)), F.lit(1))).otherwise(F.lit(1.0)), 4).alias("cta_ratio"),
         count(T.whole(t), T.HASHTAG).alias("hashtags"),
         count(T.whole(t), T.EMOJI).alias("emoji"),
         L.has_markdown(t).alias("markdown"),
-        L.present("authority", t).alias("authority"),
+        L.present("authority", F.col("_low")).alias("authority"),
     )
     missing = unsourced(posts, known, id_col, text_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("_m"))
     out = wide.join(missing, id_col, "left").withColumn("needs_source", F.coalesce("_m", F.lit(0))).drop("_m")

@@ -12,7 +12,9 @@ from textloom.functions.text import grams, whole, words
 def gram_rows(docs: DataFrame, keys: list[str], text_col: str = "text", n: int = 4) -> DataFrame:
     """keys, gram, size: the distinct runs of n words of each text, and how many it has."""
     base = docs.select(*keys, words(F.lower(whole(F.col(text_col)))).alias("_w")).select(*keys, grams("_w", n).alias("_g"))
-    return base.select(*keys, F.size("_g").alias("size"), F.explode("_g").alias("gram"))
+    # Not explode(): Spark would add a filter on the array's size and push it, with all that makes
+    # the array, below; each run would then cut the words anew.
+    return base.select(*keys, F.size("_g").alias("size"), F.explode_outer("_g").alias("gram")).filter("gram is not null")
 
 
 def worst_overlap(posts: DataFrame, history: DataFrame, post_id: str, history_id: str, n: int = 4, most_broadcast: int = 2_000_000) -> DataFrame:

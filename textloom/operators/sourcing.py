@@ -24,7 +24,7 @@ def known_numbers(registry: DataFrame, *text_cols: str) -> DataFrame:
 def unsourced(posts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, value, claim): numeric tokens that are not structural and not known, and the sentence around the first place of each value."""
     text = whole(F.col(text_col))
-    rows = posts.select(id_col, text.alias("_t"), F.posexplode(claim_numbers(F.col(text_col))).alias("pos", "value")).withColumn("_bare", bare(F.col("value")))
+    rows = posts.select(id_col, text.alias("_t"), F.posexplode_outer(claim_numbers(F.col(text_col))).alias("pos", "value")).filter("value is not null").withColumn("_bare", bare(F.col("value")))
     open_ = rows.filter((F.col("_bare") != "") & ~F.col("_bare").rlike(STRUCTURAL))
     k = known.select(F.col("value").alias("_k"))
     missing = open_.join(k, F.col("_bare") == F.col("_k"), "left_anti").join(k, F.col("value") == F.col("_k"), "left_anti")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from textloom.plans import lexicons, posts, texts  # noqa: F401
+from textloom.plans import history, lexicons, posts, texts  # noqa: F401
 from textloom.plans.registry import QUERIES, SQL  # noqa: F401

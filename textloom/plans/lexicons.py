@@ -32,15 +32,16 @@ def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, " + ", ".join(f"(SELECT count(*) FROM {DICT} WHERE kind = '{k}' AND contains(lower({D.whole()}), phrase)) AS {k}" for k in ("hard", "soft", "vague", "authority", "sample")) + " FROM documents")
 def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *[L.present(k, F.col("text")).alias(k) for k in ("hard", "soft", "vague", "authority", "sample")])
+    low = table(spark, sf_dir, "documents").select("doc_id", F.lower(whole(F.col("text"))).alias("_low"))
+    return low.select("doc_id", *[L.present(k, F.col("_low")).alias(k) for k in ("hard", "soft", "vague", "authority", "sample")])
 
 
-@query(f"SELECT doc_id, kind, phrase, n FROM (SELECT doc_id, kind, phrase, {_occ('phrase')} AS n FROM documents, {DICT} WHERE contains({D.normalised()}, phrase)) WHERE n >= 3")
+@query(f"WITH t AS MATERIALIZED (SELECT doc_id, {D.normalised()} AS t FROM documents) SELECT doc_id, kind, phrase, n FROM (SELECT doc_id, kind, phrase, CAST((length(t) - length(replace(t, phrase, ''))) // length(phrase) AS INT) AS n FROM t, {DICT} WHERE contains(t, phrase)) WHERE n >= 3")
 def repeated_tells(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", L.normalised(F.col("text")).alias("_n"))
     low = F.col("_n")
     found = F.filter(L._entries(DICTIONARY), lambda e: low.contains(e["phrase"]))
-    rows = docs.select("doc_id", "_n", F.explode(found).alias("_e")).select("doc_id", "_e.kind", "_e.phrase", ((F.length("_n") - F.length(F.replace("_n", "_e.phrase", F.lit("")))) / F.length("_e.phrase")).cast("int").alias("n"))
+    rows = docs.select("doc_id", "_n", F.explode_outer(found).alias("_e")).filter("_e is not null").select("doc_id", "_e.kind", "_e.phrase", ((F.length("_n") - F.length(F.replace("_n", "_e.phrase", F.lit("")))) / F.length("_e.phrase")).cast("int").alias("n"))
     return rows.filter(F.col("n") >= least)
 
 
