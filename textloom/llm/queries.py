@@ -124,6 +124,46 @@ def op2_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def _regex(template: str) -> str:
+    """A license template as a pattern over words that each follow a space."""
+    import re
+
+    from textloom.llm.license_scan import tokens
+
+    out = ""
+    for piece in re.split(r"(<<[^>]*>>)", template):
+        if piece == "<<beginOptional>>":
+            out += "(?:"
+        elif piece == "<<endOptional>>":
+            out += ")?"
+        elif piece.startswith("<<var"):
+            least, most = piece.strip("<>").split(";")[1:]
+            out += f"(?: [^ ]+){{{least},{most}}}"
+        else:
+            out += "".join(f" {w}" for w in tokens(piece))
+    return out + "(?: |$)"
+
+
+def _op2_sql() -> str:
+    from textloom.llm.license_scan import BASE, TEMPLATES
+
+    def places(phrase: str) -> str:
+        w = phrase.split()
+        return f"list_filter(range(len(w)), lambda i: {' AND '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(w))})"
+
+    base = ", ".join(f"{places(p)} AS b{i}" for i, (p, _) in enumerate(BASE))
+    b = [f"CASE WHEN len(b{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(BASE)]
+    t = [f"CASE WHEN regexp_matches(s, '{_regex(x)}') THEN '{label}' END" for label, x in TEMPLATES]
+    joined = lambda xs: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))), ',')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+     f AS (SELECT doc_id, len(w) AS n, ' ' || array_to_string(w, ' ') AS s, {base} FROM d),
+     g AS (SELECT doc_id, n, list_concat(b0, list_concat(b1, b2)) AS p, {joined(b)} AS base_labels, {joined(t)} AS own, {joined(b + t)} AS labels FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, base_labels, labels,
+       CASE WHEN own <> '' THEN 1.0::DOUBLE WHEN len(p) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM g
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.suffix_dedup import repeated_passages
 
@@ -162,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_mix_sources": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_filter_urls": OP10_SQL}
+    return {"op2_scan_licenses": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op5_mix_sources": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_filter_urls": OP10_SQL}
