@@ -268,3 +268,27 @@ def test_opening_reuse(spark):
 def test_report():
     text = sinks.render(40.0, "reject", [{"dimension": "hook", "ratio": 0.5, "points_earned": 6, "points_possible": 12}], [{"check_id": "h1", "passed": False, "severity": "warn", "points": 6, "measured": "9"}])
     assert "WARNINGS" in text and "1. h1" in text and "##########" in text
+
+
+def test_personas(spark):
+    from textloom.operators import persona
+
+    full = {
+        "persona_id": "full", "profile": {"display_name": "A", "role_title": "r", "domain": "pay-roll", "timezone": "UTC"}, "positioning": {"statement": "s", "problem": "p", "method": "m", "differentiator": "d"}, "publish": {"mode": "auto", "approval_required": True}, "primary_keyword": "k", "require_permission": True,
+        "proof": [{"id": f"h{i}", "tier": "1", "claim": "c", "source": "s", "permission": "granted"} for i in range(3)], "assets": [{"id": "a1", "proof_refs": ["h1", "a1"]}], "beliefs": [{"id": f"b{i}", "claim": "c", "confidence": "high", "evidence_refs": ["h0"]} for i in range(3)], "hot_takes": [],
+        "pillars": [{"id": "p1", "promise": "x", "weight": 0.6, "maps_to_beliefs": ["b0"]}, {"id": "p2", "promise": "x", "weight": 0.4, "maps_to_beliefs": []}], "segments": [{"id": "s1"}], "primary_segment": "s1", "ladder": [{"rung": 1, "id": "l1", "cta_text": "t", "serves": ["p1"]}],
+        "paid_offers": [{"name": "n", "outcome": "o", "price_model": "m", "proof_refs": ["h2"]}], "voice": None, "samples": ["Use it now. This is a sample of about fourteen words that goes on for a while here. #a"] * 3,
+    }
+    broken = full | {"persona_id": "broken", "profile": full["profile"] | {"domain": "Bad Domain", "timezone": None}, "primary_segment": "s9", "proof": [{"id": "h0", "tier": "1", "claim": "c", "source": None, "permission": "requested"}], "pillars": [{"id": "p1", "promise": "x", "weight": 0.6, "maps_to_beliefs": ["b7"]}], "samples": ["Wow \U0001f44d."]}
+    df = spark.createDataFrame([full, broken, {"persona_id": "empty"}], persona.PERSONA)
+    out = {}
+    for r in persona.gaps(df).collect():
+        out.setdefault(r.persona_id, {})[r.gap] = r.blocks
+    assert "full" not in out and out["empty"]["identity"]
+    assert out["broken"] == {"profile.timezone": False, "profile.domain_format": True, "proof.entries": False, "proof.h0.source": True, "proof.h0.permission": False, "voice.samples": False, "pov-map.pillars.weight_sum": True, "pov-map.p1.maps_to_beliefs -> b7": True}
+    refs = {(r.persona_id, r.reference, r.severity) for r in persona.references(df).collect()}
+    assert {x for x in refs if x[0] == "full"} == set() and {("broken", "audience.primary", "blocker"), ("broken", "asset a1 -> h1", "warn"), ("broken", "offer n -> h2", "warn")} <= refs
+    rules_ = {(r.persona_id, r.rule) for r in persona.publishing(df).collect()}
+    assert rules_ == {("full", "auto_needs_no_approval"), ("broken", "auto_needs_no_approval"), ("broken", "auto_without_timezone"), ("broken", "auto_with_gaps")}
+    found = {(r.persona_id, r.finding) for r in persona.voice(df).collect()}
+    assert ("broken", "voice.emoji_conflict") in found and ("broken", "voice.mean_sentence_words") in found and ("full", "voice.hashtag_usage") not in found
