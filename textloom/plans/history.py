@@ -15,7 +15,7 @@ from textloom.operators import quality as K
 from textloom.operators.similarity import total_variation
 from textloom.plans import duck as D
 from textloom.plans import posts as PQ
-from textloom.plans.registry import query
+from textloom.plans.registry import SQL, query
 from textloom.sources.tables import table
 
 
@@ -236,7 +236,18 @@ def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.slots(spark, START, DAYS, _pillars(spark, sf_dir), ["h1", "h2", "h3"], RUNGS, ("08:30", "12:00"), ("b1", "b2", "b3"))
 
 
-@query()
+_PICK = "p[(idx + 1) % len(p) + 1]"
+_HOOK = "CASE archetype " + " ".join(f"WHEN '{a}' THEN '{h}'" for a, h in G.HOOK_BY_ARCHETYPE.items()) + " END"
+_RUNG = "CASE " + " ".join(f"WHEN pillar IN {tuple(r['serves'])} AND archetype IN {tuple(r['archetypes'])}{' AND proof_ref IS NOT NULL' if r.get('needs_proof') else ''} THEN {r['rung']}" for r in RUNGS) + " ELSE 1 END"
+
+
+@query(f"""WITH RECURSIVE spine AS {_SPINE}, pool AS (SELECT list(pillar ORDER BY pos) AS p FROM ({SQL['pillar_pool']})),
+ r AS (SELECT 0 AS idx, p[1] AS pillar FROM pool UNION ALL
+  SELECT idx + 1, CASE WHEN {_PICK} <> pillar THEN {_PICK} ELSE coalesce(p[list_filter(range(len(p)), lambda i: p[i + 1] <> pillar AND p[(idx + 1 + i) % len(p) + 1] <> pillar)[1] + 1], {_PICK}) END FROM r, pool WHERE idx < (SELECT count(*) - 1 FROM spine)),
+ a AS (SELECT idx, date, pillar, {_ARCH}[idx % 10 + 1] AS archetype FROM spine JOIN r USING (idx)),
+ b AS (SELECT *, CASE WHEN archetype IN ('opinion', 'question') THEN NULL ELSE ['h1', 'h2', 'h3'][idx % 3 + 1] END AS proof_ref FROM a)
+ SELECT 'slot-2026-01-05-' || lpad(CAST(idx + 1 AS VARCHAR), 3, '0') AS id, idx, date, ['08:30', '12:00'][idx % 2 + 1] AS time, pillar, archetype, ['b1', 'b2', 'b3'][idx % 3 + 1] AS belief_ref, proof_ref, {_RUNG} AS offer_rung, {_HOOK} AS hook_family,
+ CASE WHEN archetype IN ('opinion', 'question') THEN 1 WHEN archetype = 'announcement' THEN 4 WHEN archetype = 'myth_busting' AND proof_ref IS NULL THEN 1 WHEN proof_ref IS NULL THEN 2 ELSE 3 END AS claim_level FROM b""")
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(spark, sf_dir)
 
