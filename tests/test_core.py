@@ -135,6 +135,9 @@ def test_post_rubric(spark):
     assert {"s2", "vm1", "ct1"} <= failed
     ranks = rules.ordered(found).filter("doc_id = 1").orderBy("rank").collect()
     assert [r.passed for r in ranks] == sorted(r.passed for r in ranks)
+    assert rules.scored_status(rules.totals(found, hard_block=hb)).filter("doc_id = 1").first().status == "rejected"
+    report = rules.report_rows(found).filter("doc_id = 1").first()
+    assert len(report.findings) == 24 and len(report.next_actions) == 6 and report.next_actions[0] == "s2"
     repeat = posts.measure(df, known, spark.createDataFrame([(1, 0.9)], "doc_id long, overlap double"))
     assert not rules.findings(repeat, *posts.checks()).filter("doc_id = 1 and check_id = 'vd3'").first().passed
 
@@ -292,3 +295,15 @@ def test_personas(spark):
     assert rules_ == {("full", "auto_needs_no_approval"), ("broken", "auto_needs_no_approval"), ("broken", "auto_without_timezone"), ("broken", "auto_with_gaps")}
     found = {(r.persona_id, r.finding) for r in persona.voice(df).collect()}
     assert ("broken", "voice.emoji_conflict") in found and ("broken", "voice.mean_sentence_words") in found and ("full", "voice.hashtag_usage") not in found
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from textloom.__main__ import main
+
+    assert main(["list"]) == 0 and "style_profile" in capsys.readouterr().out
+    spark.createDataFrame([(1, "One. Two.")], "doc_id long, text string").write.parquet(str(tmp_path / "t" / "documents.parquet"))
+    assert main(["run", "sentence_stats", "--tables", str(tmp_path / "t"), "--out", str(tmp_path / "o"), "--format", "json", "--fail-on-rows"]) == 1
+    assert spark.read.json(str(tmp_path / "o")).first().n_sentences == 2
+    assert main(["run", "sentence_stats", "--tables", str(tmp_path / "none")]) == 3
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", "--tables", "x"])

@@ -88,6 +88,20 @@ def totals(found: DataFrame, keys: tuple[str, ...] = ("doc_id",), bands=POST_BAN
     return out.withColumn("total", F.when(blocked, F.lit(0.0)).otherwise(F.col("computed_score"))).withColumn("band", F.when(blocked, F.lit("reject")).otherwise(band(F.col("computed_score"), bands)))
 
 
+def scored_status(scores: DataFrame, least: float = 75) -> DataFrame:
+    """scores with the status that scoring gives a post: rejected by a hard block, in_review from the least total, else draft."""
+    return scores.withColumn("status", F.when(F.col("hard_blocks") != "", "rejected").when(F.col("total") >= least, "in_review").otherwise("draft"))
+
+
+def report_rows(found: DataFrame, keys: tuple[str, ...] = ("doc_id",), actions: int = 6) -> DataFrame:
+    """keys, findings, next_actions: the ordered findings of each subject as one nested row, as reports store them."""
+    ranked = ordered(found, keys)
+    item = F.struct("rank", "check_id", "dimension", "severity", "passed", "judged", "points", "measured")
+    all_ = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("findings"))
+    open_ = F.filter("findings", lambda f: ~f["passed"] & ~f["judged"])
+    return all_.withColumn("next_actions", F.slice(F.transform(open_, lambda f: f["check_id"]), 1, actions))
+
+
 def capped(found: DataFrame, keys: tuple[str, ...] = ("doc_id",), cap: int = 59, bands=POST_BANDS) -> DataFrame:
     """keys, score, total, capped, band: a failed blocker caps the total; the band is that of the score before the cap."""
     out = found.groupBy(*keys).agg(F.sum(F.when(F.col("passed"), F.col("points")).otherwise(0)).alias("score"), F.count_if((F.col("severity") == "blocker") & ~F.col("passed")).alias("_b"))
