@@ -28,7 +28,7 @@ MOST_FITTED = 1200
 #: Cost of a change of language between two words, in nats.
 SWITCH = 8.0
 #: Words whose scores a worker keeps; words scored together.
-MOST_CACHED, BLOCK = 400_000, 2_000_000
+MOST_CACHED, BLOCK = 200_000, 200_000
 SMOOTH = 2.0
 
 
@@ -39,25 +39,18 @@ def script_of(word: str) -> str:
 class Model:
     """Character trigram models of several languages with back-off, and the scripts each is written in."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        """rows: (lang, word, count)."""
+    def __init__(self, rows: list[tuple[str, str, str, int]]):
+        """rows: (lang, kind, key, count), where kind is gram (1 to 3 characters) or script (words in it)."""
         self.langs = sorted({r[0] for r in rows})
         at = {x: i for i, x in enumerate(self.langs)}
         k = len(self.langs)
         self.counts: dict[str, np.ndarray] = {}
         seen: dict[str, np.ndarray] = {}
         size = np.zeros(k)
-        for lang, word, n in rows:
-            i = at[lang]
-            size[i] += n
-            seen.setdefault(script_of(word), np.zeros(k))[i] += n
-            w = f"^{word}$"
-            for m in (1, 2, 3):
-                for j in range(len(w) - m + 1):
-                    g = w[j : j + m]
-                    if g not in self.counts:
-                        self.counts[g] = np.zeros(k)
-                    self.counts[g][i] += n
+        for lang, kind, key, n in rows:
+            (self.counts if kind == "gram" else seen).setdefault(key, np.zeros(k))[at[lang]] += n
+            if kind == "script":
+                size[at[lang]] += n
         # A language is a candidate for a word if 1 % of its fitted words are in the word's script.
         self.masks = {s: np.where(c >= 0.01 * size, 0.0, -60.0) for s, c in seen.items()}
         self.masks = {s: m for s, m in self.masks.items() if (m == 0).any()}
@@ -190,11 +183,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             for lang, text in zip(b["_lang"], b["_text"]):
                 if text:
                     found.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-            rows = [(lang, w[:64], n) for lang, c in found.items() for w, n in c.items()]
-            yield pd.DataFrame(rows, columns=["lang", "word", "n"])
-
-    words = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model([tuple(r) for r in words.collect()])
+            rows = []
+            for lang, words in found.items():
+                grams: Counter = Counter()
+                scripts: Counter = Counter()
+                for word, n in words.items():
+                    scripts[script_of(word)] += n
+                    w = f"^{word}$"
+                    for m in (1, 2, 3):
+                        for j in range(len(w) - m + 1):
+                            grams[w[j : j + m]] += n
+                rows += [(lang, "gram", g, n) for g, n in grams.items()] + [(lang, "script", x, n) for x, n in scripts.items()]
+            yield pd.DataFrame(rows, columns=["lang", "kind", "key", "n"])
+
+    # At most as many rows as the sample's alphabets have runs of three characters.
+    found = sample.mapInPandas(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    return Model([tuple(r) for r in found.collect()])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
