@@ -80,4 +80,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     times = F.floor(F.col("taken") / F.col("size")) + F.when((F.col("taken") % F.col("size")) * 2 >= F.col("size"), 1).otherwise(0)
     each = cut(plan.filter("taken > 0").select(F.col("doc_id").alias("_tag"), times.cast("int").alias("_n")).filter("_n > 0").groupBy("_tag").agg(F.ceil(F.avg("_n")).cast("int").alias("_n")))
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), tag.alias("_tag"))
-    return packed.join(small(each, each.count()), "_tag").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_doc.*")
+    # No broadcast hint: the same join, a shuffle, at every size.
+    return packed.join(each, "_tag").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_doc.*")
