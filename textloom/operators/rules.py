@@ -67,7 +67,7 @@ def findings(measures: DataFrame, passes: Mapping[str, Column], measured: Mappin
         )
         for i, c in enumerate(rubric)
     ]
-    return measures.select(*keys, F.explode(F.array(*rows)).alias("_f")).select(*keys, "_f.*")
+    return measures.select(*keys, F.explode_outer(F.array(*rows)).alias("_f")).select(*keys, "_f.*")
 
 
 def dimensions(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
