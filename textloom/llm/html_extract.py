@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,8 +33,6 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadc
 ASIDES = frozenset("ad ads advert comment comments promo related replies reply sponsored".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CONTENT = frozenset(("article", "main"))
-#: Deeper elements count as part of their ancestor; STM trees stay this deep.
-DEEPEST = 60
 #: Pages of a host from which on a slot that never changes is template.
 LEAST_PAGES = 5
 
@@ -49,7 +48,14 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
     """(root, text runs in page order, whether an article or main element was seen); a run of ' ' separates blocks."""
     root = Node("#", "#", False, False)
     stack, runs, at, has_main = [root], [], 0, False
+    # Open elements by tag: the stack is searched only for what is in it, so deep pages take no quadratic time.
+    opened: Counter[str] = Counter()
     find = TAG.search
+
+    def close(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while (m := find(html, at)) is not None:
         if m.start() > at:
             runs.append((stack[-1], html[at : m.start()]))
@@ -61,36 +67,35 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
             continue
         runs.append((root, " "))
         if m[1]:
-            if tag in VOID:
+            if tag in VOID or not opened[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
             continue
         if tag in VOID or m[3].endswith("/") and tag in RAW:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
-            at = close.end() if close else len(html)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
+            at = end.end() if end else len(html)
             continue
         # An open paragraph ends where a block begins, as do the items that this tag follows.
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPES:
-                break
-        if closes := CLOSES.get(tag):
+        if opened["p"]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "p":
+                    close(i)
+                    break
+                if stack[i].tag in SCOPES:
+                    break
+        if (closes := CLOSES.get(tag)) and any(opened[x] for x in closes):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closes:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table", "select"):
                     break
         up = stack[-1]
-        if len(stack) > DEEPEST:
-            continue
         label, dropped, main = tag, up.dropped or tag in DROPPED, up.main
         if m[3]:
             marks = {}
@@ -111,6 +116,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
         has_main = has_main or main and not dropped
         up.kids.append(node)
         stack.append(node)
+        opened[tag] += 1
     if at < len(html):
         runs.append((stack[-1], html[at:]))
     return root, runs, has_main
@@ -166,31 +172,42 @@ def _tree(text: str) -> tuple:
 @lru_cache(20_000)
 def align(a: str, b: str) -> dict[int, int]:
     """Simple tree matching: the largest order-preserving matching of two skeletons, slot of a -> slot of b."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(x: tuple, y: tuple) -> tuple[int, list]:
-        if x[0] != y[0]:
-            return 0, []
-        if (found := memo.get((x[1], y[1]))) is not None:
-            return found
+    memo: dict[tuple[int, int], list[list[int]]] = {}
+    top = (_tree(a), _tree(b))
+    if top[0][0] != top[1][0]:
+        return {}
+    # Pairs are matched below before they are matched themselves, on a list: no depth is too much.
+    todo = [top]
+    while todo:
+        x, y = todo[-1]
+        if (x[1], y[1]) in memo:
+            todo.pop()
+            continue
         rows, cols = x[2], y[2]
+        if below := [(p, q) for p in rows for q in cols if p[0] == q[0] and (p[1], q[1]) not in memo]:
+            todo.extend(below)
+            continue
         best = [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)]
         for i, p in enumerate(rows):
             for j, q in enumerate(cols):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(p, q)[0])
-        pairs, i, j = [(x[1], y[1])], len(rows), len(cols)
+                size = 1 + memo[p[1], q[1]][-1][-1] if p[0] == q[0] else 0
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size)
+        memo[x[1], y[1]] = best
+        todo.pop()
+    pairs, todo = {}, [top]
+    while todo:
+        x, y = todo.pop()
+        pairs[x[1]] = y[1]
+        best, i, j = memo[x[1], y[1]], len(x[2]), len(y[2])
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
             elif best[i][j] == best[i][j - 1]:
                 j -= 1
             else:
-                pairs.extend(match(rows[i - 1], cols[j - 1])[1])
                 i, j = i - 1, j - 1
-        memo[x[1], y[1]] = (1 + best[-1][-1], pairs)
-        return memo[x[1], y[1]]
-
-    return dict(match(_tree(a), _tree(b))[1])
+                todo.append((x[2][i], y[2][j]))
+    return pairs
 
 
 def slot_texts(runs: list[tuple[Node, str]]) -> dict[int, str]:
