@@ -14,3 +14,17 @@ def test_deep_pages_stay_balanced():
         assert text_of(f"<body><article>{deep % 'deep<nav>menu</nav><div class=comments>words</div>'}<p>rest</p></article></body>") == "deep rest"
     shape = H.skeleton(H.parse("<div><x>" * 3000)[0])
     assert len(H.align(shape, shape)) == 6001
+
+
+def texts(spark, pages):
+    rows = [(i, f"http://h.example.org/{i}", html) for i, html in enumerate(pages)]
+    return [r.text for r in sorted(H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_copies_of_an_article_are_not_template(spark):
+    copy = "<body><nav>menu %d</nav><div class=ad>advert %d</div><article><h1>Title</h1><p>The one article</p><blockquote>its quote</blockquote></article><footer>foot %d</footer></body>"
+    copies = [copy % (i, i, i) for i in range(8)]
+    assert texts(spark, copies) == ["Title The one article its quote"] * 8
+    # Only the copies fill the quote.
+    others = [f"<body><article><h1>T{i}</h1><p>other article {i}</p></article></body>" for i in range(7)]
+    assert texts(spark, copies + others) == ["Title The one article its quote"] * 8 + [f"T{i} other article {i}" for i in range(7)]

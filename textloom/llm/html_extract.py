@@ -33,7 +33,7 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadc
 ASIDES = frozenset("ad ads advert comment comments promo related replies reply sponsored".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CONTENT = frozenset(("article", "main"))
-#: Pages of a host from which on a slot that never changes is template.
+#: Different articles of a host from which on a slot that never changes is template.
 LEAST_PAGES = 5
 
 
@@ -219,49 +219,79 @@ def slot_texts(runs: list[tuple[Node, str]]) -> dict[int, str]:
     return {s: t for s, p in parts.items() if (t := " ".join(" ".join(p).split()))}
 
 
+def kept(runs: list[tuple[Node, str]], has_main: bool) -> list[tuple[Node, str]]:
+    """The runs outside dropped parts, of article or main elements if there are any; and the separators."""
+    return [(n, t) for n, t in runs if t == " " or not n.dropped and (n.main or not has_main)]
+
+
 def main_text(root: Node, runs: list[tuple[Node, str]], has_main: bool, template: frozenset[int] = frozenset()) -> str:
-    """The runs outside dropped parts, of article or main elements if there are any, without template slots."""
-    kept = [" " if t == " " else entities.unescape(t) if "&" in t else t for n, t in runs if t == " " or not n.dropped and (n.main or not has_main) and n.slot not in template]
-    return " ".join("".join(kept).split())
+    """The kept runs without template slots; with them where nothing else is kept."""
+    whole = kept(runs, has_main)
+    for drop in (template, ()) if template else ((),):
+        found = " ".join("".join(entities.unescape(t) if "&" in t else t for n, t in whole if t == " " or n.slot not in drop).split())
+        if found:
+            break
+    return found
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+def evidence(runs: list[tuple[Node, str]], has_main: bool) -> list[tuple[int, int, int]]:
+    """(slot, digest of its text, article) of the kept slots.
+
+    The article is the digest of the longest other slot: copies of one article, whatever menus and
+    adverts stand beside them, are one article to each of its slots.
+    """
+    texts = slot_texts(kept(runs, has_main))
+    first, second = [*sorted(texts, key=lambda s: (-len(texts[s]), texts[s])), -1, -1][:2]
+    digests = {s: _digest(t) for s, t in texts.items()}
+    return [(s, d, digests.get(second, d) if s == first else digests[first]) for s, d in digests.items()]
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, skeleton, constant array<int>): each host's commonest tree and the slots of it whose text never changes.
+    """(host, wrapper, constant array<int>): each host's commonest tree and the slots of it whose text never changes.
 
-    Each page becomes the skeleton of its tree and a digest of the text in each slot.  All pages
-    of a host are aligned with its commonest skeleton by simple tree matching; counts and least
-    and largest digests of the aligned slots are combined before they are shuffled.  A slot is constant if
-    it has one and the same text on at least LEAST_PAGES pages, on every page where it has any,
-    and some other slot of the host varies.
+    Each page becomes the skeleton of its tree and a digest of the text in each kept slot.  All pages
+    of a host are aligned with its commonest skeleton by simple tree matching.  A slot is constant if
+    it has one and the same text beside at least LEAST_PAGES different articles, wherever it has any;
+    copies of an article count once.  All counts are combined before they are shuffled.
     """
     slim = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found: dict[tuple[str, str, int], list[int]] = {}
+            found: Counter[tuple] = Counter()
             for host, html in zip(b["host"], b["html"]):
-                root, runs, _ = parse(html or "")
+                root, runs, has_main = parse(html or "")
                 shape = skeleton(root)
-                for slot, text in [(-1, ""), *slot_texts(runs).items()]:
-                    d = xxhash.xxh64_intdigest(text) >> 1
-                    x = found.setdefault((host, shape, slot), [0, d, d])
-                    x[0], x[1], x[2] = x[0] + 1, min(x[1], d), max(x[2], d)
-            yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["host", "skeleton", "slot", "n", "lo", "hi"])
+                sid = _digest(shape)
+                found[host, sid, shape, -1, 0, 0] += 1
+                found.update((host, sid, None, *x) for x in evidence(runs, has_main))
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["host", "sid", "shape", "slot", "digest", "article", "n"])
 
-    combine = [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    slots = slim.mapInPandas(digest, "host string, skeleton string, slot int, n long, lo long, hi long").groupBy("host", "skeleton", "slot").agg(*combine)
-    slots = cut(slots)
-    common = slots.filter("slot = -1").groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("wrapper"), F.sum("n").alias("pages"))
+    # Only the rows of slot -1 carry a skeleton; the others refer to its digest.
+    keys = ["host", "sid", "shape", "slot", "digest", "article"]
+    slots = cut(slim.mapInPandas(digest, "host string, sid long, shape string, slot int, digest long, article long, n long").groupBy(keys).agg(F.sum("n").alias("n")))
+    shapes = slots.filter("slot = -1")
+    common = shapes.groupBy("host").agg(F.max_by("shape", F.struct("n", "shape")).alias("wrapper"))
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["slot"] = [align(s, w).get(x, -1) for s, w, x in zip(b["skeleton"], b["wrapper"], b["slot"])]
-            yield b[b["slot"] >= 0][["host", "slot", "n", "lo", "hi"]]
+            places = []
+            for shape, wrapper in zip(b["shape"], b["wrapper"]):
+                found = align(shape, wrapper)
+                places.append([found.get(x, -1) for x in range(shape.count("("))])
+            b["places"] = places
+            yield b[["host", "sid", "places"]]
 
-    matched = slots.filter("slot >= 0").join(common, "host").mapInPandas(aligned, "host string, slot int, n long, lo long, hi long").groupBy("host", "slot").agg(*combine)
-    same = (F.col("lo") == F.col("hi")) & (F.col("n") >= LEAST_PAGES)
-    constant = matched.groupBy("host").agg(F.collect_list(F.when(same, F.col("slot"))).alias("constant"), F.count_if(~same).alias("varying"))
-    return common.join(constant, "host", "left").select("host", "wrapper", F.when(F.col("varying") > 0, F.col("constant")).otherwise(F.expr("cast(array() as array<int>)")).alias("constant"))
+    places = cut(shapes.join(common, "host").select("host", "sid", "shape", "wrapper").mapInPandas(aligned, "host string, sid long, places array<int>"))
+    placed = slots.filter("slot >= 0").join(small(places, places.count(), MOST_BROADCAST), ["host", "sid"]).select("host", F.expr("places[slot]").alias("place"), "digest", "article").filter("place >= 0")
+    # How many different articles stand beside each text of a place, and beside its commonest.
+    counts = placed.distinct().groupBy("host", "place", "digest").count().groupBy("host", "place").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+    constant = counts.filter((F.col("most") == F.col("n")) & (F.col("n") >= LEAST_PAGES)).groupBy("host").agg(F.collect_list("place").alias("constant"))
+    return common.join(constant, "host").select("host", "wrapper", "constant")
 
 
 #: Wrappers that are broadcast at most, counted first; beyond, Spark shuffles and splits hot hosts.
@@ -271,8 +301,8 @@ MOST_BROADCAST = 20_000
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Slots of the page that align with constant slots of its host's wrapper are template; the
-    varying ones are content, except in navigation, headers, footers, sidebars, notices,
+    Slots of the page that align with constant slots of its host's wrapper are template, unless nothing
+    else is kept of the page; the varying ones are content, except in navigation, headers, footers, sidebars, notices,
     adverts, forms, scripts, styles, comments and hidden parts.  Where a page has article or main elements, only they count.
     Character references are decoded, white space becomes one space, blocks are joined in page order by one space.
 
