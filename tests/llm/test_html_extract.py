@@ -28,3 +28,21 @@ def test_copies_of_an_article_are_not_template(spark):
     # Only the copies fill the quote.
     others = [f"<body><article><h1>T{i}</h1><p>other article {i}</p></article></body>" for i in range(7)]
     assert texts(spark, copies + others) == ["Title The one article its quote"] * 8 + [f"T{i} other article {i}" for i in range(7)]
+
+
+def test_every_layout_has_a_wrapper(spark, monkeypatch):
+    posts = [f"<body><article><h1>T{i}</h1><p>post number {i}</p></article></body>" for i in range(12)]
+    wikis = [f"<body><main><div class=lead><h2>W{i}</h2></div><table><tr><td>entry number {i}</td></tr></table><p class=fixed>notice</p></main></body>" for i in range(6)]
+    assert texts(spark, posts + wikis) == [f"T{i} post number {i}" for i in range(12)] + [f"W{i} entry number {i}" for i in range(6)]
+    monkeypatch.setattr(H, "FIRST_LOOK", 1)  # several rounds
+    assert texts(spark, posts + wikis) == [f"T{i} post number {i}" for i in range(12)] + [f"W{i} entry number {i}" for i in range(6)]
+
+
+def test_one_other_wording_leaves_a_template(spark):
+    page = "<body><article><h1>T%d</h1><p>post number %d</p><p class=fixed>%s</p></article></body>"
+    found = texts(spark, [page % (i, i, "notice" if i else "Notice!") for i in range(20)])
+    assert found == [f"T{i} post number {i}" for i in range(20)]
+    # A part that the commonest skeleton lacks.
+    plain = "<body><article><h1>T%d</h1><p>post number %d</p></article></body>"
+    found = texts(spark, [page % (i, i, "notice") if i < 6 else plain % (i, i) for i in range(20)])
+    assert found == [f"T{i} post number {i}" for i in range(20)]

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, small
@@ -33,8 +34,14 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadc
 ASIDES = frozenset("ad ads advert comment comments promo related replies reply sponsored".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CONTENT = frozenset(("article", "main"))
-#: Different articles of a host from which on a slot that never changes is template.
+#: Different articles of a host from which on a slot that hardly ever changes is template.
 LEAST_PAGES = 5
+#: Share of a slot's articles that its commonest text stands beside, from which on the slot is template.
+SHARE = 0.9
+#: Skeletons of a host that match in this share of their nodes, dropped parts aside, share a wrapper.
+SIMILAR = 0.7
+#: Skeletons of a host among which wrappers are looked for in a first round; each round doubles them.
+FIRST_LOOK = 64
 
 
 class Node:
@@ -123,7 +130,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
 
 
 def skeleton(root: Node) -> str:
-    """The tree's labels, repeated neighbours as one; numbers each node's slot in preorder."""
+    """The tree's labels without dropped parts, repeated neighbours as one; numbers each node's slot in preorder."""
     out: list[str] = []
     count = 0
     todo: list = [[root]]
@@ -139,6 +146,8 @@ def skeleton(root: Node) -> str:
         merged: list[list[Node]] = []
         for n in group:
             for kid in n.kids:
+                if kid.dropped:
+                    continue
                 if merged and merged[-1][0].label == kid.label:
                     merged[-1].append(kid)
                 else:
@@ -210,6 +219,42 @@ def align(a: str, b: str) -> dict[int, int]:
     return pairs
 
 
+@lru_cache(4096)
+def _labels(text: str) -> Counter[str]:
+    return Counter(x for x in text.split(" ") if x not in ("(", ")"))
+
+
+def nearest(shape: str, found: tuple[str, ...]) -> int:
+    """The wrapper that matches the skeleton best, the first of equals; -1 if none is SIMILAR."""
+    best, at = 0.0, -1
+    mine = _labels(shape)
+    for i, w in enumerate(found):
+        other = _labels(w)
+        both = mine.total() + other.total()
+        # No matching is larger than what the labels have in common.
+        if 2 * (mine & other).total() / both >= max(SIMILAR, best) and (share := 2 * len(align(shape, w)) / both) >= SIMILAR and share > best:
+            best, at = share, i
+    return at
+
+
+@lru_cache(20_000)
+def places(shape: str, found: tuple[str, ...]) -> tuple[int, ...]:
+    """The place in the host of each slot of a skeleton.
+
+    A slot that aligns with one of the nearest wrapper is in its place; another one is in a place
+    named by that of its parent and its label, so parts that the wrapper lacks have places as well.
+    """
+    at = nearest(shape, found)
+    same = align(shape, found[at]) if at >= 0 else {}
+    out: list[int] = []
+    todo = [(_tree(shape), at)]
+    while todo:
+        (label, slot, kids), up = todo.pop()
+        out.append(_digest(f"{at} {same[slot]}" if slot in same else f"{up}/{label}"))
+        todo.extend((kid, out[-1]) for kid in reversed(kids))
+    return tuple(out)
+
+
 def slot_texts(runs: list[tuple[Node, str]]) -> dict[int, str]:
     """The text of each slot that has one; white space collapsed."""
     parts: dict[int, list[str]] = {}
@@ -250,13 +295,53 @@ def evidence(runs: list[tuple[Node, str]], has_main: bool) -> list[tuple[int, in
     return [(s, d, digests.get(second, d) if s == first else digests[first]) for s, d in digests.items()]
 
 
+def layouts(shapes: DataFrame) -> DataFrame:
+    """(host, wrappers): a JSON list of each host's wrappers, from its different skeletons (host, sid, shape, n).
+
+    The commonest skeleton of a host is a wrapper, and so is each next one that is similar to no wrapper before it.
+    A round looks at a bounded number of a host's skeletons and then drops, in all tasks, those that are
+    similar to a wrapper of the round; rounds go on until no skeleton is left, so a host with
+    very many skeletons is not one task's work.
+    """
+    look = FIRST_LOOK
+    rest, rounds = shapes.select("host", "sid", "shape", "n"), []
+
+    def lead(b: pd.DataFrame) -> pd.DataFrame:
+        found: list[str] = []
+        for shape in b.sort_values("rank")["shape"]:
+            if nearest(shape, tuple(found)) < 0:
+                found.append(shape)
+        return pd.DataFrame({"host": b["host"].iloc[:1], "led": [json.dumps(found)]})
+
+    def unlike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[nearest(x, _listed(w)) < 0 for x, w in zip(b["shape"], b["led"])]][["host", "sid", "shape", "n"]]
+
+    while True:
+        rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "sid"))
+        led = cut(rest.withColumn("rank", rank).filter(F.col("rank") <= look).select("host", "shape", "rank").groupBy("host").applyInPandas(lead, "host string, led string"))
+        rounds.append(led.withColumn("round", F.lit(len(rounds))))
+        rest = cut(rest.join(small(led.select("host", "led"), led.count(), MOST_BROADCAST), "host").mapInPandas(unlike, "host string, sid long, shape string, n long"))
+        if rest.isEmpty():
+            break
+        look *= 2
+    one = reduce(DataFrame.unionAll, rounds).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("round", "led"))).alias("_all"))
+    return one.select("host", F.to_json(F.flatten(F.transform("_all", lambda x: F.from_json(x["led"], "array<string>")))).alias("wrappers"))
+
+
+@lru_cache(4096)
+def _listed(wrappers: str) -> tuple[str, ...]:
+    return tuple(json.loads(wrappers))
+
+
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, constant array<int>): each host's commonest tree and the slots of it whose text never changes.
+    """(host, wrappers, constant array<long>): each host's wrappers, one for each group of similar
+    skeletons, and the places in them whose text hardly ever changes.
 
-    Each page becomes the skeleton of its tree and a digest of the text in each kept slot.  All pages
-    of a host are aligned with its commonest skeleton by simple tree matching.  A slot is constant if
-    it has one and the same text beside at least LEAST_PAGES different articles, wherever it has any;
-    copies of an article count once.  All counts are combined before they are shuffled.
+    Each page becomes the skeleton of its tree and a digest of the text in each kept slot, and is
+    aligned with the nearest wrapper of its host by simple tree matching.  A place is constant if its commonest text
+    stands beside at least LEAST_PAGES different articles, and beside SHARE of those that the
+    place has any text beside; copies of an article count once.  All counts are combined before they are shuffled.
     """
     slim = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
 
@@ -275,23 +360,21 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     keys = ["host", "sid", "shape", "slot", "digest", "article"]
     slots = cut(slim.mapInPandas(digest, "host string, sid long, shape string, slot int, digest long, article long, n long").groupBy(keys).agg(F.sum("n").alias("n")))
     shapes = slots.filter("slot = -1")
-    common = shapes.groupBy("host").agg(F.max_by("shape", F.struct("n", "shape")).alias("wrapper"))
+    found = cut(layouts(shapes))
+    hosts = found.count()
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            places = []
-            for shape, wrapper in zip(b["shape"], b["wrapper"]):
-                found = align(shape, wrapper)
-                places.append([found.get(x, -1) for x in range(shape.count("("))])
-            b["places"] = places
+            b["places"] = [list(places(shape, _listed(w))) for shape, w in zip(b["shape"], b["wrappers"])]
             yield b[["host", "sid", "places"]]
 
-    places = cut(shapes.join(common, "host").select("host", "sid", "shape", "wrapper").mapInPandas(aligned, "host string, sid long, places array<int>"))
-    placed = slots.filter("slot >= 0").join(small(places, places.count(), MOST_BROADCAST), ["host", "sid"]).select("host", F.expr("places[slot]").alias("place"), "digest", "article").filter("place >= 0")
+    at = cut(shapes.join(small(found, hosts, MOST_BROADCAST), "host").select("host", "sid", "shape", "wrappers").mapInPandas(aligned, "host string, sid long, places array<long>"))
+    placed = slots.filter("slot >= 0").join(small(at, at.count(), MOST_BROADCAST), ["host", "sid"]).select("host", F.expr("places[slot]").alias("place"), "digest", "article")
     # How many different articles stand beside each text of a place, and beside its commonest.
     counts = placed.distinct().groupBy("host", "place", "digest").count().groupBy("host", "place").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
-    constant = counts.filter((F.col("most") == F.col("n")) & (F.col("n") >= LEAST_PAGES)).groupBy("host").agg(F.collect_list("place").alias("constant"))
-    return common.join(constant, "host").select("host", "wrapper", "constant")
+    fixed = (F.col("most") >= F.col("n") * SHARE) & (F.col("most") >= LEAST_PAGES)
+    constant = counts.filter(fixed).groupBy("host").agg(F.collect_list("place").alias("constant"))
+    return small(found, hosts, MOST_BROADCAST).join(constant, "host").select("host", "wrappers", "constant")
 
 
 #: Wrappers that are broadcast at most, counted first; beyond, Spark shuffles and splits hot hosts.
@@ -301,7 +384,7 @@ MOST_BROADCAST = 20_000
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Slots of the page that align with constant slots of its host's wrapper are template, unless nothing
+    Slots of the page in constant places of its host's wrappers are template, unless nothing
     else is kept of the page; the varying ones are content, except in navigation, headers, footers, sidebars, notices,
     adverts, forms, scripts, styles, comments and hidden parts.  Where a page has article or main elements, only they count.
     Character references are decoded, white space becomes one space, blocks are joined in page order by one space.
@@ -312,18 +395,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     found = cut(wrappers(pages, url_col, html_col).filter(F.size("constant") > 0))
     # The aliases avoid clashes with columns of the input.
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
-    joined = slim.join(small(found, found.count(), MOST_BROADCAST), "host", "left").select("page_id", "url", "html", "wrapper", "constant")
+    joined = slim.join(small(found, found.count(), MOST_BROADCAST), "host", "left").select("page_id", "url", "html", "wrappers", "constant")
     kind = slim.schema["page_id"].dataType.simpleString()
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for html, wrapper, constant in zip(b["html"], b["wrapper"], b["constant"]):
+            for html, found, constant in zip(b["html"], b["wrappers"], b["constant"]):
                 root, runs, has_main = parse(html or "")
                 template: frozenset[int] = frozenset()
-                if wrapper:
+                if found:
                     fixed = set(constant)
-                    template = frozenset(s for s, w in align(skeleton(root), wrapper).items() if w in fixed)
+                    template = frozenset(s for s, p in enumerate(places(skeleton(root), _listed(found))) if p in fixed)
                 out.append(main_text(root, runs, has_main, template))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": [len(x) for x in out]})
 
