@@ -46,3 +46,18 @@ def test_one_other_wording_leaves_a_template(spark):
     plain = "<body><article><h1>T%d</h1><p>post number %d</p></article></body>"
     found = texts(spark, [page % (i, i, "notice") if i < 6 else plain % (i, i) for i in range(20)])
     assert found == [f"T{i} post number {i}" for i in range(20)]
+
+
+def test_the_varying_text_is_the_content(spark):
+    pages = [f"<body><div class=slogan>our site</div><div class=content><h1>T{i}</h1><p>the body of page number {i}</p></div><article class=card>teaser</article></body>" for i in range(8)]
+    assert texts(spark, pages) == [f"T{i} the body of page number {i}" for i in range(8)]
+    assert texts(spark, pages[:1]) == ["our site T0 the body of page number 0 teaser"]
+
+
+def test_names_are_whole(spark):
+    article = "<article><h2 class=section-header>Head</h2><p class=share-price>Price</p><p>body</p></article>"
+    for around in ("<div class='page no-sidebar'>%s</div>", "<div class='site header-fixed'>%s</div>", "<div class=menu>%s</div>", "<form id=page>%s</form>", "<div class=banner><form><div>%s</div></form></div>"):
+        assert text_of(f"<body><nav>nav</nav>{around % article}<div class=site-footer>foot</div></body>") == "Head Price body"
+    for name in ("sidebar", "site-header", "cookie-notice", "ad_2", "comments-area"):
+        assert text_of(f"<body>{article}<div class={name}><p>part</p></div></body>") == text_of(f"<body><div><h2>Head</h2>Price<p>body</p></div><div id={name}><p>part</p></div></body>") == "Head Price body"
+    assert text_of("<body><article><p>short</p></article><div class=related><article>one</article><article>two</article></div></body>") == "short"

@@ -24,12 +24,16 @@ ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video textarea title xmp noframes noembed".split())
-DROPPED = frozenset("head nav header footer aside form button select menu dialog fieldset dialog".split())
+DROPPED = frozenset("head nav header footer aside button select menu dialog fieldset dialog".split())
+#: Dropped unless they hold the main content.
+FORMS = frozenset(("form",))
 #: An opening tag of the first kind closes an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
 SCOPES = frozenset("ul ol dl table body html article section div main td th".split())
-#: Words in class or id, and roles, of parts that are not the article.
+#: Names in class or id of parts that are not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header menu nav navbar navigation newsletter notice notices popup promo promoted promotion related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words that a name may have beside those of MARKS; with any other (no-sidebar, header-fixed, section-header, share-price) it is no mark.
+AFFIXES = frozenset("site global primary secondary top bottom left right inner outer wrap wrapper container box bar block area list links items buttons icons posts slot unit zone".split())
 #: Classes of articles that are not the page's own.
 ASIDES = frozenset("ad ads advert comment comments promo related replies reply sponsored".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -45,16 +49,57 @@ FIRST_LOOK = 64
 
 
 class Node:
-    __slots__ = ("label", "tag", "kids", "dropped", "main", "slot")
+    __slots__ = ("label", "tag", "kids", "hard", "soft", "dropped", "core", "main", "slot")
 
-    def __init__(self, label: str, tag: str, dropped: bool, main: bool):
-        self.label, self.tag, self.kids, self.dropped, self.main, self.slot = label, tag, [], dropped, main, -1
+    def __init__(self, label: str, tag: str, hard: bool, soft: bool, core: bool, up: Node | None):
+        # hard, soft and core are of the element itself: dropped by its tag, role or hiding; a form or
+        # dropped by a name; article or main.  dropped and main count what it lies in, too.
+        self.label, self.tag, self.kids, self.hard, self.soft, self.core, self.slot = label, tag, [], hard, soft, core, -1
+        self.dropped = hard or soft or up is not None and up.dropped
+        self.main = core or up is not None and up.main
+
+
+@lru_cache(20_000)
+def marked(name: str) -> bool:
+    """Whether a class or id names a part that is not the article: sidebar, site-header, cookie-notice, ad_2."""
+    parts = [x for x in re.split(r"[_-]+", name.lower()) if x and not x.isdigit()]
+    return any(x in MARKS for x in parts) and all(x in MARKS or x in AFFIXES for x in parts)
+
+
+def unwrap(root: Node, runs: list[tuple[Node, str]]) -> None:
+    """Takes the mark off forms and marked names that hold the page's main content.
+
+    That is an article or main element with more text than all that is kept of the page; or
+    paragraphs, on a page without such elements of which nothing is kept.
+    """
+    order = [root]
+    for n in order:
+        order.extend(n.kids)
+    sizes: Counter[int] = Counter()
+    left = 0
+    for n, t in runs:
+        size = len(t.strip())
+        sizes[id(n)] += size
+        left += 0 if n.dropped else size
+    bare = not left and not any(n.core for n in order)
+    # Text of each element, and the most in one article of it, less what stays dropped inside.
+    total, most = {}, {}
+    for n in reversed(order):
+        kids = [k for k in n.kids if not (k.hard or k.soft)]
+        total[id(n)] = sizes[id(n)] + sum(total[id(k)] for k in kids)
+        most[id(n)] = total[id(n)] if n.core or bare and n.tag == "p" else max((most[id(k)] for k in kids), default=0)
+        if n.soft and most[id(n)] > left:
+            n.soft = False
+    root.dropped = False
+    for n in order:
+        for k in n.kids:
+            k.dropped = n.dropped or k.hard or k.soft
 
 
 def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
-    """(root, text runs in page order, whether an article or main element was seen); a run of ' ' separates blocks."""
-    root = Node("#", "#", False, False)
-    stack, runs, at, has_main = [root], [], 0, False
+    """(root, text runs in page order, whether text of an article or main element is kept); a run of ' ' separates blocks."""
+    root = Node("#", "#", False, False, False, None)
+    stack, runs, at, lost = [root], [], 0, False
     # Open elements by tag: the stack is searched only for what is in it, so deep pages take no quadratic time.
     opened: Counter[str] = Counter()
     find = TAG.search
@@ -103,7 +148,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
                 if stack[i].tag in ("ul", "ol", "dl", "table", "select"):
                     break
         up = stack[-1]
-        label, dropped, main = tag, up.dropped or tag in DROPPED, up.main
+        label, hard, soft, core = tag, tag in DROPPED, tag in FORMS, tag in CONTENT
         if m[3]:
             marks = {}
             for a in ATTR.finditer(m[3]):
@@ -111,22 +156,21 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
             if names := marks.get("class", "").split():
                 label = f"{tag}.{re.sub(r'[^A-Za-z_-]', '', names[0])}"
             if tag not in ("html", "body", "article", "main"):
-                said = set(re.split(r"[\s_-]+", f"{marks.get('class', '')} {marks.get('id', '')}".lower()))
-                dropped = dropped or bool(said & MARKS) or marks.get("role", "").lower() in ROLES or "hidden" in marks or marks.get("aria-hidden") == "true"
+                hard = hard or marks.get("role", "").lower() in ROLES or "hidden" in marks or marks.get("aria-hidden") == "true"
+                soft = soft or any(map(marked, (*names, *marks.get("id", "").split())))
             elif tag == "article":
-                dropped = dropped or bool({x.lower() for x in names} & ASIDES)
-            if marks.get("role", "").lower() in CONTENT:
-                main = True
-        if tag in CONTENT:
-            main = True
-        node = Node(label, tag, dropped, main)
-        has_main = has_main or main and not dropped
+                hard = hard or bool({x.lower() for x in names} & ASIDES)
+            core = core or marks.get("role", "").lower() in CONTENT
+        node = Node(label, tag, hard, soft, core, up)
+        lost = lost or core and node.dropped
         up.kids.append(node)
         stack.append(node)
         opened[tag] += 1
     if at < len(html):
         runs.append((stack[-1], html[at:]))
-    return root, runs, has_main
+    if lost or all(n.dropped or t.isspace() for n, t in runs):
+        unwrap(root, runs)
+    return root, runs, any(n.main and not n.dropped and not t.isspace() for n, t in runs)
 
 
 def skeleton(root: Node) -> str:
@@ -264,16 +308,23 @@ def slot_texts(runs: list[tuple[Node, str]]) -> dict[int, str]:
     return {s: t for s, p in parts.items() if (t := " ".join(" ".join(p).split()))}
 
 
-def kept(runs: list[tuple[Node, str]], has_main: bool) -> list[tuple[Node, str]]:
-    """The runs outside dropped parts, of article or main elements if there are any; and the separators."""
-    return [(n, t) for n, t in runs if t == " " or not n.dropped and (n.main or not has_main)]
+def chosen(runs: list[tuple[Node, str]], has_main: bool, template: frozenset[int] = frozenset()) -> list[tuple[Node, str]]:
+    """The runs outside dropped parts and template slots; of article and main elements alone where these hold most of that text."""
+    left = [(n, t) for n, t in runs if t == " " or not n.dropped and n.slot not in template]
+    if has_main:
+        sizes = [0, 0]
+        for n, t in left:
+            sizes[n.main] += len(t.strip())
+        if sizes[True] and sizes[True] >= sizes[False]:
+            return [(n, t) for n, t in left if t == " " or n.main]
+    return left
 
 
 def main_text(root: Node, runs: list[tuple[Node, str]], has_main: bool, template: frozenset[int] = frozenset()) -> str:
-    """The kept runs without template slots; with them where nothing else is kept."""
-    whole = kept(runs, has_main)
-    for drop in (template, ()) if template else ((),):
-        found = " ".join("".join(entities.unescape(t) if "&" in t else t for n, t in whole if t == " " or n.slot not in drop).split())
+    """The chosen runs; those with the template where nothing else is left."""
+    found = ""
+    for slots in (template, frozenset()) if template else (template,):
+        found = " ".join("".join(entities.unescape(t) if "&" in t else t for _, t in chosen(runs, has_main, slots)).split())
         if found:
             break
     return found
@@ -284,15 +335,17 @@ def _digest(text: str) -> int:
 
 
 def evidence(runs: list[tuple[Node, str]], has_main: bool) -> list[tuple[int, int, int]]:
-    """(slot, digest of its text, article) of the kept slots.
+    """(slot, digest of its text, article) of the slots outside dropped parts.
 
-    The article is the digest of the longest other slot: copies of one article, whatever menus and
-    adverts stand beside them, are one article to each of its slots.
+    The article is the digest of the longest other slot of the chosen ones: copies of one article, whatever
+    menus and adverts stand beside them, are one article to each of its slots.
     """
-    texts = slot_texts(kept(runs, has_main))
-    first, second = [*sorted(texts, key=lambda s: (-len(texts[s]), texts[s])), -1, -1][:2]
+    texts = slot_texts([(n, t) for n, t in runs if t == " " or not n.dropped])
+    pool = slot_texts(chosen(runs, has_main))
+    first, second = [*sorted(pool, key=lambda s: (-len(pool[s]), pool[s])), -1, -1][:2]
     digests = {s: _digest(t) for s, t in texts.items()}
-    return [(s, d, digests.get(second, d) if s == first else digests[first]) for s, d in digests.items()]
+    mine = {s: _digest(t) for s, t in pool.items()}
+    return [(s, d, mine.get(second, d) if s == first else mine[first]) for s, d in digests.items()]
 
 
 def layouts(shapes: DataFrame) -> DataFrame:
@@ -386,7 +439,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Slots of the page in constant places of its host's wrappers are template, unless nothing
     else is kept of the page; the varying ones are content, except in navigation, headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles, comments and hidden parts.  Where a page has article or main elements, only they count.
+    adverts, forms, scripts, styles, comments and hidden parts.  Article and main elements alone count where they hold
+    most of the content.  A form or an element with such a name is no such part if it holds the main content.
     Character references are decoded, white space becomes one space, blocks are joined in page order by one space.
 
     Null or empty html gives empty text.  Pages without a host share the wrapper of the empty
