@@ -119,8 +119,9 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prior: np
     s[starts] += prior
     text = np.repeat(np.arange(len(sizes)), sizes)
     best = np.add.reduceat(s, starts, axis=0).argmax(1)
-    # A text keeps one label throughout if no run of words gains more than one switch costs by
-    # another label: a detour pays a switch for each run at least.
+    # A text keeps its best label throughout if no run of words gains more than half a switch by
+    # another label: a path with k runs in other labels pays k - 1 switches at least, and with
+    # k = 1 and none it is another label throughout, which is not better.
     against = s - s[np.arange(n), best[text]][:, None]
     run = np.cumsum(against, axis=0)
     first = run[starts] - against[starts]
@@ -134,7 +135,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prior: np
     low = np.minimum.accumulate(low - shift, axis=0) + shift
     gain = np.maximum.reduceat(run - low, starts, axis=0).max(1)
     labels[:] = best[text]
-    mixed = np.flatnonzero(gain > switch - 1e-6)
+    mixed = np.flatnonzero(gain > switch / 2 - 1e-6)
     if len(mixed):
         _decode(s, starts[mixed], sizes[mixed], switch, labels)
     return labels
