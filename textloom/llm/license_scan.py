@@ -34,6 +34,8 @@ TEMPLATES = (
     ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
     ("spdx", "SPDX-License-Identifier: <<var;1;1>>"),
 )
+#: Templates whose variables are open-ended: beyond their maximum they take any words up to the template's next first word.
+OPEN = frozenset(("copyright-reserved",))
 _TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -43,9 +45,10 @@ def tokens(text: str) -> list[str]:
 
 
 class Automaton:
-    """Token automaton of one template: word edges, free edges (any word) and empty edges."""
+    """Token automaton of one template: word edges, free edges (any word), empty edges and, in an open one, loops at the ends of variables."""
 
-    def __init__(self, template: str):
+    def __init__(self, template: str, open_ended: bool = False):
+        self.loops: set[int] = set()
         self.words: list[dict[str, int]] = [{}]
         self.free: list[list[int]] = [[]]
         self.empty: list[list[int]] = [[]]
@@ -66,6 +69,8 @@ class Automaton:
                     at = to
                 for e in ends:
                     self.empty[e].append(at)
+                if open_ended:
+                    self.loops.add(at)
             else:
                 for w in tokens(piece):
                     to = self._state()
@@ -74,6 +79,8 @@ class Automaton:
         if opened:
             raise ValueError("an optional region is not closed")
         self.final = at
+        # A loop ends at the next place where the template may start, so scans stay linear.
+        self.stops = self.first_words() if self.loops else set()
 
     def _state(self) -> int:
         self.words.append({})
@@ -98,15 +105,18 @@ class Automaton:
 
     def accept(self, text: list[str], start: int) -> int:
         """End of the longest accepted run of words from start, or -1."""
-        states, end = self.closed({0}), -1
+        states, end, looping = self.closed({0}), -1, bool(self.loops)
         for i in range(start, len(text)):
             step = {self.words[s][text[i]] for s in states if text[i] in self.words[s]}
             step.update(t for s in states for t in self.free[s])
+            if looping and text[i] not in self.stops:
+                step.update(states & self.loops)
             if not step:
                 break
             states = self.closed(step)
             if self.final in states:
-                end = i + 1
+                # A loop takes the nearest end.
+                end, looping = i + 1, False
         return end
 
 
@@ -116,7 +126,7 @@ def compiled(base: tuple = BASE, templates: tuple = TEMPLATES) -> tuple[dict[str
     table: dict[str, list] = {}
     for kind, pairs in ((True, [(label, phrase) for phrase, label in base]), (False, list(templates))):
         for label, template in pairs:
-            a = Automaton(template)
+            a = Automaton(template, not kind and label in OPEN)
             for w in a.first_words():
                 table.setdefault(w, []).append((label, kind, a))
     return table, sorted(table)
