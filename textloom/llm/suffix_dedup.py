@@ -1,4 +1,4 @@
-"""Passages that repeat across documents: sparse suffix arrays at minimiser positions."""
+"""Passages that repeat across documents: fixed windows of words, prefiltered by minimisers."""
 
 from __future__ import annotations
 
@@ -81,9 +81,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     1. Each document's suffixes at minimiser positions are retained, about 1 in 16, as the hash of their head.
     2. Counting equal heads (combined on the map side) finds those that repeat; a filter of
        bounded size holds them.
-    3. Around each retained suffix whose head may repeat, the match is extended left and right: all runs of
-       `least` words that have this suffix as their minimiser are hashed.
-    4. The runs are sorted by sampled splitters over (hash, document, place), so that a passage
+    3. All runs of `least` words whose minimiser is a retained suffix with a head that may repeat are
+       hashed.  These fixed windows replace a sort of the suffixes and the extension of matches.
+    4. The hashes of the runs are sorted by sampled splitters over (hash, document, place), so that a passage
        in very many documents spans several ranges, and each is compared with its neighbours;
        runs at the edges of a range are compared with those of the other ranges.
     """
