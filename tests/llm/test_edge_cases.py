@@ -173,32 +173,86 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.repeated_passages(empty).collect() == []
 
 
-def test_suffix_dedup_against_brute_force(spark):
+def brute_passages(texts, least=50):
+    """For each text the words in runs that another one has, and those in runs with an earlier place."""
+    places = {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        for j in range(len(w) - least + 1):
+            places.setdefault(tuple(w[j : j + least]), []).append((i, j))
+    cover, later = [set() for _ in texts], [set() for _ in texts]
+    for v in places.values():
+        for n, (i, j) in enumerate(v):
+            if len({x for x, _ in v}) > 1:
+                cover[i].update(range(j, j + least))
+            if n:
+                later[i].update(range(j, j + least))
+    return cover, later
+
+
+@pytest.mark.parametrize("held, keys", [(20_000, 40_000_000), (4, 40_000_000), (20_000, 0), (0, 0)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, held, keys):
+    # Suffixes in tasks, windows of frequent heads in ranges, and suffixes picked by a join.
+    monkeypatch.setattr(suffix_dedup, "MOST_HELD", held)
+    monkeypatch.setattr(suffix_dedup, "MOST_KEYS", keys)
     r = random.Random(11)
     passages = [prose(70 + i, r.randint(45, 90)) for i in range(6)]
-    texts = []
-    for i in range(40):
+    # Passages that part on either side: the neighbour in sorted order isn't the one that matches on the left.
+    passages += [" ".join(passages[0].split()[:30] + prose(80 + i, 40).split()) for i in range(3)]
+    passages += [" ".join(prose(90 + i, 25).split() + passages[0].split()[10:]) for i in range(3)]
+    texts = ["", prose(5, 49), "same " * 130, "same " * 60]
+    for i in range(60):
         parts = [prose(1000 + i, r.randint(0, 60))]
         for _ in range(r.randint(0, 3)):
             parts += [r.choice(passages), prose(2000 + i, r.randint(0, 30))]
         texts.append(" ".join(parts))
+    texts += texts[-5:]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {x.doc_id: x for x in suffix_dedup.repeated_passages(df).collect()}
-    places = {}
+    cover, later = brute_passages(texts)
+    spread = lambda spans: {x for s in spans for x in range(s["first"], s["end"])}
+    for i in range(len(texts)):
+        assert spread(found[i].spans) == cover[i] and spread(found[i].later_spans) == later[i]
+        assert (found[i].n_words, found[i].n_repeated, found[i].n_later) == (len(words(texts[i])), len(cover[i]), len(later[i]))
+
+
+def test_suffixes_with_equal_hashes_are_told_apart_by_their_words():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [r.choices("abc", k=12) for _ in range(60)]
+    least, width = 6, 4
+    rows_ = sorted((" ".join(t[5 : 5 + least]), i, " ".join(t[2:5])) for i, t in enumerate(texts))
+    batch = pa.record_batch(
+        [pa.array(x, k) for x, k in zip(zip(*((i, 0, 7, 5, 0, 3, before, following) for following, i, before in rows_)), [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.string()] * 2)],
+        names=["doc_id", "copy", "h", "at", "lo", "hi", "before", "following"],
+    )
+    found = suffix_dedup._matches(batch, least, width).to_pylist()
+    windows = {}
     for i, t in enumerate(texts):
-        w = words(t)
-        for j in range(len(w) - 49):
-            places.setdefault(tuple(w[j : j + 50]), []).append((i, j))
-    cover, later = {i: set() for i in range(40)}, {i: set() for i in range(40)}
-    for v in places.values():
-        for n, (i, j) in enumerate(v):
-            if len({x for x, _ in v}) > 1:
-                cover[i].update(range(j, j + 50))
-            if n:
-                later[i].update(range(j, j + 50))
-    assert any(cover.values())
-    for i in range(40):
-        assert (found[i].n_repeated, found[i].n_later) == (len(cover[i]), len(later[i]))
+        for a in range(width):
+            windows.setdefault((a, *t[5 - a : 5 - a + least]), []).append((i, 5 - a))
+    want = {}
+    for places in windows.values():
+        for i, j in places:
+            if len(places) > 1:
+                want.setdefault(i, set()).update(range(j, j + least))
+    assert want and {x["doc_id"]: {w for s in x["across"] for w in range(s["first"], s["end"])} for x in found} == want
+    assert np.array_equal(suffix_dedup.common_prefixes(np.array([[1, 2, 3], [1, 2, 4], [1, 2, 4]]), np.array([3, 3, 2])), [2, 2])
+
+
+def test_words_of_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from textloom.llm import tokens
+
+    texts = pa.array(["cut", "Abc DEF", None, "", "Été ÜBER x", "a" * 40 + " bb", "漢字" * 30, "  ", "tail-"]).slice(1)
+    for piece in (3, 7, 50, 1 << 20):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        for most in (1, 20, 10_000):
+            got = [f.joined(f.bounds[i], f.bounds[i + 1]).decode() for lo, hi, f in tokens.cut_texts(texts, most) for i in range(hi - lo)]
+            assert got == [" ".join(words(t)) for t in texts.to_pylist()]
 
 
 def test_mix(docs, empty):
