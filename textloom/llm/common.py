@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,19 +38,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine (master local) gets a temporary folder; a cluster has none that all
+    its executors can read, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="textloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def intermediate_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark).rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables.  Call it once results are written: frames that are still to be computed read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(intermediate_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends at replicated files,
     so a lost executor costs a re-read and not a recomputation, and later passes skip the texts."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    path = f"{intermediate_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,3 +75,21 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """Hint a broadcast of df only where its counted rows stay under the bound; else Spark shuffles."""
     return F.broadcast(df) if rows <= most else df
+
+
+#: Rows of a group from which on it is joined by broadcast.
+HOT = 1000
+
+
+def join_group(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with groups, one row for each key, which holds the number n of the key's rows.
+
+    Groups of more than HOT rows are broadcast, so their rows stay where they are; there are at most
+    rows / HOT of them, counted first.  The others are joined by shuffle.  Both tables are written ones.
+    """
+    hot = groups.filter(F.col(n) > HOT)
+    many = hot.count()
+    if not many:
+        return rows.join(groups, key)
+    wide = rows.join(small(hot, many), key)
+    return wide.unionByName(rows.join(small(hot.select(key), many), key, "left_anti").join(groups.filter(F.col(n) <= HOT), key))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bitset import key_filter
-from textloom.llm.common import cut, small, text_or_empty, words
+from textloom.llm.common import cut, join_group, small
 from textloom.llm.components import components
+from textloom.llm.tokens import cut_texts, digest, mix
 
 WORDS_EACH = 5
 THRESHOLD = 0.8
@@ -22,20 +23,14 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes compared in a step, and the posterior probability of reaching the threshold below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-9
-#: Texts of one side of a block.
-BLOCK = 1024
+#: Texts of one side of a block, and shingles of all of them.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 
 _RNG = np.random.default_rng(20_240_229)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(w: np.ndarray, n: int = WORDS_EACH) -> np.ndarray:
     """Sorted distinct hashes of all runs of n words; of all words if there are fewer."""
     if not len(w):
@@ -43,7 +38,7 @@ def shingles(w: np.ndarray, n: int = WORDS_EACH) -> np.ndarray:
     n = min(n, len(w))
     out = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + w[i : i + len(out)])
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + w[i : i + len(out)])
     return np.unique(out)
 
 
@@ -71,11 +66,23 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Boolean matrix: the pairs of signatures that no step drops."""
+def bands(signatures: np.ndarray) -> np.ndarray:
+    """(texts, BANDS): a hash of each band of each signature, different from band to band."""
+    x = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), x.shape[:2])
+    for i in range(ROWS):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + x[:, :, i])
+    return out
+
+
+def survivors(a: np.ndarray, b: np.ndarray, band: int = 0, threshold: float = THRESHOLD) -> np.ndarray:
+    """Boolean matrix: the pairs of signatures that share no band before the given one and that no step drops."""
     counts = np.zeros((len(a), len(b)), np.uint8)
     alive = np.ones(counts.shape, bool)
     pairs = None
+    x, y = bands(a)[:, :band], bands(b)[:, :band]
+    for i in range(band):
+        alive &= x[:, i][:, None] != y[:, i][None, :]
     for step, least in enumerate(least_matches(threshold)):
         span = range(step * STEP, (step + 1) * STEP)
         if pairs is None:
@@ -139,23 +146,17 @@ def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float = THRESHOLD) -> np.ndarray:
-    """Boolean matrix of the pairs with a Jaccard similarity of at least the threshold; b None: of a with itself."""
-    sa = np.array([signature(x) for x in a])
-    sb = sa if b is None else np.array([signature(x) for x in b])
-    other = a if b is None else b
-    alive = survivors(sa, sb, threshold)
-    if b is None:
-        alive &= ~np.eye(len(a), dtype=bool)
+def links(a: list[np.ndarray], b: list[np.ndarray], alive: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Boolean matrix of those of the pairs that have a Jaccard similarity of at least the threshold."""
     i, j = np.nonzero(alive)
     out = np.zeros(alive.shape, bool)
     if len(i) < 4000:
         for x, y in zip(i.tolist(), j.tolist()):
-            inter = len(np.intersect1d(a[x], other[y], assume_unique=True))
-            out[x, y] = inter >= threshold * (len(a[x]) + len(other[y]) - inter) - 1e-9
+            inter = len(np.intersect1d(a[x], b[y], assume_unique=True))
+            out[x, y] = inter >= threshold * (len(a[x]) + len(b[y]) - inter) - 1e-9
         return out
-    inter = shared(a, other)
-    na, nb = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in other])[None, :]
+    inter = shared(a, b)
+    na, nb = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
     return alive & (inter >= threshold * (na + nb - inter) - 1e-6)
 
 
@@ -172,40 +173,90 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _verify(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of a block pair, or of some whole small components: (cid, n, root), one row per linked text."""
-    out = []
-    for _, part in group.groupby("comp", sort=False):
-        left, right = part[part["side"] != 1].sort_values("cid"), part[part["side"] != 0].sort_values("cid")
-        sets = lambda p: [np.frombuffer(x, np.uint64) for x in p["s"]]
-        same = bool((part["side"] == 2).all())
+def _sides(group: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
+    """(left, right, pairs left to verify) of each bucket of a task: of itself, or of two of its blocks."""
+    for _, part in group.groupby("bucket", sort=False):
+        left, right = part[part["side"] != 1], part[part["side"] != 0]
         if not len(left) or not len(right) or len(part) < 2:
             continue
-        found = links(sets(left), None if same else sets(right))
-        i, j = np.nonzero(found)
+        same = bool((part["side"] == 2).all())
+        x, y = (np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(-1, HASHES) for p in (left, right))
+        alive = survivors(x, y, int(part["band"].iloc[0]))
         if same:
-            ids, n = left["cid"].to_numpy(), found.sum(axis=1)
-        else:
-            ids, n = np.concatenate([left["cid"], right["cid"]]), np.concatenate([found.sum(axis=1), found.sum(axis=0)])
-            j = j + len(left)
-        low = np.full(len(ids), np.iinfo(np.int64).max)
-        roots = _roots(len(ids), i, j)
-        np.minimum.at(low, roots, ids)
-        kept = n > 0
-        out.append(pd.DataFrame({"cid": ids[kept], "n": n[kept], "root": low[roots][kept]}))
+            alive = np.triu(alive, 1)
+        yield left, right, alive
+
+
+def _compare(group: pd.DataFrame) -> pd.DataFrame:
+    """The texts of each bucket that are left in any pair."""
+    out = [pd.concat([left[alive.any(axis=1)], right[alive.any(axis=0)]])[["bucket", "band", "cid", "sig"]] for left, right, alive in _sides(group)]
+    return pd.concat(out).drop_duplicates(["bucket", "cid"]) if out else group[["bucket", "band", "cid", "sig"]].iloc[:0]
+
+
+def _verify(group: pd.DataFrame) -> pd.DataFrame:
+    """(cid, n, root): of each linked text, its links in a bucket and the least text of the bucket that they reach."""
+    out = []
+    for left, right, alive in _sides(group):
+        found = links(*([np.frombuffer(x, np.uint64) for x in p["s"]] for p in (left, right)), alive)
+        ids = np.concatenate([left["cid"], right["cid"]])
+        i, j = np.nonzero(found)
+        n = np.concatenate([found.sum(axis=1), found.sum(axis=0)])
+        # The same text on both sides is one node.
+        nodes, at = np.unique(ids, return_inverse=True)
+        roots = nodes[_roots(len(nodes), at[i], at[len(left) + j])]
+        out.append(pd.DataFrame({"cid": nodes, "n": np.bincount(at, n, len(nodes)).astype(np.int64), "root": roots})[lambda d: d["n"] > 0])
     return pd.concat(out) if out else pd.DataFrame({"cid": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
 
 
-def _batch_sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    col = b.column("w")
-    flat, ends = col.values.to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
-    for i in range(b.num_rows):
-        yield i, shingles(flat[ends[i] : ends[i + 1]])
+def _dealt(members: DataFrame, size: str) -> DataFrame:
+    """members (bucket, cid, ...) of buckets, with the task that compares them and the side that each is on.
+
+    Small buckets share tasks; a bucket of more than a block has a task for each pair of its blocks.  Blocks are bounded in
+    texts and in the sum of the column size.
+    """
+    sizes = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_size")).filter("_n > 1"))
+    total = sizes.agg(F.sum("_n"), F.sum("_size"), F.count(F.lit(1))).first()
+    bins = max(1, -(-(total[0] or 0) // BLOCK), -(-(total[1] or 0) // BLOCK_SHINGLES))
+    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_size") / BLOCK_SHINGLES)).cast("int")
+    joined = join_group(members, sizes.withColumn("blocks", blocks).drop("_size"), "bucket", "_n").withColumn("_b", F.pmod(F.xxhash64("cid", F.lit(9)), F.col("blocks")).cast("int"))
+    return joined.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *members.columns,
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(bins))).otherwise(F.xxhash64("bucket", F.least("_b", "_o"), F.greatest("_b", "_o"))).alias("task"),
+        F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1).alias("side"),
+    )
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, pick, t): pick stands for a row's identifier and text."""
+    return docs.select(F.col(id_col).alias("doc_id"), _pick(id_col, text_col).alias("pick"), F.col(text_col).alias("t"))
 
 
-def word_key(words_col: str, text_col: str) -> Column:
-    """md5 of a text's words; of the text itself if it has none."""
-    return F.when(F.size(words_col) > 0, F.md5(F.array_join(words_col, " "))).otherwise(F.md5(F.concat(F.lit("\n"), text_or_empty(F.col(text_col)))))
+def _pick(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.lit(1), F.col(text_col))
+
+
+def _signed(base: DataFrame) -> DataFrame:
+    """(doc_id, pick, key, sig, size): md5 of a row's words (of the text if it has none), MinHash values and number of shingles.
+
+    Within a batch only the first row of a key carries the values.
+    """
+    kind = base.schema["doc_id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("t")
+            for lo, hi, found in cut_texts(texts):
+                keys = [digest(found, i, b"" if (x := texts[lo + i]).as_buffer() is None else x.as_buffer().to_pybytes()) for i in range(hi - lo)]
+                first = {k: i for i, k in reversed(list(enumerate(keys)))}
+                sigs: list[bytes | None] = [None] * len(keys)
+                sizes = [0] * len(keys)
+                for i in first.values():
+                    if len(w := found.of(i)):
+                        s = shingles(w)
+                        sigs[i], sizes[i] = signature(s).tobytes(), len(s)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("pick").slice(lo, hi - lo), pa.array(keys), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "pick", "key", "sig", "size"])
+
+    return base.mapInArrow(sign, f"doc_id {kind}, pick long, key string, sig binary, size long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,14 +268,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     number of different texts that a document's text is linked to, class_id the least doc_id
     that links reach.
 
-    1. Equal texts become one class, combined on the map side.
-    2. 128 MinHash values of each class; classes that share one of 32 bands of 4 fall into one candidate component.
-       A bucket costs one edge for each member, never its pairs.
-    3. Components are compared in blocks of about 1024 texts.  In a block pair the MinHash
-       values are compared 16 at a time, and a pair is dropped as soon as the posterior
-       probability of a similarity of 0.8 falls below 1e-9; the rest is verified on the sets.
-       A block pair returns one row for each text: how many links, and the least text it reaches.
-    4. Those rows give the counts and, as edges, the classes.
+    1. Texts with equal words become one class, combined on the map side.
+    2. 128 MinHash values of each class make 32 bands of 4; the classes that share a band are a bucket.  Buckets with the
+       same classes count as one, the first.
+    3. The classes of a bucket are compared, in blocks of about 1024 if there are more.  The MinHash values are
+       compared 16 at a time, and a pair is dropped as soon as the posterior probability of a similarity of 0.8 falls
+       below 1e-9; a pair that shares an earlier band is left to that band's bucket.
+    4. The sets of the classes left in a pair are shipped to their buckets and the pairs verified on them.  A block returns one
+       row for each text: how many links, and the least text it reaches.
+    5. Those rows give the counts and, as edges, the classes.
 
     Null text counts as empty; empty texts are one another's copies and have no links.  A null doc_id can't
     become class_id unless all are null.  Repeated rows are copies of each other.  An empty table gives no rows.
@@ -235,78 +287,68 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: the one with the least doc_id (null last); all columns unchanged.
 
-    Of rows repeated with their doc_id and words one stays.
+    Of rows repeated with their doc_id and text one stays.  Null text counts as empty, and empty texts are copies.  An empty
+    table gives no rows.
     """
     rows = cut(_joined(docs, id_col, text_col).select("doc_id", "pick", "component"))
     kept = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "pick")).alias("_m")).select(F.col("_m.pick").alias("_pick"))
+    # What is dropped, and what stays once although it is there again; all other rows stay as they are.
     each = cut(rows.groupBy("pick").agg(F.count(F.lit(1)).alias("_rows")).join(kept.withColumn("_kept", F.lit(True)), F.col("pick") == F.col("_pick"), "left").filter("_kept is null or _rows > 1").select("pick", F.col("_kept").isNotNull().alias("_again")))
-    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), words(F.col(text_col)).alias("_w"))
-    marked = packed.select("_doc", F.xxhash64("doc_id", word_key("_w", "_t")).alias("pick")).join(small(each, each.count()), "pick", "left")
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), _pick(id_col, text_col).alias("pick"))
+    marked = packed.join(small(each, each.count()), "pick", "left")
     single = marked.filter("_again is null").select("_doc")
-    if each.filter("_again").limit(1).count():
+    if not each.filter("_again").isEmpty():
         single = single.unionByName(marked.filter("_again").dropDuplicates(["pick"]).select("_doc"))
     return single.select("_doc.*")
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    w = words(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), w.alias("_w")).withColumn("key", word_key("_w", "_t"))
-    slim = cut(base.select("doc_id", "key", F.xxhash64("doc_id", "key").alias("pick"), F.xxhash64("key").alias("cid"), (F.size("_w") > 0).alias("full")))
-    classes = cut(slim.groupBy("cid", "key").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.min("pick").alias("_pick"), F.max("full").alias("full")))
+    base = _base(docs, id_col, text_col)
+    signed = cut(_signed(base))
+    cid = F.xxhash64("key").alias("cid")
+    classes = cut(signed.groupBy(cid, "key").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.min("pick").alias("pick"), F.first("sig", True).alias("sig"), F.max("size").alias("size")))
+    full = classes.filter("sig is not null").select("cid", "sig", "size", "pick")
 
-    hashed = base.filter(F.size("_w") > 0).select(F.xxhash64("key").alias("cid"), F.xxhash64("doc_id", "key").alias("pick"), F.transform("_w", lambda x: F.xxhash64(x)).alias("w"))
+    def rows_of(batch: pa.RecordBatch) -> np.ndarray:
+        return bands(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done: dict[int, bytes] = {}
-            cids = b.column("cid").to_pylist()
-            col = b.column("w")
-            flat, ends = col.values.to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
-            for i, cid in enumerate(cids):
-                if cid not in done:
-                    done[cid] = signature(shingles(flat[ends[i] : ends[i + 1]])).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64()), pa.array(list(done.values()), pa.binary())], names=["cid", "sig"])
-
-    # Equal classes of several batches have equal signatures: equal buckets, which the edges' distinct joins again.
-    signed = hashed.select("cid", "w").mapInArrow(sign, "cid long, sig binary")
-    size = 4 * ROWS
-    bands = cut(signed.select("cid", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, {size} * i + 1, {size})))")).alias("bucket")))
-    buckets = cut(bands.groupBy("bucket").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most").select("bucket", "least"))
-    edges = bands.join(buckets, "bucket").filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"))
-    near = components(edges)
-    near = cut(near)
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    placed = near.join(sizes, "component").join(classes.select("cid", "_pick"), near["node"] == F.col("cid")).select("cid", F.col("_pick").alias("pick"), F.col("component").alias("comp"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    placed = cut(placed)
-    wanted = key_filter(placed, "pick")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cids = np.repeat(b.column("cid").to_numpy(zero_copy_only=False), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(rows_of(b).ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(cids)], names=["bucket", "band", "cid"])
+
+    # A bucket is known by its members' number, extremes and hashes; of equal ones the first band's stays.
+    buckets = full.select("cid", "sig").mapInArrow(placed, "bucket long, band int, cid long").groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("least"), F.max("cid").alias("most"), F.bit_xor(F.xxhash64("cid")).alias("all")).filter("n > 1")
+    kept = cut(buckets.groupBy("n", "least", "most", "all").agg(F.min(F.struct("band", "bucket")).alias("m")).select("m.bucket", "m.band"))
+    wanted = key_filter(kept, "bucket")
+
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            picks = b.column("pick").to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(wanted(picks.view(np.uint64)))
-            some = b.take(pa.array(hit))
-            out = [s.tobytes() for _, s in _batch_sets(some)]
-            yield pa.RecordBatch.from_arrays([some.column("pick"), pa.array(out, pa.binary())], names=["pick", "s"])
-
-    texts = hashed.select("pick", "w").mapInArrow(sets, "pick long, s binary")
-    rows = placed.count()
-    bins = max(1, -(-rows // BLOCK))
-    block = F.pmod(F.xxhash64("cid", F.lit(9)), F.col("blocks")).cast("int")
-    one = texts.join(placed, "pick").groupBy("cid", "comp", "blocks").agg(F.first("s").alias("s")).withColumn("_b", block)
-    # A component of one block shares a task with others; a larger one has a task for each pair of blocks.
-    spread = one.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cid",
-        "comp",
-        "s",
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.xxhash64("comp", F.least("_b", "_o"), F.greatest("_b", "_o"))).alias("task"),
-        F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1).alias("side"),
-    )
-    verified = cut(spread.groupBy("task").applyInPandas(_verify, "cid long, n long, root long"))
+            found = rows_of(b)
+            i, j = np.nonzero(wanted(found.ravel()).reshape(found.shape))
+            take = pa.array(i)
+            yield pa.RecordBatch.from_arrays([pa.array(found[i, j].view(np.int64)), pa.array(j.astype(np.int32)), b.column("cid").take(take), b.column("sig").take(take)], names=["bucket", "band", "cid", "sig"])
+
+    # What the filter passes without reason is alone in its bucket, or one more text of a bucket with a twin, where it does no harm.
+    members = cut(full.select("cid", "sig").mapInArrow(members_of, "bucket long, band int, cid long, sig binary"))
+    left = cut(_dealt(members.withColumn("size", F.lit(0)), "size").groupBy("task").applyInPandas(_compare, "bucket long, band int, cid long, sig binary").dropDuplicates(["bucket", "cid"]))
+    chosen = cut(left.select("cid").distinct().join(classes.select("cid", "pick", "size"), "cid"))
+    picked = key_filter(chosen, "pick")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = b.filter(pa.array(picked(b.column("pick").to_numpy(zero_copy_only=False).view(np.uint64))))
+            for lo, hi, found in cut_texts(some.column("t")):
+                out = [shingles(found.of(i)).tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([some.column("pick").slice(lo, hi - lo), pa.array(out, pa.binary())], names=["pick", "s"])
+
+    texts = base.select("pick", "t").mapInArrow(sets_of, "pick long, s binary").join(chosen, "pick").groupBy("cid").agg(F.first("s").alias("s"), F.first("size").alias("size"))
+    ready = _dealt(cut(left.join(chosen.select("cid", "size"), "cid")), "size").join(texts.drop("size"), "cid")
+    verified = cut(ready.groupBy("task").applyInPandas(_verify, "cid long, n long, root long"))
     counts = verified.groupBy("cid").agg(F.sum("n").alias("n_links"))
     joined = components(verified.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     known = classes.select("cid", "key", "copy_id", "n_copies").join(counts, "cid", "left").join(joined, F.col("cid") == F.col("node"), "left")
-    known = known.select("key", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "cid").alias("component"))
-    known = cut(known)
-    least = known.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    table = cut(known.join(least, "component").select("key", "component", "class_id", "copy_id", "n_links", "n_copies"))
-    return slim.select("doc_id", "key", "pick").join(table, "key")
+    known = cut(known.select("key", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "cid").alias("component")))
+    least = known.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.count(F.lit(1)).alias("_n"))
+    table = cut(join_group(known, cut(least), "component", "_n"))
+    return join_group(signed.select("doc_id", "key", "pick"), table, "key", "n_copies")
