@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -72,6 +73,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from a literal of the plan: no Python worker makes it."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    struct = ", ".join(f"{n}: {f.split()[1]}" for n, f in zip(names, schema.split(", ")))
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{struct}>>")))
+
+
 def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """Hint a broadcast of df only where its counted rows stay under the bound; else Spark shuffles."""
     return F.broadcast(df) if rows <= most else df

@@ -19,7 +19,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by side, and the window compares each text in full with its neighbours.  The sample that
     the splitters need holds heads and digests, never whole texts.
 
-    A text with more rows than a quarter of a partition's share is salted into as many
+    A text with more rows than a quarter of a partition's share is salted by row, whatever the identifiers, into as many
     pieces as that takes.  There are at most 4P such texts and 8P pieces for P shuffle
     partitions, whatever the input, so the piece table is broadcast within a known bound.
 
@@ -36,7 +36,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = max(64, -(-total // (4 * parts)))
     hot = cut(counts.filter(F.col("_n") > share).select(F.col("_h").alias("_hh"), F.ceil(F.col("_n") / share).cast("int").alias("_pieces")))
     salted = base.join(F.broadcast(hot), base["_h"] == hot["_hh"], "left").select(
-        "doc_id", "_t", "_h", F.coalesce("_pieces", F.lit(1)).alias("_pieces"), F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("_pieces")).cast("int"), F.lit(0)).alias("_salt")
+        "doc_id", "_t", "_h", F.coalesce("_pieces", F.lit(1)).alias("_pieces"), F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_pieces")).cast("int"), F.lit(0)).alias("_salt")
     )
     head = F.substring("_t", 1, HEAD)
     ranged = salted.withColumn("_p", head).repartitionByRange(parts, "_p", "_h", "_salt")
@@ -48,12 +48,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("_size", F.count(F.lit(1)).over(same))
         .select("doc_id", "_h", "_salt", "_pieces", "_keep", "_size", "_rn", F.sha2("_t", 256).alias("text_sha256"))
     )
-    # Pieces of a salted text meet again: one row for each piece, at most 8P in all.
-    merged = (
-        _pieces(base, hot, ids)
-        .groupBy("_hh", "_sha")
-        .agg(ids("_k").alias("_gkeep"), F.sum("_c").alias("_gsize"), F.min_by("_s", F.struct(F.when(F.col("_k").isNull(), 1).otherwise(0), (-F.col("_k") if keep == "largest" else F.col("_k")), "_s")).alias("_gsalt"))
-    )
+    # Written once: the pieces of a salted text meet again as one row for each, at most 8P in all.
+    local = cut(local)
+    last = F.max_by("_salt", F.struct(F.col("_keep").isNotNull(), "_keep", "_salt")) if keep == "largest" else F.min_by("_salt", F.struct(F.col("_keep").isNull(), "_keep", "_salt"))
+    merged = local.filter("_rn = 1 and _pieces > 1").groupBy(F.col("_h").alias("_hh"), F.col("text_sha256").alias("_sha")).agg(ids("_keep").alias("_gkeep"), F.sum("_size").alias("_gsize"), last.alias("_gsalt"))
     out = local.join(F.broadcast(merged), (F.col("_h") == F.col("_hh")) & (F.col("text_sha256") == F.col("_sha")), "left")
     return out.select(
         "doc_id",
@@ -64,12 +62,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _pieces(base: DataFrame, hot: DataFrame, ids) -> DataFrame:
-    """(digest, sha, salt) rows of the salted texts only, combined on the map side before they are shuffled."""
-    rows = base.join(F.broadcast(hot), base["_h"] == hot["_hh"]).select("_hh", F.sha2("_t", 256).alias("_sha"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("_pieces")).cast("int").alias("_s"), "doc_id")
-    return rows.groupBy("_hh", "_sha", "_s").agg(ids("doc_id").alias("_k"), F.count(F.lit(1)).alias("_c"))
-
-
 def drop_copies(docs: DataFrame, **kw) -> DataFrame:
-    """The documents that stay, with the columns doc_id and text_sha256."""
+    """The documents that stay, with the columns doc_id and text_sha256; of an empty table none.  Nulls, ties and repeated rows as in exact_dedup."""
     return exact_dedup(docs, **kw).filter("kept").select("doc_id", "text_sha256")
