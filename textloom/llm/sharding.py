@@ -8,7 +8,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, shuffle_partitions, text_or_empty
+from textloom.llm.common import cut, literal_table, shuffle_partitions, text_or_empty
 
 #: Fine ranges for each shard; their splitters come from this many sampled keys for each range.
 RANGES_PER_SHARD, SAMPLES_PER_RANGE = 32, 16
@@ -52,7 +52,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("_k"),
-            F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(11)).alias("_u"),
+            # Rows without an identifier are told apart by their place.
+            F.coalesce(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"), F.lit(11))), F.xxhash64(F.monotonically_increasing_id(), F.lit(12))).alias("_u"),
         )
     )
     rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -71,21 +72,21 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     split = {k: -(-b * 8 // int(share)) if b > share else 1 for k, b in heavy.items()}
     cells = slim.withColumn("_cell", _range_of(F.col("_k"), bounds)).withColumn("_split", F.lit(1))
     if heavy:
-        table = spark.createDataFrame([(k, heavy_ids[k], split[k]) for k in heavy], "_hk long, _hc int, _hs int")
+        table = literal_table(spark, [(k, heavy_ids[k], split[k]) for k in heavy], "_hk long, _hc int, _hs int")
         cells = cells.join(F.broadcast(table), F.col("_k") == F.col("_hk"), "left").withColumn("_cell", F.coalesce("_hc", "_cell")).withColumn("_split", F.coalesce("_hs", "_split")).drop("_hk", "_hc", "_hs")
     cells = cells.withColumn("_piece", F.pmod("_u", F.col("_split")).cast("int"))
     measured = [tuple(r) for r in cells.groupBy("_cell", "_piece").agg(F.sum("size"), F.count(F.lit(1))).collect()]
     placed = _place(measured, shards, len(bounds) + 1)
     # Cells above a task's share of the rows are numbered in parts.
     most = max(64, -(-rows // (4 * parts)))
-    plan = spark.createDataFrame([(c, p, placed[c, p], -(-n // most)) for c, p, _, n in measured] or [(-1, 0, 0, 1)], "_cell int, _piece int, shard int, _parts int")
+    plan = literal_table(spark, [(c, p, placed[c, p], -(-n // most)) for c, p, _, n in measured] or [(-1, 0, 0, 1)], "_cell int, _piece int, shard int, _parts int")
     numbered = cells.join(F.broadcast(plan), ["_cell", "_piece"]).withColumn("_part", F.pmod(F.shiftright("_u", 20), F.col("_parts")).cast("int"))
     starts, counts = {}, [tuple(r) for r in numbered.groupBy("shard", "_cell", "_piece", "_part").count().collect()]
     offsets = []
     for s, c, p, q, n in sorted(counts):
         offsets.append((c, p, q, starts.get(s, 0)))
         starts[s] = starts.get(s, 0) + n
-    offsets_df = spark.createDataFrame(offsets or [(-1, 0, 0, 0)], "_cell int, _piece int, _part int, _offset long")
+    offsets_df = literal_table(spark, offsets or [(-1, 0, 0, 0)], "_cell int, _piece int, _part int, _offset long")
     order = Window.partitionBy("_cell", "_piece", "_part").orderBy("_k", "doc_id", "size", "text_crc32")
     out = numbered.join(F.broadcast(offsets_df), ["_cell", "_piece", "_part"])
     return out.select(
