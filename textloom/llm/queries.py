@@ -89,26 +89,41 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 16)
 
 
-# The rules of the URL query, and hosts whose names announce spam.
+# The rules of the URL query.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-URL_LIST = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-URL_ZONES = ("example.com", "example.net", "example.org")
+# Words whose pairs name hosts of a made-up block list, and the zones of these.
+URL_NAMES = ("ad", "ads", "adult", "affiliate", "bet", "bets", "bingo", "bonus", "buy", "casino", "cheap", "click", "coupon", "crypto", "dating", "deal", "discount", "farm", "free", "gamble", "hack", "hot", "jackpot", "lender")
+URL_NAMES += ("loan", "lottery", "malware", "mega", "miracle", "pharma", "phish", "pill", "pills", "poker", "popup", "prize", "promo", "replica", "sale", "sex", "shop", "slots", "spam", "spin", "track", "tracker", "traffic", "viagra", "warez", "win", "winner", "x", "xxx")
+URL_ZONES = ("com", "net", "org", "info", "biz", "example.com", "example.net", "example.org")
+_NAME_LIST = ", ".join(f"'{x}'" for x in URL_NAMES)
+_ZONE_LIST = ", ".join(f"'{x}'" for x in URL_ZONES)
+
+
+def url_list(spark: SparkSession) -> DataFrame:
+    """(host, path, action, ruling): the query's rules, and every pair of different names in every zone as a listed host."""
+    from textloom.llm.common import literal_table
+
+    rules = literal_table(spark, [(*r, True) for r in URL_RULES], "host string, path string, action string, ruling boolean")
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, URL_NAMES))).alias("a")).select("a", F.explode(F.array(*map(F.lit, URL_NAMES))).alias("b")).filter("a <> b")
+    zones = names.select("a", "b", F.explode(F.array(*map(F.lit, URL_ZONES))).alias("z"))
+    return rules.unionByName(zones.select(F.concat_ws("-", "a", F.concat_ws(".", "b", "z")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("action"), F.lit(False).alias("ruling")))
 
 
 def op10_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.url_filter import judge_urls
 
-    rows = [(h, p, a, True) for h, p, a in URL_RULES] + [(f"{n}.{z}", "/", "block", False) for n in URL_LIST for z in URL_ZONES]
-    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(rows, "host string, path string, action string, ruling boolean"))
+    return judge_urls(table(spark, sf_dir, "pages"), url_list(spark))
 
 
 _FITS = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda x: -len(x[0] + x[1])))
-_LISTED = " OR ".join(f"(('.' || host) LIKE '%.{n}.{z}' AND starts_with(path, '/'))" for n in URL_LIST for z in URL_ZONES)
 OP10_SQL = rf"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path FROM pages),
-     r AS (SELECT *, CASE {_FITS} END AS rule FROM u)
-SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{a}'" for h, p, a in URL_RULES)} WHEN {_LISTED} THEN 'block' ELSE 'allow' END AS verdict FROM r
+     l AS (SELECT a || '-' || b || '.' || z AS listed FROM (SELECT unnest([{_NAME_LIST}]) AS a), (SELECT unnest([{_NAME_LIST}]) AS b), (SELECT unnest([{_ZONE_LIST}]) AS z) WHERE a <> b),
+     h AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM u),
+     t AS (SELECT DISTINCT host FROM (SELECT host, array_to_string(p[i:], '.') AS tail FROM (SELECT host, p, unnest(generate_series(1, len(p))) AS i FROM h)) JOIN l ON tail = listed),
+     r AS (SELECT *, CASE {_FITS} END AS rule, starts_with(path, '/') AND host IN (SELECT host FROM t) AS listed FROM u)
+SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{a}'" for h, p, a in URL_RULES)} WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
 

@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.bloom import bloom, maybe_listed
 from textloom.llm.common import UPPER, small
 
-#: A block is 8 words of 64 bits; a key sets one bit in each word of its block.
-WORDS = 8
-BITS_PER_KEY = 16
-#: The filter is a literal of at most this many blocks (256 KiB).  A longer list raises the share of
-#: false positives, which the exact join removes; it never grows the literal.
-MOST_BLOCKS = 4096
-
-
 def url_host(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty for null or without ://."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, UPPER.lower())
@@ -36,33 +29,6 @@ def canonical(listed: DataFrame) -> DataFrame:
     return listed.filter("host is not null and action is not null").select(plain.alias("host"), path.alias("path"), "action", "ruling").select(F.concat("host", "path").alias("key"), "*").distinct()
 
 
-def _bit(key: Column, word: int) -> Column:
-    return F.shiftright(F.xxhash64(key, F.lit(1)), 6 * word).bitwiseAND(F.lit(63)).cast("int")
-
-
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
-def bloom(keys: DataFrame, n_keys: int) -> tuple[Column, int]:
-    """(literal array of the filter's words, number of blocks) for the column key."""
-    blocks = max(1, min(MOST_BLOCKS, -(-n_keys * BITS_PER_KEY // (64 * WORDS))))
-    one = F.expr("explode(sequence(0, 7)) as _w")
-    bits = F.expr("shiftleft(1L, cast(shiftright(_g, 6 * _w) & 63 as int))")
-    set_bits = keys.select(_block(F.col("key"), blocks).alias("_b"), F.xxhash64("key", F.lit(1)).alias("_g"), one).groupBy("_b", "_w").agg(F.bit_or(bits).alias("_v"))
-    table = [0] * (blocks * WORDS)
-    for b, w, v in set_bits.collect():
-        table[b * WORDS + w] = v
-    return F.expr("array(" + ", ".join(f"{v}L" if v > -(2**63) else "bigint('-9223372036854775808')" for v in table) + ")"), blocks
-
-
-def maybe_listed(key: Column, table: Column, blocks: int) -> Column:
-    found = F.lit(True)
-    for w in range(WORDS):
-        found = found & (F.getbit(F.get(table, _block(key, blocks) * WORDS + w), _bit(key, w)) == 1)
-    return found
-
-
 def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
@@ -70,7 +36,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url
     subdomains if the path starts with its own, the longest host and path wins (then the longest host), and its action is
     the verdict.  Without a fitting rule, a page under any other listed host and path is 'block', else 'allow'.
 
-    A page looks up its host and parent domains with each prefix of its path that has a listed
+    A page looks up its host and parent domains of as many labels as listed hosts have, with each prefix of its path that has a listed
     length.  The blocked Bloom filter drops keys that are not listed; what passes is joined by
     hash with the list, which removes false positives.  The list is broadcast if its counted
     rows stay under a bound; else Spark shuffles both sides and splits hot keys.
@@ -80,14 +46,16 @@ def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url
     rules = canonical(listed)
     rows = rules.count()
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
-    table, blocks = bloom(rules.select("key"), rows)
-    base = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    labels = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(F.split("host", r"\."), i, F.lit(10_000)), "."))
-    heads = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.expr("cast(array() as array<int>)"), lambda n: F.length("path") >= n), lambda n: F.substr(F.col("path"), F.lit(1), n))
-    keyed = base.withColumn("_tails", tails).withColumn("_heads", heads)
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect())
+    table, blocks = bloom(rules.select(F.xxhash64("key").alias("key")), rows)
+    base = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.monotonically_increasing_id().alias("_row"))
+    labels = base.withColumn("_labels", F.split("host", r"\."))
+    numbers = lambda x: F.array(*[F.lit(n) for n in x]) if x else F.expr("cast(array() as array<int>)")
+    tails = F.transform(F.filter(numbers(depths), lambda n: F.size("_labels") >= n), lambda n: F.array_join(F.slice("_labels", -n, n), "."))
+    heads = F.transform(F.filter(numbers(lengths), lambda n: F.length("path") >= n), lambda n: F.substr(F.col("path"), F.lit(1), n))
+    keyed = labels.withColumn("_tails", tails).withColumn("_heads", heads)
     all_keys = F.flatten(F.transform("_tails", lambda t: F.transform("_heads", lambda h: F.concat(t, h))))
-    passed = keyed.select("page_id", "host", "path", F.monotonically_increasing_id().alias("_row"), F.filter(all_keys, lambda k: maybe_listed(k, table, blocks)).alias("_keys"))
+    passed = keyed.select("page_id", "host", "path", "_row", F.filter(all_keys, lambda k: maybe_listed(F.xxhash64(k), table, blocks)).alias("_keys"))
     probes = passed.select("page_id", "host", "path", "_row", F.explode_outer("_keys").alias("key"))
     exact = rules.select("key", F.col("host").alias("_h"), "action", "ruling")
     met = probes.join(small(exact, rows), "key", "left")
