@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import NOT_WORD, text_or_empty, words
+from textloom.llm.bloom import bloom, maybe_listed
+from textloom.llm.common import NOT_WORD, cut, text_or_empty, words
 
-#: The hash set goes to every executor as a literal; a benchmark with more distinct windows is joined by shuffle instead.
-MOST_WINDOWS = 50_000
+#: The hash set goes to every executor as a literal of 18 bytes a window (36 MB); a benchmark with more distinct windows is joined by shuffle instead.
+MOST_WINDOWS = 2_000_000
 
 
 def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -18,22 +19,43 @@ def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_co
     return runs.select("item_id", F.col("_l").alias("len"), "window").distinct()
 
 
-def _scan(known: list[tuple[int, str, int]]) -> Column:
-    """Sorted array of (s, e): the word ranges of _w that equal a known window.
+def _probe(parts: Column, first: Column | int, size: Column | int) -> Column:
+    """A hash of the first, the middle and the last of `size` words from place first on."""
+    at = lambda k: F.get(parts, F.lit(first) + k if isinstance(first, int) else first + k)
+    middle, last = (size // 2, size - 1) if isinstance(size, int) else (F.floor(size / 2).cast("int"), size - 1)
+    return F.xxhash64(at(0), at(middle), at(last))
 
-    A position passes if the hash of three of its window's words is in the set of the windows'
-    own; only then the whole window is compared with the set of windows, so that a collision
-    can't give a hit.
+
+def _listed(print_: Column, prints: Column, n: int) -> Column:
+    """Whether a digest of 16 bytes is among n sorted ones, by bisection."""
+    at = lambda i: F.substring(prints, i * 16 + 1, F.lit(16))
+
+    def halve(range_: Column, _: Column) -> Column:
+        middle = F.shiftright(range_["lo"] + range_["hi"], 1)
+        return F.when(at(middle) <= print_, F.struct(middle.alias("lo"), range_["hi"].alias("hi"))).otherwise(F.struct(range_["lo"].alias("lo"), middle.alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve, lambda r: at(r["lo"]) == print_)
+
+
+def _scan(distinct: DataFrame, n: int) -> Column:
+    """Sorted array of (s, e): the word ranges of _w that equal one of the n distinct windows (len, window).
+
+    A position passes if the hash of three of its window's words is in a Bloom filter of the windows'
+    own; only then the digest of the whole window (128 bits) is looked up among those of all windows.
     """
-    found = []
-    for size in sorted({x[0] for x in known}):
-        texts = ", ".join(f"'{w}'" for n, w, _ in known if n == size)
-        keys = ", ".join(sorted({f"{k}L" if k > -(2**63) else "bigint('-9223372036854775808')" for n, _, k in known if n == size}))
-        found.append(
-            f"transform(if(size(_w) >= {size}, filter(sequence(0, size(_w) - {size}), i -> xxhash64(_w[i], _w[i + {size // 2}], _w[i + {size - 1}]) IN ({keys})"
-            f" AND array_join(slice(_w, i + 1, {size}), ' ') IN ({texts})), array()), i -> named_struct('s', i, 'e', i + {size}))"
-        )
-    return F.expr(f"array_sort(concat({', '.join(found)}))" if found else "cast(array() as array<struct<s:int,e:int>>)")
+    none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
+    if not n:
+        return none
+    table, blocks = bloom(distinct.select(_probe(F.split("window", " "), 0, F.col("len")).alias("key")), n)
+    prints = F.lit(bytearray(distinct.agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.md5("window"))), "")).alias("all")).first()["all"]))
+    w, found = F.col("_w"), []
+    for size in sorted(r[0] for r in distinct.select("len").distinct().collect()):
+        keys = F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: _probe(w, i, size))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        near = F.filter(F.transform(keys, lambda k, i: F.when(maybe_listed(k, table, blocks), i).otherwise(-1)), lambda i: i >= 0)
+        hits = F.filter(near, lambda i: _listed(F.unhex(F.md5(F.array_join(F.slice(w, i + 1, size), " "))), prints, n))
+        found.append(F.transform(hits, lambda i: F.struct(i.cast("int").alias("s"), (i + size).cast("int").alias("e"))))
+    return F.array_sort(F.concat(*found))
 
 
 COVERED = "aggregate(_spans, named_struct('e', 0, 'c', 0L), (a, x) -> named_struct('e', greatest(a.e, x.e), 'c', a.c + greatest(0, x.e - greatest(a.e, x.s))), a -> a.c)"
@@ -42,20 +64,18 @@ COVERED = "aggregate(_spans, named_struct('e', 0, 'c', 0L), (a, x) -> named_stru
 def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
     """docs with the columns _w (words), _row (a row number), _spans (sorted ranges of words inside occurrences of windows).
 
-    The size of the set is counted first.  Beyond most_windows the positions of the documents are
-    exploded and joined with the windows by shuffle; ranges are then gathered for each row.
+    The size of the set is counted first.  Beyond most_windows the rows are numbered and written once, the positions of
+    the documents exploded and joined with the windows by shuffle, and the ranges gathered for each row.
     """
     windows = item_windows(items, n, item_id_col, item_text_col)
-    distinct = windows.select("len", "window").distinct()
+    distinct = cut(windows.select("len", "window").distinct())
     # A filter on the spans must name the row number too: it then stays above this projection.
     # Pushed below it, the filter would cut the words anew for every position.
     with_words = docs.select("*", words(F.col(text_col)).alias("_w"), F.monotonically_increasing_id().alias("_row"))
-    if distinct.count() <= most_windows:
-        parts = F.split("window", " ")
-        known = [(r[0], r[1], r[2]) for r in distinct.select("len", "window", F.xxhash64(F.element_at(parts, F.lit(1)), F.get(parts, F.floor(F.col("len") / 2).cast("int")), F.element_at(parts, F.lit(-1)))).collect()]
-        return with_words.withColumn("_spans", _scan(known))
+    if (many := distinct.count()) <= most_windows:
+        return with_words.withColumn("_spans", _scan(distinct, many))
     sizes = [r[0] for r in distinct.select("len").distinct().collect()]
-    rows = with_words
+    rows = cut(with_words)
     runs = " , ".join(f"if(size(_w) >= {k}, transform(sequence(0, size(_w) - {k}), i -> named_struct('s', i, 'e', i + {k}, 'window', array_join(slice(_w, i + 1, {k}), ' '))), array())" for k in sizes)
     hits = rows.select("_row", F.explode(F.expr(f"concat({runs})")).alias("x")).select("_row", "x.*").join(distinct.select("window"), "window", "left_semi")
     spans = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_spans"))
@@ -75,7 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     scanned = find_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, n, "text", item_id_col, item_text_col, most_windows)
     slim = scanned.select(
         "doc_id",
-        F.monotonically_increasing_id().alias("_row"),
+        "_row",
         F.size("_w").cast("long").alias("n_words"),
         F.expr(COVERED).alias("n_hit"),
         F.expr("array_distinct(transform(_spans, x -> array_join(slice(_w, x.s + 1, x.e - x.s), ' ')))").alias("_texts"),
@@ -89,13 +109,20 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """The rows without any hit, all their columns unchanged."""
+    """The rows without any hit, all their columns unchanged.
+
+    A null or empty text has no hit and stays; repeated rows stay or go together.  An empty benchmark removes nothing,
+    and an empty table gives no rows.
+    """
     kept = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
     return find_hits(kept, items, text_col="_text", **kw).filter((F.size("_spans") == 0) & (F.col("_row") >= 0)).select("_doc.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """docs with the hit words, and what separates them from the word before, cut out of the text; other texts stay as they are."""
+    """docs with the hit words, and what separates them from the word before, cut out of the text; other texts stay as they are.
+
+    A null text stays null; repeated rows are cut alike.  An empty benchmark cuts nothing, and an empty table gives no rows.
+    """
     kept = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
     scanned = find_hits(kept, items, text_col="_text", **kw)
     raw = NOT_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
