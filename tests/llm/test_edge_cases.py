@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from textloom.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, mixing, sharding, suffix_dedup, url_filter
+from textloom.llm import bloom, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, mixing, sharding, suffix_dedup, url_filter
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -417,8 +417,43 @@ def test_judge_urls(spark):
 
 
 def test_bloom_filter_has_no_false_negatives(spark):
-    keys = spark.range(5000).selectExpr("concat('k', id) as key")
-    table, blocks = url_filter.bloom(keys, 5000)
-    assert keys.filter(url_filter.maybe_listed(keys["key"], table, blocks)).count() == 5000
-    others = spark.range(5000).selectExpr("concat('other', id) as key")
-    assert others.filter(url_filter.maybe_listed(others["key"], table, blocks)).count() < 250
+    keys = spark.range(5000).selectExpr("xxhash64(concat('k', id)) as key")
+    table, blocks = bloom.bloom(keys, 5000)
+    assert blocks > 1 and keys.filter(bloom.maybe_listed(keys["key"], table, blocks)).count() == 5000
+    others = spark.range(5000).selectExpr("xxhash64(concat('other', id)) as key")
+    assert others.filter(bloom.maybe_listed(others["key"], table, blocks)).count() < 250
+
+
+def test_a_long_list_of_urls_and_a_host_of_many_labels(spark):
+    listed = spark.range(1_000_000).selectExpr("concat('h', id, '.example.net') as host", "'/' as path", "'block' as action", "false as ruling")
+    urls = [(1, "http://a.H999999.example.net/x"), (2, "http://h1000000.example.net/"), (3, "http://" + "a." * 100_000 + "h7.example.net/")]
+    found = url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), listed)
+    assert sorted((r.page_id, r.verdict) for r in found.collect()) == [(1, "block"), (2, "allow"), (3, "block")]
+
+
+def test_a_large_benchmark(spark):
+    words_ = [f"w{i}" for i in range(60_020)]
+    bench = spark.createDataFrame([(i, " ".join(words_[i * 6002 : i * 6002 + 6011])) for i in range(10)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words_[100:120]) + " y"), (2, " ".join(words_[100:109])), (3, " ".join(reversed(words_[50:90])))], "doc_id long, text string")
+    assert decontaminate.item_windows(bench).count() > 50_000
+    found = decontaminate.contamination(docs, bench).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in found) == [(1, 22, 20, 1), (2, 9, 0, 0), (3, 40, 0, 0)]
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup_of_string_ids_and_of_a_hot_text_without_ids(spark, keep):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0 and id > 3, null, concat('d', id)) as doc_id", "if(id % 3 = 0, 'hot', concat('t', id % 1000)) as text")
+    found = exact_dedup.exact_dedup(df, keep=keep).collect()
+    hot = [r for r in found if r.group_size == 1000]
+    best = "d3" if keep == "largest" else "d0"
+    assert len(hot) == 1000 and {r.keep_id for r in hot} == {best} and [r.doc_id for r in hot if r.kept] == [best]
+    assert sum(r.kept for r in found) == len({r.text_sha256 for r in found})
+    assert sorted(r.text_sha256 for r in exact_dedup.drop_copies(df, keep=keep).collect()) == sorted({r.text_sha256 for r in found})
+
+
+def test_shards_of_a_hot_text_without_ids(spark):
+    df = spark.range(2000).selectExpr("cast(null as string) as doc_id", "if(id % 2 = 0, 'the same text', concat('t', id)) as text")
+    found = sharding.shard(df, 4).collect()
+    load = [sum(r.size for r in found if r.shard == s) for s in range(4)]
+    assert max(load) - min(load) < 0.1 * sum(load) / 4
+    assert all(sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found))) for s in range(4))
