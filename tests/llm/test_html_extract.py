@@ -61,3 +61,47 @@ def test_names_are_whole(spark):
     for name in ("sidebar", "site-header", "cookie-notice", "ad_2", "comments-area"):
         assert text_of(f"<body>{article}<div class={name}><p>part</p></div></body>") == text_of(f"<body><div><h2>Head</h2>Price<p>body</p></div><div id={name}><p>part</p></div></body>") == "Head Price body"
     assert text_of("<body><article><p>short</p></article><div class=related><article>one</article><article>two</article></div></body>") == "short"
+
+
+def test_only_alignment_tells_menu_from_article(spark):
+    # Class names say nothing and there is no article element; the constant parts of aligned pages are the template.
+    page = "<body><div class=q1><div>Start</div><div>Contact us</div></div><div class=q2><h1>T%d</h1>%s</div><div class=q3><p>All prices without tax</p></div></body>"
+    bodies = ["".join(f"<p>part {k} of text {i}</p>" for k in range(1 + i % 3)) for i in range(9)]
+    assert texts(spark, [page % (i, b) for i, b in enumerate(bodies)]) == [f"T{i} " + " ".join(f"part {k} of text {i}" for k in range(1 + i % 3)) for i in range(9)]
+
+
+def test_tree_matching_against_recursion(monkeypatch):
+    import random
+
+    def tree(r, depth=0):
+        return (r.choice("abc"), [] if depth > 3 else [tree(r, depth + 1) for _ in range(r.randint(0, 4))])
+
+    def text(t):
+        return f"{t[0]} ( " + "".join(text(k) + " " for k in t[1]) + ")"
+
+    def size(x, y):
+        if x[0] != y[0]:
+            return 0
+        best = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, p in enumerate(x[1]):
+            for j, q in enumerate(y[1]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size(p, q))
+        return 1 + best[-1][-1]
+
+    # Whole tables, and lists of siblings that are halved.
+    for cells in (H.MOST_CELLS, 4):
+        monkeypatch.setattr(H, "MOST_CELLS", cells)
+        H.align.cache_clear()
+        for seed in range(150):
+            r = random.Random(seed)
+            x, y = (("r", [tree(r) for _ in range(r.randint(1, 5))]) for _ in range(2))
+            found = H.align(text(x), text(y))
+            assert len(found) == size(x, y) and [found[k] for k in sorted(found)] == sorted(found.values())
+
+
+def test_pages_of_very_many_blocks_are_aligned():
+    import random
+
+    r = random.Random(1)
+    x, y = ("r ( " + " ".join(r.choice(["h ( )", "p ( b ( ) )", "p ( )", "u ( l ( ) )"]) for _ in range(6000)) + " )" for _ in range(2))
+    assert len(H.align(x, y)) > 6000

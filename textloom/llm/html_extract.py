@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -204,14 +205,15 @@ def skeleton(root: Node) -> str:
 
 @lru_cache(4096)
 def _tree(text: str) -> tuple:
-    """(label, slot, kids) of a skeleton."""
+    """(label, slot, kids, shape, size) of a skeleton; equal subtrees have equal shapes."""
     stack: list[tuple] = []
     count, root = 0, None
     for token in text.split(" "):
         if token == "(":
             continue
         if token == ")":
-            done = stack.pop()
+            label, slot, kids = stack.pop()
+            done = (label, slot, kids, _digest(f"{label} {[k[3] for k in kids]}"), 1 + sum(k[4] for k in kids))
             if stack:
                 stack[-1][2].append(done)
             else:
@@ -222,45 +224,109 @@ def _tree(text: str) -> tuple:
     return root
 
 
+#: Cells of a table of one matching; longer lists of siblings are halved.
+MOST_CELLS = 1 << 20
+
+
+def _scores(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(len(a) + 1, len(b) + 1): weights of the best order-preserving matchings of all beginnings of two lists."""
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+    for i, x in enumerate(a):
+        np.maximum(best[i, 1:], best[i, :-1] + weight[x, b], out=best[i + 1, 1:])
+        np.maximum.accumulate(best[i + 1], out=best[i + 1])
+    return best
+
+
+def _last_scores(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The last row of _scores, without the others."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum(row[1:], row[:-1] + weight[x, b])
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def matched(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
+    """Index pairs of an order-preserving matching of two lists with the greatest weight; the lists hold rows and columns of weight.
+
+    Long lists are halved where the two halves' matchings weigh most together, so memory stays in
+    proportion to the lists.
+    """
+    if not len(a) or not len(b):
+        return []
+    if len(a) > 1 and len(a) * len(b) > MOST_CELLS:
+        half = len(a) // 2
+        cut_ = int(np.argmax(_last_scores(a[:half], b, weight) + _last_scores(a[half:][::-1], b[::-1], weight)[::-1]))
+        return matched(a[:half], b[:cut_], weight) + [(i + half, j + cut_) for i, j in matched(a[half:], b[cut_:], weight)]
+    best, pairs, i, j = _scores(a, b, weight), [], len(a), len(b)
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
+def _same_ends(x: list[tuple], y: list[tuple]) -> tuple[int, int]:
+    """How many equal subtrees two lists of siblings begin and end with.
+
+    To match these with each other is best: no other partner gives such a subtree more, and order allows no second one across it.
+    """
+    most = min(len(x), len(y))
+    first = next((i for i in range(most) if x[i][3] != y[i][3]), most)
+    last = next((i for i in range(most - first) if x[-1 - i][3] != y[-1 - i][3]), most - first)
+    return first, last
+
+
 @lru_cache(20_000)
 def align(a: str, b: str) -> dict[int, int]:
-    """Simple tree matching: the largest order-preserving matching of two skeletons, slot of a -> slot of b."""
-    memo: dict[tuple[int, int], list[list[int]]] = {}
+    """Simple tree matching: the largest order-preserving matching of two skeletons, slot of a -> slot of b.
+
+    Subtrees are matched by shape, so that repeated ones are matched once.
+    """
     top = (_tree(a), _tree(b))
     if top[0][0] != top[1][0]:
         return {}
+    # Of each pair of shapes: the size of their matching and the matched pairs of kids.
+    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
     # Pairs are matched below before they are matched themselves, on a list: no depth is too much.
     todo = [top]
     while todo:
         x, y = todo[-1]
-        if (x[1], y[1]) in memo:
+        if (x[3], y[3]) in memo:
+            todo.pop()
+            continue
+        if x[3] == y[3]:
+            memo[x[3], y[3]] = (x[4], [(i, i) for i in range(len(x[2]))])
             todo.pop()
             continue
-        rows, cols = x[2], y[2]
-        if below := [(p, q) for p in rows for q in cols if p[0] == q[0] and (p[1], q[1]) not in memo]:
+        first, last = _same_ends(x[2], y[2])
+        rows, cols = x[2][first : len(x[2]) - last], y[2][first : len(y[2]) - last]
+        kinds, others = {k[3]: k for k in rows}, {k[3]: k for k in cols}
+        if below := [(p, q) for p in kinds.values() for q in others.values() if p[0] == q[0] and (p[3], q[3]) not in memo]:
             todo.extend(below)
             continue
-        best = [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)]
-        for i, p in enumerate(rows):
-            for j, q in enumerate(cols):
-                size = 1 + memo[p[1], q[1]][-1][-1] if p[0] == q[0] else 0
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size)
-        memo[x[1], y[1]] = best
+        at, to = {s: i for i, s in enumerate(kinds)}, {s: i for i, s in enumerate(others)}
+        weight = np.zeros((len(at), len(to)), np.int64)
+        for p in kinds.values():
+            for q in others.values():
+                if p[0] == q[0]:
+                    weight[at[p[3]], to[q[3]]] = memo[p[3], q[3]][0]
+        pairs = matched(np.array([at[k[3]] for k in rows], np.int64), np.array([to[k[3]] for k in cols], np.int64), weight)
+        pairs = [(i, i) for i in range(first)] + [(i + first, j + first) for i, j in pairs] + [(len(x[2]) - last + i, len(y[2]) - last + i) for i in range(last)]
+        size = 1 + sum(x[2][i][4] if x[2][i][3] == y[2][j][3] else memo[x[2][i][3], y[2][j][3]][0] for i, j in pairs)
+        memo[x[3], y[3]] = (size, pairs)
         todo.pop()
-    pairs, todo = {}, [top]
+    found, todo = {}, [top]
     while todo:
         x, y = todo.pop()
-        pairs[x[1]] = y[1]
-        best, i, j = memo[x[1], y[1]], len(x[2]), len(y[2])
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((x[2][i], y[2][j]))
-    return pairs
+        found[x[1]] = y[1]
+        pairs = ((i, i) for i in range(len(x[2]))) if x[3] == y[3] else memo[x[3], y[3]][1]
+        todo.extend((x[2][i], y[2][j]) for i, j in pairs)
+    return found
 
 
 @lru_cache(4096)
@@ -293,7 +359,7 @@ def places(shape: str, found: tuple[str, ...]) -> tuple[int, ...]:
     out: list[int] = []
     todo = [(_tree(shape), at)]
     while todo:
-        (label, slot, kids), up = todo.pop()
+        (label, slot, kids, _, _), up = todo.pop()
         out.append(_digest(f"{at} {same[slot]}" if slot in same else f"{up}/{label}"))
         todo.extend((kid, out[-1]) for kid in reversed(kids))
     return tuple(out)

@@ -23,7 +23,7 @@ HEAD = 20
 #: Characters of a suffix that serve as range key, before the hash of its head.
 PREFIX = 64
 #: Suffixes with one head that a task holds at once; the windows of more frequent heads are sorted one by one, over many ranges.
-MOST_HELD = 20_000
+MOST_HELD = 2_000
 #: Repeated heads that the filter holds well; more are joined by shuffle.
 MOST_KEYS = 40_000_000
 
