@@ -6,6 +6,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -58,55 +59,87 @@ class Model:
         self.letters = sum(len(g) == 1 for g in self.counts) + 1
         self.prior = np.log((size + 1) / (size.sum() + k)) if k else np.zeros(0)
         self.none = np.zeros(k)
-        self._gram: dict[str, np.ndarray] = {}
+        # Log-probabilities of the character runs met so far, and the row of each.
+        self._rows: dict[int, int] = {}
+        self._table = np.zeros((1024, k))
 
     def gram(self, g: str) -> np.ndarray:
         """Log-probability of the last character of g after those before it, for each language."""
-        if (found := self._gram.get(g)) is None:
-            get = lambda x: self.counts.get(x, self.none)
-            p = (get(g[-1]) + 0.5) / (self.total + 0.5 * self.letters)
-            if len(g) > 1:
-                p = (get(g[-2:]) + SMOOTH * p) / (get(g[-2]) + SMOOTH)
-            if len(g) > 2:
-                p = (get(g) + SMOOTH * p) / (get(g[:2]) + SMOOTH)
-            found = np.log(p)
-            if len(self._gram) < MOST_CACHED:
-                self._gram[g] = found
-        return found
-
-    def score(self, word: str) -> np.ndarray:
-        w = f"^{word}$"
-        out = self.gram(w[:2]).copy()
-        for j in range(len(w) - 2):
-            out += self.gram(w[j : j + 3])
+        get = lambda x: self.counts.get(x, self.none)
+        p = (get(g[-1]) + 0.5) / (self.total + 0.5 * self.letters)
+        if len(g) > 1:
+            p = (get(g[-2:]) + SMOOTH * p) / (get(g[-2]) + SMOOTH)
+        if len(g) > 2:
+            p = (get(g) + SMOOTH * p) / (get(g[:2]) + SMOOTH)
+        return np.log(p)
+
+    def _row(self, key: int) -> int:
+        """Row of a run of two or three characters, given as their code points in 21 bits each."""
+        if (at := self._rows.get(key)) is None:
+            at = len(self._rows)
+            if at >= len(self._table):
+                self._table = np.concatenate([self._table, np.zeros_like(self._table)])
+            self._table[at] = self.gram("".join(chr(key >> n & 0x1FFFFF) for n in (42, 21, 0) if key >> n))
+            self._rows[key] = at
+        return at
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """(words, languages): the log-probability of each word less that of its best language, and its script's mask."""
+        if len(self._rows) > MOST_CACHED:
+            self._rows.clear()
+        points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.array([len(w) + 2 for w in words])
+        first = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)[:-1]])
+        # The run that ends at each character but a word's first; the second has one character before it.
+        at = np.delete(np.arange(len(points)), first)
+        third = points[at - 2] << 42
+        starts = first - np.arange(len(first))
+        third[starts] = 0
+        keys, inverse = np.unique(third | points[at - 1] << 21 | points[at], return_inverse=True)
+        rows = np.array([self._row(x) for x in keys.tolist()])
+        out = np.add.reduceat(self._table[rows][inverse], starts, axis=0)
         # What one word says is bounded, so that one odd name can't outweigh a sentence.
-        out -= out.max()
+        out -= out.max(axis=1, keepdims=True)
         np.maximum(out, -25.0, out=out)
-        return out + self.masks.get(script_of(word), 0.0)
+        kinds, kind = np.unique(np.searchsorted(_STARTS, points[first + 1], "right") - 1, return_inverse=True)
+        masks = np.array([self.masks.get(SCRIPTS[i][1], self.none) for i in kinds])
+        return out + masks[kind]
+
+
+class Numbers(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = at = len(self)
+        return at
 
 
 class Scorer:
+    """Numbers words and scores each different one once, many at a time."""
+
     def __init__(self, model: Model):
-        self.model, self.ids = model, {}
+        self.model, self.ids, self.scored = model, Numbers(), 0
         self.table = np.zeros((1024, len(model.langs)), np.float32)
+        # Words that are scored together; the more languages, the fewer.
+        self.together = max(256, 200_000 // max(1, len(model.langs)))
 
     def ids_of(self, words: list[str]) -> list[int]:
-        ids = self.ids
-        try:
-            return [ids[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in ids:
-                    i = len(ids)
-                    if i >= len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[i] = self.model.score(w)
-                    ids[w] = i
-        return [ids[w] for w in words]
+        return list(map(self.ids.__getitem__, words))
+
+    def score(self) -> None:
+        """Fill the rows of words that are new."""
+        new = list(islice(reversed(self.ids), len(self.ids) - self.scored))[::-1]
+        if (short := len(self.ids) - len(self.table)) > 0:
+            self.table = np.concatenate([self.table, np.zeros((max(short, len(self.table)), self.table.shape[1]), np.float32)])
+        for i in range(0, len(new), self.together):
+            some = new[i : i + self.together]
+            self.table[self.scored : self.scored + len(some)] = self.model.scores(some)
+            self.scored += len(some)
 
     def trim(self) -> None:
         if len(self.ids) > MOST_CACHED:
             self.ids.clear()
+            self.scored = 0
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -238,6 +271,7 @@ def _labeller(model: Model, switch: float):
                         ids.extend(scorer.ids_of(found))
                     sizes.append(len(found) if model.langs else 0)
                     done += 1
+                scorer.score()
                 yield _report(scorer, b["doc_id"].iloc[begin:done], np.array(ids, np.int64), np.array(sizes, np.int64), switch)
                 scorer.trim()
 
@@ -245,7 +279,10 @@ def _labeller(model: Model, switch: float):
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """docs without the rows that have no language (und) or none with least_score of the words; all columns unchanged."""
+    """docs without the rows that have no language (und) or none with least_score of the words; all columns unchanged.
+
+    So null and empty texts and texts without letters go.  Repeated rows stay or go together; an empty table gives no rows.
+    """
     label = _labeller(model, switch)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs as often as the mix takes them: once for each whole epoch, and once more if at least half of the row lies before its source's cut.
 
     All columns unchanged.  Rows that repeat with their identifier, text and source share their takes evenly, rounded up.
+    A text without words has size 0, so it is never taken; rows with null source are a source of their own.  An empty table gives no rows.
     """
     tag = F.xxhash64(id_col, text_col, source_col)
     plan = mix(docs.select(tag.alias("_tag"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), id_col="_tag", **kw)
