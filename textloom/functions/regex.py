@@ -17,8 +17,23 @@ def extract(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+#: What \\s matches.
+SPACE = " \t\n\x0b\f\r"
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
+
+
+def occurrences(text: Column, literal: str) -> Column:
+    """Places of a literal that don't overlap, without a regular expression."""
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(literal), F.lit("")))
+    return (gone / len(literal.encode())).cast("int")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def round_half_up(x: Column, digits: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.regex import B, count, extract, round_half_up, trim
+from textloom.functions.regex import B, count, extract, let, occurrences, round_half_up, trim
 
 # Patterns and word lists of the measurements.
 WORD = r"[A-Za-z0-9][A-Za-z0-9'’\-]*"
@@ -37,13 +37,16 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of a text; a list marker stays with its item, and a line end alone is no break."""
-    t = F.regexp_replace(F.regexp_replace(whole(text), r"\r\n?", "\n"), r"\n+", " \n ")
-    t = F.regexp_replace(trim(t), r"(?:^|\n)\s*[-*•]\s+", "\x01- ")
+    # A text is only rewritten for marks that it has.
+    has = lambda pattern, f: lambda t: F.when(t.rlike(pattern), f(t)).otherwise(t)
     lead = r"(^|\n|(?<=[.!?]\s))\s*(\d{1,2})"
-    t = F.regexp_replace(t, lead + r"\.\s+", "$1$2\x02\x01")
-    t = F.regexp_replace(t, lead + r"\)\s+", "$1$2\x01")
+    t = let(whole(text), lambda t: F.when(t.contains("\r"), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t))
+    t = trim(F.regexp_replace(t, r"\n+", " \n "))
+    t = let(t, has(r"[-*•]\s", lambda t: F.regexp_replace(t, r"(?:^|\n)\s*[-*•]\s+", "\x01- ")))
+    t = let(t, has(r"\d\.\s", lambda t: F.regexp_replace(t, lead + r"\.\s+", "$1$2\x02\x01")))
+    t = let(t, has(r"\d\)\s", lambda t: F.regexp_replace(t, lead + r"\)\s+", "$1$2\x01")))
     parts = F.split(t, "(?<=[.!?])\\s+(?=[A-Z0-9\"'(\\[]|\x01)")
-    return F.filter(F.transform(parts, lambda s: trim(F.translate(s, "\x01\x02", " ."))), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: trim(F.replace(F.replace(s, F.lit("\x01"), F.lit(" ")), F.lit("\x02"), F.lit(".")))), lambda s: s != "")
 
 
 def sentence_lengths(text: Column) -> Column:
@@ -69,6 +72,28 @@ def line_at(text: Column, offset: Column) -> Column:
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n", -1))
 
 
+def sentence_at(text: Column, offset: Column, size: Column) -> Column:
+    """The sentence around `size` characters from a 0-based offset on: from the full stop before to the one after, white space collapsed."""
+    head, tail = F.substring(text, F.lit(1), offset), F.substring(text, offset + size + 1, F.length(text))
+    whole_ = F.concat(F.substring_index(head, ".", -1), F.substring(text, offset + 1, size), F.substring_index(tail, ".", 1))
+    return trim(F.regexp_replace(whole_, r"\s+", " "))
+
+
+def years(text: Column) -> Column:
+    """array<int> of the years from 1900 to 2099 in a text."""
+    return F.transform(extract(whole(text), rf"{B}(?:19|20)[0-9]{{2}}{B}"), lambda y: y.cast("int"))
+
+
+def first_year(period: Column) -> Column:
+    """The first year of a period, null if there is none."""
+    return F.get(years(period), F.lit(0))
+
+
+def end_year(period: Column) -> Column:
+    """The last year of a period; 9999 if it runs on, null if it has no year."""
+    return F.when(whole(period).rlike(rf"(?i){B}(?:present|current|now|today){B}"), F.lit(9999)).otherwise(F.array_max(years(period)))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
 
@@ -95,8 +120,14 @@ def variation(a: Column) -> Column:
     return F.when(total(a) > 0, stdev(a) / mean(a)).otherwise(F.lit(0.0))
 
 
-def pronouns(text: Column, which: str) -> Column:
-    return count(whole(text), f"(?i){B}(?:{which}){B}")
+def tokens(text: Column) -> Column:
+    """Runs of ASCII letters, digits and underscores in lower case, in which pronouns are counted."""
+    return F.transform(F.split(whole(text), "[^A-Za-z0-9_]+"), F.lower)
+
+
+def pronouns(tokens_: Column, which: str) -> Column:
+    """How many tokens are pronouns of a list.  A short form counts by what stands before its apostrophe, which is in each list."""
+    return F.size(F.filter(tokens_, lambda w: w.isin([p for p in which.split("|") if "'" not in p])))
 
 
 def second_to_first(second: Column, first: Column, n_words: Column) -> Column:
@@ -106,14 +137,18 @@ def second_to_first(second: Column, first: Column, n_words: Column) -> Column:
     return F.when(first == 0, s).otherwise(s / f)
 
 
+#: A digit with no word character before it.
+DIGIT = r"[0-9](?<![A-Za-z0-9_][0-9])"
+
+
 def numbers(text: Column) -> Column:
     """Numeric tokens, with thousands and a unit of time or part."""
-    return extract(whole(text), rf"(?i){B}[0-9][0-9,.]*\s?(?:{UNITS}|k|m|bn)?{B}")
+    return extract(whole(text), rf"(?i){DIGIT}[0-9,.]*\s?(?:{UNITS}|k|m|bn)?{B}")
 
 
 def claim_numbers(text: Column) -> Column:
     """Numeric tokens as a sourced claim gives them, trimmed."""
-    return F.transform(extract(whole(text), rf"(?i){B}[0-9]+(?:[.,][0-9]+)?\s?(?:{UNITS})?{B}"), trim)
+    return F.transform(extract(whole(text), rf"(?i){DIGIT}[0-9]*(?:[.,][0-9]+)?\s?(?:{UNITS})?{B}"), trim)
 
 
 def imperatives(text: Column) -> Column:
@@ -126,7 +161,10 @@ def hashtags(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """Lower case, plain quotes and hyphens, white space collapsed."""
-    return F.regexp_replace(F.translate(F.lower(whole(text)), "‘’“”–—", "''\"\"--"), r"\s+", " ")
+    out = F.lower(whole(text))
+    for fancy, plain in zip("‘’“”–—", "''\"\"--"):
+        out = F.replace(out, F.lit(fancy), F.lit(plain))
+    return F.regexp_replace(out, r"\s+", " ")
 
 
 def hook_key(text: Column) -> Column:
@@ -157,13 +195,31 @@ COUNTS = {
     "commas": ",",
     "questions": r"\?",
 }
-CONTRACTION = rf"(?i){B}[A-Za-z0-9_]+'(?:s|t|re|ve|ll|d|m){B}"
+#: The marks of COUNTS, of which each place counts.
+LITERALS = {"exclamations": "!", "ellipses": "...", "semicolons": ";", "colons": ":", "dashes": "—–", "commas": ",", "questions": "?"}
+CONTRACTION = r"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]++'(?:s|t|re|ve|ll|d|m)(?![A-Za-z0-9_])"
+
+
+def punctuation(text: Column) -> dict[str, Column]:
+    """The counts of COUNTS, without regular expressions."""
+    t = whole(text)
+    return {k: occurrences(t, v) if k == "ellipses" else sum((occurrences(t, c) for c in v[1:]), occurrences(t, v[0])) for k, v in LITERALS.items()}
+
+
+def contractions(text: Column) -> Column:
+    t = whole(text)
+    return F.when(t.contains("'"), count(t, CONTRACTION)).otherwise(0)
+
+
+def hashtag_count(text: Column) -> Column:
+    t = whole(text)
+    return F.when(t.contains("#"), count(t, HASHTAG)).otherwise(0)
 
 
 def style_profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with 21 numeric columns of style; the words of each sentence are counted once."""
+    """docs with 21 numeric columns of style; the words of each sentence are counted once, and tokens cut once."""
     text = F.col(text_col)
-    base = docs.withColumn("_lens", sentence_lengths(text))
+    base = docs.withColumns({"_lens": sentence_lengths(text), "_tokens": tokens(text)})
     out = {
         "chars": F.length(whole(text)),
         "words": count(whole(text), WORD),
@@ -173,14 +229,14 @@ def style_profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "length_variance": round_half_up(variation(F.col("_lens")), 3),
         "paragraphs": F.size(paragraphs(text)),
         "emoji": count(whole(text), EMOJI),
-        "hashtags": count(whole(text), HASHTAG),
+        "hashtags": hashtag_count(text),
         "numbers": F.size(numbers(text)),
-        "first_person": pronouns(text, FIRST),
-        "second_person": pronouns(text, SECOND),
-        "third_person": pronouns(text, THIRD),
-        "contractions": count(whole(text), CONTRACTION),
-    } | {k: count(whole(text), p) for k, p in COUNTS.items()}
-    return base.withColumns(out).drop("_lens")
+        "first_person": pronouns(F.col("_tokens"), FIRST),
+        "second_person": pronouns(F.col("_tokens"), SECOND),
+        "third_person": pronouns(F.col("_tokens"), THIRD),
+        "contractions": contractions(text),
+    } | punctuation(text)
+    return base.withColumns(out).drop("_lens", "_tokens")
 
 
 STYLE_FIELDS = ("chars", "words", "sentences", "mean_sentence_words", "median_sentence_words", "length_variance", "paragraphs", "emoji", "hashtags", "questions", "numbers", "first_person", "second_person", "third_person", "exclamations", "ellipses", "semicolons", "colons", "dashes", "commas", "contractions")

@@ -2,38 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.phrases import CTA, DICTIONARY, HOOKS
-from textloom.functions.regex import B
-from textloom.functions.text import first_line, line_at, normalised, whole
+from textloom.functions.regex import B, let
+from textloom.functions.text import STOPWORDS, first_line, line_at, normalised, whole, words
+
+Entries = list[tuple[str, int, str]]
 
 
-def _entries(dictionary: list[tuple[str, int, str]]) -> Column:
+def _entries(dictionary: Entries) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("pos"), F.lit(p).alias("phrase")) for k, i, p in dictionary])
 
 
-def hits(docs: DataFrame, dictionary: list[tuple[str, int, str]] = DICTIONARY, text_col: str = "text") -> DataFrame:
+@lru_cache(16)
+def _automaton(phrases: tuple[str, ...]):
+    """Automaton over the phrases and, where they have an apostrophe, over their forms without the first one; its values are (phrase, without)."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    forms: dict[str, list[int]] = {}
+    for i, p in enumerate(phrases):
+        forms.setdefault(p, []).append(i)
+        if "'" in p:
+            forms.setdefault(p.replace("'", "", 1), []).append(i + len(phrases))
+    for form, ids in forms.items():
+        if form:
+            found.add_word(form, tuple(ids))
+    found.make_automaton()
+    return found
+
+
+def matcher(dictionary: Entries = DICTIONARY):
+    """A function of a lower-cased text: sorted array<int> of the entries that stand in it.
+
+    One pass of an automaton finds all phrases at once, in Arrow batches; a text is not read again for each of them.  An entry of
+    which only the form without its first apostrophe stands in the text has the number of entries added.
+    """
+    phrases = tuple(p for _, _, p in dictionary)
+
+    def found(texts: pd.Series) -> pd.Series:
+        automaton, n = _automaton(phrases), len(phrases)
+        out = []
+        for t in texts:
+            ids: set[int] = set()
+            if t and len(automaton):
+                for _, x in automaton.iter(t):
+                    ids.update(x)
+            out.append(sorted(i for i in ids if i < n or i - n not in ids))
+        return pd.Series(out)
+
+    return F.pandas_udf(found, "array<int>")
+
+
+def hits(docs: DataFrame, dictionary: Entries = DICTIONARY, text_col: str = "text") -> DataFrame:
     """docs x phrase rows (kind, pos, phrase, position, line, context), one for each phrase that a text holds.
 
-    The dictionary is a literal in the plan: each text is read once where it lies and only hits
-    become rows.  The position is the first one, from 0, case-insensitive; a phrase with an apostrophe is
-    also found without it.
+    Each text is read once where it lies and only hits become rows.  The position is the first one, from 0,
+    case-insensitive; a phrase with an apostrophe is also found without it.
     """
     others = [c for c in docs.columns if c != text_col]
     base = docs.select(*others, whole(F.col(text_col)).alias("_t")).withColumn("_low", F.lower("_t"))
+    found = base.withColumn("_ids", matcher(dictionary)("_low"))
+    # Not explode(): its filter on the array's size would be pushed below and search the texts a second time.
+    rows = found.select(*others, "_t", "_low", F.explode_outer("_ids").alias("_i")).filter("_i is not null")
+    rows = rows.select(*others, "_t", "_low", F.get(_entries(dictionary), F.col("_i") % len(dictionary)).alias("_e"), (F.col("_i") >= len(dictionary)).alias("_bare")).select(*others, "_t", "_low", "_bare", "_e.*")
     # A phrase's first apostrophe is optional where the phrase itself is not found.
-    bare = lambda p: F.regexp_replace(p, "^([^']*)'", "$1")
-    found = F.filter(_entries(dictionary), lambda e: F.col("_low").contains(e["phrase"]) | (e["phrase"].contains("'") & F.col("_low").contains(bare(e["phrase"]))))
-    # Not explode(): its filter on the array's size would be pushed below and lower the text for each phrase.
-    rows = base.select(*others, "_t", "_low", F.explode_outer(found).alias("_e")).filter("_e is not null").select(*others, "_t", "_low", "_e.*")
-    at = F.instr("_low", F.col("phrase")) - 1
-    placed = rows.withColumn("position", F.when(at >= 0, at).otherwise(F.instr("_low", bare(F.col("phrase"))) - 1))
+    position = F.instr("_low", F.when(F.col("_bare"), F.regexp_replace("phrase", "^([^']*)'", "$1")).otherwise(F.col("phrase"))) - 1
+    placed = rows.withColumn("position", position)
     start = F.greatest(F.lit(0), F.col("position") - 48)
     end = F.least(F.length("_t"), F.col("position") + F.length("phrase") + 48)
     context = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(F.col("_t"), start + 1, end - start), F.when(end < F.length("_t"), "...").otherwise(""))
-    return placed.withColumn("line", line_at(F.col("_t"), F.col("position"))).withColumn("context", context).drop("_t", "_low")
+    return placed.withColumn("line", line_at(F.col("_t"), F.col("position"))).withColumn("context", context).drop("_t", "_low", "_bare")
 
 
 def occurrences(text: Column, phrase: Column) -> Column:
@@ -42,10 +87,10 @@ def occurrences(text: Column, phrase: Column) -> Column:
     return ((F.length(t) - F.length(F.replace(t, phrase, F.lit("")))) / F.length(phrase)).cast("int")
 
 
-def present(kind: str, low: Column, dictionary: list[tuple[str, int, str]] = DICTIONARY) -> Column:
-    """Number of distinct phrases of a kind in a lower-cased text, given as a column that is computed already."""
-    phrases = [p for k, _, p in dictionary if k == kind]
-    return F.size(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: low.contains(p)))
+def present(kind: str, ids: Column, dictionary: Entries = DICTIONARY) -> Column:
+    """Number of distinct phrases of a kind, with their apostrophes, among the entries that matcher() found."""
+    mine = [i for i, (k, _, _) in enumerate(dictionary) if k == kind]
+    return F.size(F.filter(ids, lambda i: i.between(mine[0], mine[-1]))) if mine else F.lit(0)
 
 
 def hook_head(text: Column) -> Column:
@@ -54,8 +99,8 @@ def hook_head(text: Column) -> Column:
 
 def hook_families(text: Column) -> Column:
     """array<string> of the hook families that the opening belongs to."""
-    head = hook_head(text)
-    return F.filter(F.array(*[F.when(head.rlike(p), F.lit(n)) for n, p in HOOKS]), lambda x: x.isNotNull())
+    found = lambda head: F.filter(F.array(*[F.when(head.rlike(p.replace("{B}", B)), F.lit(n)) for n, p in HOOKS]), lambda x: x.isNotNull())
+    return let(hook_head(text), found)
 
 
 def cta_positions(text: Column) -> Column:
@@ -70,8 +115,6 @@ def has_markdown(text: Column) -> Column:
 
 def contains_word(text: Column, phrase: str) -> Column:
     """The phrase between characters that are not word characters, case-insensitive."""
-    import re
-
     return whole(text).rlike(f"(?i)(?:^|[^A-Za-z0-9_]){re.escape(phrase)}(?:$|[^A-Za-z0-9_])")
 
 
@@ -82,3 +125,12 @@ def vocabulary(docs: DataFrame, prefer: list[str], avoid: list[str], id_col: str
     entries += [F.struct(F.lit("missing").alias("report"), F.lit(w).alias("word"), (~contains_word(text, w)).alias("hit"), F.lit(0).alias("n")) for w in prefer]
     entries += [F.struct(F.lit("overuse").alias("report"), F.lit(w).alias("word"), (occurrences(text, F.lit(w)) > 3).alias("hit"), occurrences(text, F.lit(w)).alias("n")) for w in prefer]
     return docs.select(id_col, F.explode(F.array(*entries)).alias("_e")).filter("_e.hit").select(id_col, "_e.report", "_e.word", "_e.n")
+
+
+def dominant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 12) -> DataFrame:
+    """(id, word, n, rank): the most frequent content words of each text, of 4 letters or more and no stop words; ties by word."""
+    found = words(F.lower(whole(F.col(text_col))))
+    rows = docs.select(id_col, F.explode_outer(found).alias("word")).filter((F.length("word") >= 4) & ~F.col("word").isin(STOPWORDS))
+    n = rows.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "word"))
+    return n.withColumn("rank", rank).filter(F.col("rank") <= limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.regex import count, round_half_up
 from textloom.operators import lexicon as L
-from textloom.operators.sourcing import unsourced
+from textloom.operators.sourcing import nearest_claim, unsourced
 
 
 @dataclass(frozen=True)
@@ -27,15 +28,16 @@ class Voice:
     most_overlap: float = 0.25
 
 
-def measure(posts: DataFrame, known: DataFrame, overlap: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One wide row for each post; overlap: (id, overlap), absent without history."""
+def measure(posts: DataFrame, known: DataFrame, overlap: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One wide row for each post, with the columns keep unchanged; overlap: (id, overlap), absent without history."""
     text = F.col(text_col)
-    base = posts.select(id_col, text.alias("_t"), T.sentence_lengths(text).alias("_l"), L.cta_positions(text).alias("_c"), T.first_line(text).alias("_f"), F.lower(T.whole(text)).alias("_low"))
+    base = posts.select(id_col, *keep, text.alias("_t"), T.sentence_lengths(text).alias("_l"), L.cta_positions(text).alias("_c"), T.first_line(text).alias("_f"), T.tokens(text).alias("_tokens"), L.matcher()(F.lower(T.whole(text))).alias("_ids"))
     t = F.col("_t")
     n_words = count(T.whole(t), T.WORD)
-    ratio = T.second_to_first(T.pronouns(t, T.SECOND), T.pronouns(t, T.FIRST), n_words)
+    ratio = T.second_to_first(T.pronouns(F.col("_tokens"), T.SECOND), T.pronouns(F.col("_tokens"), T.FIRST), n_words)
     wide = base.select(
         id_col,
+        *keep,
         F.length("_f").alias("hook_chars"),
         count(F.col("_f"), T.WORD).alias("hook_words"),
         F.size(L.hook_families(t)).alias("hook_families"),
@@ -43,15 +45,15 @@ def measure(posts: DataFrame, known: DataFrame, overlap: DataFrame | None = None
         round_half_up(T.variation(F.col("_l")), 3).alias("variation"),
         F.coalesce(F.array_max(F.transform(T.paragraphs(t), F.length)), F.lit(0)).alias("longest_paragraph"),
         F.size(T.imperatives(t)).alias("imperatives"),
-        L.present("hard", F.col("_low")).alias("hard_bans"),
-        L.present("soft", F.col("_low")).alias("soft_tells"),
+        L.present("hard", F.col("_ids")).alias("hard_bans"),
+        L.present("soft", F.col("_ids")).alias("soft_tells"),
         round_half_up(ratio, 2).alias("second_to_first"),
         F.size("_c").alias("ctas"),
         round_half_up(F.when(F.size("_c") > 0, F.array_min("_c") / F.greatest(F.length(T.whole(t)), F.lit(1))).otherwise(F.lit(1.0)), 4).alias("cta_ratio"),
-        count(T.whole(t), T.HASHTAG).alias("hashtags"),
+        T.hashtag_count(t).alias("hashtags"),
         count(T.whole(t), T.EMOJI).alias("emoji"),
         L.has_markdown(t).alias("markdown"),
-        L.present("authority", F.col("_low")).alias("authority"),
+        L.present("authority", F.col("_ids")).alias("authority"),
     )
     missing = unsourced(posts, known, id_col, text_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("_m"))
     out = wide.join(missing, id_col, "left").withColumn("needs_source", F.coalesce("_m", F.lit(0))).drop("_m")
@@ -87,3 +89,40 @@ def hard_blocks(needs_source: Column, self_reference: Column, published_by_hand:
     """Comma-joined hard blocks: hb1 unsourced number, hb2 client without permission, hb3 self-reference, hb5 published in a mode that isn't auto, hb6 queued or published without approval."""
     parts = [(needs_source, "hb1"), (unpermitted if unpermitted is not None else F.lit(False), "hb2"), (self_reference, "hb3"), (published_by_hand, "hb5"), (unapproved, "hb6")]
     return F.concat_ws(",", *[F.when(x, F.lit(n)) for x, n in parts])
+
+
+#: A phrase that gives a machine away as the author.
+SELF = re.compile(r"as an ai|ai.generated|language model")
+
+
+@dataclass(frozen=True)
+class Publishing:
+    """A persona's publishing settings; the defaults are those of an unset profile."""
+
+    mode: str = "draft"
+    approval_required: bool = True
+    require_permission: bool = False
+
+
+def blocked(posts: DataFrame, known: DataFrame, registry: DataFrame, publishing: Publishing = Publishing(), id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, needs_source, hard_blocks) of post records.
+
+    posts: id, text, status, approvals (array of structs with decision), gate_bypassed.  registry: id, claim, permission; an
+    unsourced number whose nearest entry waits for permission or was refused it is hb2.  Null lists count as empty.
+    """
+    open_ = unsourced(posts, known, id_col, text_col)
+    near = nearest_claim(open_, registry, "id", "claim").join(registry.select(F.col("id").alias("entry"), "permission"), "entry", "left")
+    counts = near.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("permission").isin("requested", "denied")).alias("_refused"))
+    own = [i for i, (kind, _, p) in enumerate(L.DICTIONARY) if kind == "hard" and SELF.search(p)]
+    flags = posts.select(id_col, "status", "approvals", "gate_bypassed", F.exists(L.matcher()(F.lower(T.whole(F.col(text_col)))), lambda i: i.isin(own)).alias("_self"))
+    approved = F.exists(F.coalesce("approvals", F.expr("array()")), lambda a: a["decision"].isin("approved", "edited"))
+    late = F.col("status").isin("queued", "published") & ~F.coalesce(approved, F.lit(False)) & ~F.coalesce("gate_bypassed", F.lit(False))
+    needs = F.coalesce("_n", F.lit(0))
+    blocks = hard_blocks(
+        needs > 0,
+        F.col("_self"),
+        F.lit(publishing.mode != "auto") & (F.col("status") == "published"),
+        F.lit(publishing.approval_required) & late,
+        F.lit(publishing.require_permission) & (F.coalesce("_refused", F.lit(0)) > 0),
+    )
+    return flags.join(counts, id_col, "left").select(id_col, needs.alias("needs_source"), blocks.alias("hard_blocks"))

@@ -40,6 +40,12 @@ POST_BANDS = (("reject", 0, 59), ("revise", 60, 74), ("approve", 75, 89), ("stro
 SEVERITY = {"blocker": 0, "warn": 1, "nice": 2}
 
 
+def from_document(doc: dict) -> tuple[tuple[Check, ...], tuple[tuple[str, int, int], ...]]:
+    """(checks, bands) of a rubric document as readers.load_rubric gives it: dimensions with checks, and grade_bands or bands."""
+    checks = tuple(Check(c["id"], d["id"], int(c["points"]), c.get("severity") or "warn", c.get("computed") is False) for d in doc.get("dimensions") or [] for c in d.get("checks") or [])
+    return checks, tuple((b["label"], int(b["min"]), int(b["max"])) for b in doc.get("grade_bands") or doc.get("bands") or [])
+
+
 def band(score: Column, bands=POST_BANDS) -> Column:
     """Label of the first inclusive range that holds the score; scores between ranges are 'unclassified'."""
     out = F.lit("unclassified")
@@ -84,6 +90,19 @@ def totals(found: DataFrame, keys: tuple[str, ...] = ("doc_id",), bands=POST_BAN
     out = found.groupBy(*keys).agg(earned.alias("earned"), possible.alias("possible"))
     out = out.withColumn("computed_score", F.when(F.col("possible") > 0, round_half_up(F.col("earned") / F.col("possible") * 100, 1)).otherwise(F.lit(0.0)))
     out = out.withColumn("hard_blocks", F.lit("")) if hard_block is None else out.join(hard_block, list(keys), "left").withColumn("hard_blocks", F.coalesce("hard_blocks", F.lit("")))
+    return _judged_by_blocks(out, bands)
+
+
+def scored(measures: DataFrame, passes: Mapping[str, Column], hard_blocks: Column, rubric=POST, keys: tuple[str, ...] = ("doc_id",), bands=POST_BANDS) -> DataFrame:
+    """The rows of totals() straight from the wide row of measures: no finding becomes a row, and nothing is shuffled."""
+    earned = sum((F.when(F.coalesce(passes[c.id], F.lit(False)), F.lit(c.points)).otherwise(0) for c in rubric if c.id in passes and not c.judged), F.lit(0)).cast("long")
+    possible = F.lit(sum(c.points for c in rubric if not c.judged)).cast("long")
+    out = measures.select(*keys, earned.alias("earned"), possible.alias("possible"), hard_blocks.alias("hard_blocks"))
+    out = out.withColumn("computed_score", F.when(F.col("possible") > 0, round_half_up(F.col("earned") / F.col("possible") * 100, 1)).otherwise(F.lit(0.0)))
+    return _judged_by_blocks(out, bands)
+
+
+def _judged_by_blocks(out: DataFrame, bands) -> DataFrame:
     blocked = F.col("hard_blocks") != ""
     return out.withColumn("total", F.when(blocked, F.lit(0.0)).otherwise(F.col("computed_score"))).withColumn("band", F.when(blocked, F.lit("reject")).otherwise(band(F.col("computed_score"), bands)))
 

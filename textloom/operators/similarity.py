@@ -29,7 +29,7 @@ def worst_overlap(posts: DataFrame, history: DataFrame, post_id: str, history_id
         left = F.broadcast(left)
     shared = right.join(left, "gram").groupBy(post_id, "_na", history_id, "_nb").agg(F.count(F.lit(1)).alias("_s"))
     scored = shared.select(post_id, history_id, (F.col("_s") / (F.col("_na") + F.col("_nb") - F.col("_s"))).alias("_o"))
-    best = scored.groupBy(post_id).agg(F.max(F.struct("_o", -F.col(history_id))).alias("_m")).select(post_id, F.col("_m._o").alias("_o"), (-F.col("_m").getField("col2")).alias("nearest"))
+    best = scored.groupBy(post_id).agg(F.max("_o").alias("_o"), F.min_by(history_id, F.struct(-F.col("_o"), F.col(history_id))).alias("nearest"))
     return posts.select(post_id).join(best, post_id, "left").select(post_id, round_half_up(F.coalesce("_o", F.lit(0.0)), 3).alias("overlap"), "nearest")
 
 

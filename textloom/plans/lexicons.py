@@ -13,7 +13,10 @@ from textloom.plans import duck as D
 from textloom.plans.registry import query
 from textloom.sources.tables import table
 
-DICT = "(VALUES " + ", ".join(f"({D.q(k)}, {i}, {D.q(p)})" for k, i, p in DICTIONARY) + ") AS dict(kind, pos, phrase)"
+# Words of the driver's synthetic prose, which has few English phrases.
+SAMPLE = ("the", "erthe", "worthless", "stupid", "licensed under", "all rights reserved", "la", "und", "tion the")
+TERMS = DICTIONARY + [("sample", i, p) for i, p in enumerate(SAMPLE)]
+DICT = "(VALUES " + ", ".join(f"({D.q(k)}, {i}, {D.q(p)})" for k, i, p in TERMS) + ") AS dict(kind, pos, phrase)"
 _BARE = "regexp_replace(phrase, '^([^'']*)''', '\\1')"
 _P = f"CASE WHEN strpos(low, phrase) > 0 THEN strpos(low, phrase) - 1 ELSE strpos(low, {_BARE}) - 1 END"
 HITS = f"""(SELECT doc_id, kind, pos, phrase, position, len(string_split(substr(t, 1, position), chr(10))) AS line,
@@ -27,22 +30,21 @@ def _occ(phrase: str) -> str:
 
 @query(f"SELECT doc_id, kind, phrase, CAST(position AS INT) AS position, CAST(line AS INT) AS line, context FROM {HITS}")
 def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.hits(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("pos")
+    return L.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), TERMS).drop("pos")
 
 
 @query("SELECT doc_id, " + ", ".join(f"(SELECT count(*) FROM {DICT} WHERE kind = '{k}' AND contains(lower({D.whole()}), phrase)) AS {k}" for k in ("hard", "soft", "vague", "authority", "sample")) + " FROM documents")
 def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = table(spark, sf_dir, "documents").select("doc_id", F.lower(whole(F.col("text"))).alias("_low"))
-    return low.select("doc_id", *[L.present(k, F.col("_low")).alias(k) for k in ("hard", "soft", "vague", "authority", "sample")])
+    found = table(spark, sf_dir, "documents").select("doc_id", L.matcher(TERMS)(F.lower(whole(F.col("text")))).alias("_ids"))
+    return found.select("doc_id", *[L.present(k, F.col("_ids"), TERMS).alias(k) for k in ("hard", "soft", "vague", "authority", "sample")])
 
 
 @query(f"WITH t AS MATERIALIZED (SELECT doc_id, {D.normalised()} AS t FROM documents) SELECT doc_id, kind, phrase, n FROM (SELECT doc_id, kind, phrase, CAST((length(t) - length(replace(t, phrase, ''))) // length(phrase) AS INT) AS n FROM t, {DICT} WHERE contains(t, phrase)) WHERE n >= 3")
 def repeated_tells(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", L.normalised(F.col("text")).alias("_n"))
-    low = F.col("_n")
-    found = F.filter(L._entries(DICTIONARY), lambda e: low.contains(e["phrase"]))
-    rows = docs.select("doc_id", "_n", F.explode_outer(found).alias("_e")).filter("_e is not null").select("doc_id", "_e.kind", "_e.phrase", ((F.length("_n") - F.length(F.replace("_n", "_e.phrase", F.lit("")))) / F.length("_e.phrase")).cast("int").alias("n"))
-    return rows.filter(F.col("n") >= least)
+    found = docs.select("doc_id", "_n", F.explode_outer(F.filter(L.matcher(TERMS)("_n"), lambda i: i < len(TERMS))).alias("_i")).filter("_i is not null").select("doc_id", "_n", F.get(L._entries(TERMS), F.col("_i")).alias("_e"))
+    n = ((F.length("_n") - F.length(F.replace("_n", "_e.phrase", F.lit("")))) / F.length("_e.phrase")).cast("int")
+    return found.select("doc_id", "_e.kind", "_e.phrase", n.alias("n")).filter(F.col("n") >= least)
 
 
 PREFER, AVOID = ["the", "and", "la", "und"], ["stupid", "worthless", "scum", "trash"]
@@ -58,7 +60,7 @@ def vocabulary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HEAD = f"({D.first_line()} || ' ' || array_to_string(string_split({D.whole()}, chr(10))[1:2], ' '))"
-HOOK_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_HEAD}, {D.q(p)}) THEN {D.q(n)} END" for n, p in HOOKS) + "], lambda x: x IS NOT NULL)"
+HOOK_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_HEAD}, {D.q(p.replace('{B}', chr(92) + 'b'))}) THEN {D.q(n)} END" for n, p in HOOKS) + "], lambda x: x IS NOT NULL)"
 
 
 @query(f"SELECT doc_id, array_to_string({HOOK_SQL}, ',') AS families, len({HOOK_SQL}) AS n_families FROM documents")

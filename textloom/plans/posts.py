@@ -56,32 +56,15 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", "text")
 
 
-@query(f"SELECT value FROM {_KNOWN}")
-def known_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.known_numbers(_registry(spark, sf_dir), "text")
-
-
 @query(f"WITH known AS {_KNOWN} SELECT doc_id, pos, value, claim FROM {UNSOURCED}")
 def unsourced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.unsourced(table(spark, sf_dir, "documents"), Q.known_numbers(_registry(spark, sf_dir), "text"))
 
 
-_CLEAN = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
-
-
-@query(f"""WITH known AS {_KNOWN}, c AS (SELECT row_number() OVER () AS r, doc_id, pos, value, {_CLEAN.format('claim')} AS c FROM {UNSOURCED}),
- e AS (SELECT item_id, list_distinct(list_filter(string_split({_CLEAN.format(D.whole())}, ' '), lambda x: length(x) > 3)) AS w FROM benchmark),
- s AS (SELECT r, item_id, len(list_filter(w, lambda x: contains(c, x)))::DOUBLE / len(w) AS s FROM c, e WHERE len(w) > 0),
- b AS (SELECT r, item_id, s FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s DESC, item_id) AS k FROM s) WHERE k = 1 AND s >= 0.4)
- SELECT doc_id, pos, value, item_id AS entry, {D.rnd('s', 3)} AS score FROM c LEFT JOIN b USING (r)""")
-def nearest_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = unsourced_numbers(spark, sf_dir)
-    return Q.nearest_claim(claims, _registry(spark, sf_dir)).select("doc_id", "pos", "value", "entry", round_half_up(F.col("score"), 3).alias("score"))
-
-
 # --- post rubric: documents are posts, labels their approval, benchmark the registry of evidence
-def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.measure(table(spark, sf_dir, "documents").select("doc_id", "text"), Q.known_numbers(_registry(spark, sf_dir), "text"))
+def _measures(spark: SparkSession, sf_dir: str, posts: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    posts = table(spark, sf_dir, "documents").select("doc_id", "text") if posts is None else posts
+    return P.measure(posts, Q.known_numbers(_registry(spark, sf_dir), "text"), keep=keep)
 
 
 _RATIO = "CASE WHEN f = 0 THEN s::DOUBLE / greatest(w, 1) * 100 ELSE (s::DOUBLE / greatest(w, 1) * 100) / (f::DOUBLE / greatest(w, 1) * 100) END"
@@ -131,10 +114,9 @@ _BAND = "CASE " + " ".join(f"WHEN {{0}} BETWEEN {a} AND {b} THEN '{n}'" for n, a
  h AS (SELECT doc_id, CASE WHEN needs_source > 0 THEN 'hb1' ELSE '' END AS hard_blocks FROM m),
  c AS (SELECT *, {D.rnd('earned::DOUBLE / possible * 100', 1)} AS computed_score FROM t JOIN h USING (doc_id))
  SELECT doc_id, earned, possible, computed_score, hard_blocks, CASE WHEN hard_blocks <> '' THEN 0.0 ELSE computed_score END AS total, CASE WHEN hard_blocks <> '' THEN 'reject' ELSE {_BAND.format('computed_score')} END AS band FROM c""")
-def post_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def post_scores(spark: SparkSession, sf_dir: str, posts: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     no = F.lit(False)
-    blocks = _measures(spark, sf_dir).select("doc_id", P.hard_blocks(F.col("needs_source") > 0, no, no, no).alias("hard_blocks"))
-    return R.totals(_findings(spark, sf_dir), hard_block=blocks)
+    return R.scored(_measures(spark, sf_dir, posts, keep), P.checks()[0], P.hard_blocks(F.col("needs_source") > 0, no, no, no), keys=("doc_id", *keep))
 
 
 _RANK = "row_number() OVER (PARTITION BY doc_id ORDER BY passed, CASE severity WHEN 'blocker' THEN 0 WHEN 'warn' THEN 1 WHEN 'nice' THEN 2 ELSE 3 END, points DESC, rubric_pos)"

@@ -17,7 +17,7 @@ DOC = "documents"
 @query(f"SELECT doc_id, {D.count(D.whole(), T.WORD)} AS n_words, length({D.whole()}) AS n_chars_all, {', '.join(f'{D.count(D.whole(), p)} AS {k}' for k, p in T.COUNTS.items())}, {D.STYLE['contractions']} AS contractions FROM documents")
 def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = T.whole(F.col("text"))
-    return table(spark, sf_dir, DOC).select("doc_id", count(text, T.WORD).alias("n_words"), F.length(text).alias("n_chars_all"), *[count(text, p).alias(k) for k, p in T.COUNTS.items()], count(text, T.CONTRACTION).alias("contractions"))
+    return table(spark, sf_dir, DOC).select("doc_id", count(text, T.WORD).alias("n_words"), F.length(text).alias("n_chars_all"), *[c.alias(k) for k, c in T.punctuation(text).items()], T.contractions(text).alias("contractions"))
 
 
 @query(f"SELECT doc_id, len(l) AS n_sentences, {D.rnd(D.mean('l'), 2)} AS mean_words, {D.rnd(D.median('l'), 2)} AS median_words, {D.rnd(D.stdev('l'), 3)} AS sd_words, {D.rnd(D.variation('l'), 3)} AS variation FROM (SELECT doc_id, {D.lengths()} AS l FROM documents)")
@@ -41,7 +41,8 @@ RATIO = "CASE WHEN f = 0 THEN s::DOUBLE / greatest(w, 1) * 100 ELSE (s::DOUBLE /
 @query(f"SELECT doc_id, f AS first_person, s AS second_person, t AS third_person, {D.rnd(RATIO, 2)} AS second_to_first, CAST(floor(w::DOUBLE / 238 * 60 + 0.5) AS BIGINT) AS reading_seconds FROM (SELECT doc_id, {D.pronouns(T.FIRST)} AS f, {D.pronouns(T.SECOND)} AS s, {D.pronouns(T.THIRD)} AS t, {_W} AS w FROM documents)")
 def pronoun_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    base = table(spark, sf_dir, DOC).select("doc_id", *[T.pronouns(text, p).alias(n) for n, p in (("first_person", T.FIRST), ("second_person", T.SECOND), ("third_person", T.THIRD))], count(T.whole(text), T.WORD).alias("_w"))
+    cut = table(spark, sf_dir, DOC).select("doc_id", T.tokens(text).alias("_t"), count(T.whole(text), T.WORD).alias("_w"))
+    base = cut.select("doc_id", *[T.pronouns(F.col("_t"), p).alias(n) for n, p in (("first_person", T.FIRST), ("second_person", T.SECOND), ("third_person", T.THIRD))], "_w")
     ratio = T.second_to_first(F.col("second_person"), F.col("first_person"), F.col("_w"))
     return base.select("doc_id", "first_person", "second_person", "third_person", round_half_up(ratio, 2).alias("second_to_first"), T.reading_seconds(F.col("_w")).alias("reading_seconds"))
 
