@@ -91,10 +91,11 @@ def metrics_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- quality
 @query("""SELECT 'orders.o_custkey' AS reference, CAST(o_custkey AS VARCHAR) AS value, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey
  UNION ALL SELECT 'lineitem.l_partkey', CAST(l_partkey AS VARCHAR), count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) GROUP BY l_partkey UNION ALL SELECT 'labels.doc_id', CAST(doc_id AS VARCHAR), count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY doc_id
- UNION ALL SELECT 'nation.n_regionkey', CAST(n_regionkey AS VARCHAR), count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region) GROUP BY n_regionkey""")
+ UNION ALL SELECT 'nation.n_regionkey', CAST(n_regionkey AS VARCHAR), count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region) GROUP BY n_regionkey
+ UNION ALL SELECT 'documents.doc_id', CAST(doc_id AS VARCHAR), count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id UNION ALL SELECT 'customer.c_custkey', CAST(c_custkey AS VARCHAR), count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_custkey""")
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    refs = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("labels", "doc_id", "documents", "doc_id"), ("nation", "n_regionkey", "region", "r_regionkey")]
+    refs = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("labels", "doc_id", "documents", "doc_id"), ("nation", "n_regionkey", "region", "r_regionkey"), ("documents", "doc_id", "labels", "doc_id"), ("customer", "c_custkey", "orders", "o_custkey")]
     found = [K.dangling(t(a).select(k), k, t(b).select(j), j, f"{a}.{k}") for a, k, b, j in refs]
     out = found[0]
     for f in found[1:]:
@@ -164,13 +165,16 @@ def order_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- approval gate
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = PQ.post_scores(spark, sf_dir).select("doc_id", "hard_blocks", "total")
+    # Only whether a text is empty goes through the joins, not the text.
+    empty = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "") == ""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", F.when(empty, "").otherwise("-").alias("_some"))
+    scores = PQ.post_scores(spark, sf_dir, docs, ("source", "lang", "_some")).select("doc_id", "source", "lang", F.col("_some").alias("text"), "hard_blocks", "total")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").join(scores, "doc_id").join(labels, "doc_id", "left")
+    rows = scores.join(labels, "doc_id", "left")
     status = F.when(F.col("quality") == 1, "approved").when(F.col("quality") == 0, "rejected").otherwise("draft")
     blocks = F.concat_ws(",", F.nullif("hard_blocks", F.lit("")), F.when(F.col("toxic") == 1, F.lit("toxic")))
     shown = F.when(F.col("source") == "src3", "CONNECTIONS").otherwise("PUBLIC")
-    ready = docs.select("doc_id", "text", "source", "lang", "total", status.alias("status"), blocks.alias("hard_blocks"), (F.col("quality") == 1).alias("approved"), shown.alias("visibility"), F.lit(40.0).alias("least_score"), F.array(F.lit("PUBLIC")).alias("allowed_visibility"))
+    ready = rows.select("doc_id", "text", "source", "lang", "total", status.alias("status"), blocks.alias("hard_blocks"), (F.col("quality") == 1).alias("approved"), shown.alias("visibility"), F.lit(40.0).alias("least_score"), F.array(F.lit("PUBLIC")).alias("allowed_visibility"))
     return H.approved_rows(ready)
 
 
@@ -188,7 +192,7 @@ def approval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SCORES} SELECT CAST(doc_id AS VARCHAR) AS id, source AS pillar, lang AS archetype, status, text AS body, '' AS image_url, visibility, 'MAIN_FEED' AS feed_distribution, total AS score FROM r WHERE reject_reason IS NULL")
 def export_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _gated(spark, sf_dir).filter("reject_reason is null")
+    out = _gated(spark, sf_dir).filter("reject_reason is null").drop("text").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return out.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("pillar"), F.col("lang").alias("archetype"), "status", F.col("text").alias("body"), F.lit("").alias("image_url"), "visibility", F.lit("MAIN_FEED").alias("feed_distribution"), F.col("total").alias("score"))
 
 
@@ -213,8 +217,7 @@ _ARCH = "[" + ", ".join(f"'{a}'" for a in G.ARCHETYPES) + "]"
 
 @query(f"SELECT idx, {_ARCH}[idx % 10 + 1] AS archetype FROM {_SPINE}")
 def archetype_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spine = G.date_spine(spark, START, DAYS)
-    return spine.select("idx", G.archetype_at(F.col("idx"), spine.count()).alias("archetype"))
+    return G.date_spine(spark, START, DAYS).select("idx", G.archetype_at(F.col("idx")).alias("archetype"))
 
 
 _POOL = "(SELECT CAST(row_number() OVER (ORDER BY r_regionkey, k) - 1 AS INT) AS pos, 'p' || (r_regionkey + 1) AS pillar FROM (SELECT r_regionkey, unnest(generate_series(1, CAST(floor([0.40::DOUBLE, 0.25, 0.20, 0.10, 0.05][r_regionkey + 1] * 22 + 0.5) AS INT))) AS k FROM region))"
@@ -249,9 +252,4 @@ _RUNG = "CASE " + " ".join(f"WHEN pillar IN {tuple(r['serves'])} AND archetype I
  SELECT 'slot-2026-01-05-' || lpad(CAST(idx + 1 AS VARCHAR), 3, '0') AS id, idx, date, ['08:30', '12:00'][idx % 2 + 1] AS time, pillar, archetype, ['b1', 'b2', 'b3'][idx % 3 + 1] AS belief_ref, proof_ref, {_RUNG} AS offer_rung, {_HOOK} AS hook_family,
  CASE WHEN archetype IN ('opinion', 'question') THEN 1 WHEN archetype = 'announcement' THEN 4 WHEN archetype = 'myth_busting' AND proof_ref IS NULL THEN 1 WHEN proof_ref IS NULL THEN 2 ELSE 3 END AS claim_level FROM b""")
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _slots(spark, sf_dir)
-
-
-@query("SELECT 'no_hot_takes' AS rule, 'plan' AS subject, 'nice' AS severity")
-def plan_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.plan_violations(_slots(spark, sf_dir), 3, 3, 0)
+    return _slots(spark, sf_dir).drop("segment", "hook_brief")
