@@ -18,7 +18,7 @@ def one(spark, text, *columns):
 
 @pytest.mark.parametrize(
     "text, n",
-    [("don't stop", 2), ("", 0), (None, 0), ("naïve", 2)],
+    [("can't wait", 2), ("", 0), (None, 0), ("naïve", 2)],
 )
 def test_words(spark, text, n):
     assert len(one(spark, text, T.words(F.col("text")))[0]) == n
@@ -27,8 +27,9 @@ def test_words(spark, text, n):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("One thing. Another thing! A third? Yes", ["One thing.", "Another thing!", "A third?", "Yes"]),
-        ("1. Write the trigger down. 2. Delete the old steps. 3. Test it twice.", ["1. Write the trigger down.", "2. Delete the old steps.", "3. Test it twice."]),
+        ("Rain fell. Nobody moved! Did you? No", ["Rain fell.", "Nobody moved!", "Did you?", "No"]),
+        ("1. Open the ledger. 2. Name an owner. 3. Close the day.", ["1. Open the ledger.", "2. Name an owner.", "3. Close the day."]),
+        ("1) Open it.\r\n2) Close it.", ["1 Open it.", "2 Close it."]),
         ("a line\nwithout an end", ["a line \n without an end"]),
         ("- one\n- two", ["- one - two"]),
         ("", []),
@@ -48,17 +49,17 @@ def test_array_statistics(spark):
 def test_counts(spark):
     c = F.col("text")
     assert one(spark, "a\n\nb\n\n\nc", T.paragraphs(c))[0] == ["a", "b", "c"]
-    assert tuple(one(spark, "#one #two email@example.com#no", F.regexp_count(c, F.lit(T.HASHTAG)), T.hashtags(c))) == (2, ["one", "two"])
+    assert tuple(one(spark, "#close #month ops@example.org#no", F.regexp_count(c, F.lit(T.HASHTAG)), T.hashtags(c))) == (2, ["close", "month"])
     assert one(spark, "\U0001f44d❤️\U0001f1eb\U0001f1f7", F.regexp_count(c, F.lit(T.EMOJI)))[0] == 5
     assert one(spark, "\U0001f44d", F.length(c))[0] == 1
-    assert one(spark, "1. Write it down.\n2. Use the list.\n- Check twice.\nA thing happened.", F.size(T.imperatives(c)))[0] == 3
+    assert one(spark, "1. Send the sheet.\n2. Count the boxes.\n- Ask the clerk.\nNobody answered.", F.size(T.imperatives(c)))[0] == 3
     assert one(spark, "Cut 47% and 6 hours in 2024.", T.claim_numbers(c))[0] == ["47", "6 hours", "2024"]
-    assert tuple(one(spark, "I'm sure you and your team know it", T.pronouns(c, T.FIRST), T.pronouns(c, T.SECOND), T.pronouns(c, T.THIRD))) == (1, 2, 1)
-    assert one(spark, "just do it, Just just", lexicon.occurrences(c, F.lit("just")))[0] == 3
+    assert tuple(one(spark, "I'm sure you and your team know it", *[T.pronouns(T.tokens(c), x) for x in (T.FIRST, T.SECOND, T.THIRD)])) == (1, 2, 1)
+    assert one(spark, "simply said, Simply put: simply", lexicon.occurrences(c, F.lit("simply")))[0] == 3
 
 
 def test_grams_and_overlap(spark):
-    df = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "u v w x y z"), (4, "a b")], "id long, text string")
+    df = spark.createDataFrame([(1, "oak ash elm fir yew box"), (2, "Oak ash elm fir yew box"), (3, "cod eel ray hake ling bass"), (4, "oak ash")], "id long, text string")
     assert similarity.gram_rows(df, ["id"]).groupBy("id").count().orderBy("id").collect()[0]["count"] == 3
     out = {r.pid: (r.overlap, r.nearest) for r in similarity.worst_overlap(df.withColumnRenamed("id", "pid"), df.filter("id > 1"), "pid", "id").collect()}
     assert out == {1: (1.0, 2), 2: (1.0, 2), 3: (1.0, 3), 4: (0.0, None)}
@@ -83,11 +84,10 @@ def test_total_variation(spark):
 
 
 def test_dictionaries():
-    for text in (phrases.HARD_BANS, phrases.SOFT_TELLS, phrases.VAGUE_QUANTIFIERS, phrases.UNSOURCED_AUTHORITY):
-        listed = phrases.listed(text)
+    for _, listed in phrases.KINDS:
         assert len(set(listed)) == len(listed)
-    assert [len(phrases.listed(t)) for _, t in phrases.KINDS[:4]] == [117, 66, 16, 19]
-    assert not set(phrases.listed(phrases.HARD_BANS)) & set(phrases.listed(phrases.SOFT_TELLS))
+    assert [len(x) for _, x in phrases.KINDS] == [117, 66, 16, 19]
+    assert not set(phrases.HARD_BANS) & set(phrases.SOFT_TELLS)
 
 
 def test_lexicon_hits(spark):
@@ -201,7 +201,7 @@ def test_schema_compiler(spark):
     out = {}
     for r in quality.violations(df, schema, "row").collect():
         out.setdefault(r.row, set()).add(r.pointer)
-    assert out == {2: {"/id", "/n", "/tags", "/kind"}, 3: {"/id", "/n", "/"}}
+    assert out == {2: {"/id", "/n", "/tags", "/tags/1", "/kind"}, 3: {"/id", "/n", "/"}}
 
 
 def test_planner_goldens(spark):
@@ -214,7 +214,7 @@ def test_planner_goldens(spark):
     assert all(a.pillar != b.pillar and a.archetype != b.archetype for a, b in zip(s, s[1:]))
     assert [r.rule for r in planning.plan_violations(df, 5, 5, 1).collect()] == []
     assert {r.rule for r in planning.plan_violations(df, 0, 0, 0, 2).collect()} == {"thin_proof", "no_beliefs", "no_hot_takes", "persona_incomplete"}
-    assert {r[0] for r in spark.range(8).select(planning.archetype_at(F.col("id"), 8, 0.05)).collect()} == set(planning.ARCHETYPES[:8])
+    assert {r[0] for r in spark.range(8).select(planning.archetype_at(F.col("id"))).collect()} == set(planning.ARCHETYPES[:8])
 
 
 def test_gate_and_queue(spark, tmp_path):
@@ -307,3 +307,131 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["run", "sentence_stats", "--tables", str(tmp_path / "none")]) == 3
     with pytest.raises(SystemExit):
         main(["run", "nothing", "--tables", "x"])
+
+
+def test_years(spark):
+    c = F.col("text")
+    assert tuple(one(spark, "2013 - 2017", T.first_year(c), T.end_year(c))) == (2013, 2017)
+    assert tuple(one(spark, "Since 2019, Present", T.first_year(c), T.end_year(c))) == (2019, 9999)
+    assert tuple(one(spark, "12019 units", T.first_year(c), T.end_year(c))) == (None, None)
+    assert one(spark, "x", planning.next_monday(F.lit(date(2026, 1, 5))))[0] == date(2026, 1, 12)
+
+
+def test_numbers_of_a_profile(spark):
+    rows = [PROFILE | {"headline": "Lead since 2019", "about": "In 2019 I joined. We ship 1,200 crates, then 40 hours of rest. 40 hours (again)", "experience": []}]
+    df = spark.createDataFrame(rows, profiles.PROFILE)
+    found = {r.value: r for r in profiles.number_contexts(df).collect()}
+    assert set(found) == {"2019", "1,200", "40 hours"}
+    assert found["2019"].structural and not found["40 hours"].structural and found["40 hours"].has_unit and not found["1,200"].has_unit
+    assert found["40 hours"].context == "We ship 1,200 crates, then 40 hours of rest" and found["2019"].context.endswith("In 2019 I joined")
+    only_years = spark.createDataFrame([rows[0] | {"about": "In 2019 and 2020 I joined."}], profiles.PROFILE)
+    assert not profiles.verify_import(only_years).filter("check_id = 'numbers_present'").first().passed
+
+
+def test_matcher_counts_each_phrase_once(spark):
+    entries = [("a", 0, "don't"), ("a", 1, "we"), ("b", 0, "ledger")]
+    df = spark.createDataFrame([("dont we we",), ("don't",), ("",), (None,), ("ledgers owe",)], "text string")
+    assert [r[0] for r in df.select(lexicon.matcher(entries)("text")).collect()] == [[1, 3], [0], [], [], [1, 2]]
+    words_ = lexicon.dominant(spark.createDataFrame([(1, "Ledger ledger owns owns owns a the with")], "doc_id long, text string")).orderBy("rank").collect()
+    assert [(r.word, r.n) for r in words_] == [("owns", 3), ("ledger", 2)]
+
+
+def test_registry_of_any_nesting(spark):
+    rows = [{"id": "a", "claim": "14 of 20", "metric": {"value": 6.0, "marks": [1.5, 2.0], "notes": {"k": "from 31.5 to 7"}}}, {"id": "b", "claim": None, "metric": None}]
+    df = spark.createDataFrame(rows, "id string, claim string, metric struct<value:double,marks:array<double>,notes:map<string,string>>")
+    assert {r.value for r in sourcing.registry_numbers(df, "claim", "metric").collect()} == {"14", "20", "6", "1.5", "2", "31.5", "7"}
+
+
+def test_nearest_claim_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(sourcing, "WORDS_A_PASS", 2)
+    registry = spark.createDataFrame([("x", "ledger closed early"), ("y", "ledger closed late"), ("z", "nothing else")], "item_id string, text string")
+    claims = spark.createDataFrame([(1, "Our ledger closed lately."), (2, "unrelated"), (2, "unrelated"), (3, "ledger, closed")], "doc_id long, claim string")
+    found = sorted((r.doc_id, r.entry or "", r.score or 0.0) for r in sourcing.nearest_claim(claims, registry).collect())
+    assert found == [(1, "y", 1.0), (2, "", 0.0), (2, "", 0.0), (3, "x", pytest.approx(2 / 3))]
+
+
+def test_blocks_of_posts(spark):
+    from textloom.plans import editorial
+
+    out = {r.id: (r.needs_source, r.hard_blocks) for r in editorial.hard_blocks(spark, "").collect()}
+    assert out["good"] == (0, "") and out["invented"] == (2, "hb1,hb2") and out["machine"] == (0, "hb3") and out["queued"] == (0, "hb6") and out["bypassed"] == (0, "")
+    assert out["out"] == (1, "hb1,hb2,hb5")
+    gate = {r.id: r.reject_reason for r in editorial.queue_gate(spark, "").collect()}
+    assert gate["good"] is None and gate["sidefeed"] == "feed distribution not allowed" and gate["unsigned"] == "no approval" and gate["unscored"] == "no score"
+
+
+def test_drift_report(spark):
+    from textloom.plans import editorial, fixtures
+
+    found = {(r.feed, r.check, r.subject) for r in editorial.drift_report(spark, "").collect()}
+    assert {("drifted", "archetype", "story"), ("drifted", "hook_reuse", ""), ("drifted", "repetition", ""), ("drifted", "proof_reuse", "h1"), ("drifted", "emoji", ""), ("drifted", "pillar_distribution", "")} <= found
+    assert not any(f == "short" for f, _, _ in found) and {c for f, c, _ in found if f == "even"} == {"mean_sentence_words"}
+    balanced = drift.report(spark.createDataFrame([r for r in fixtures.HISTORY if r["feed"] == "even"], fixtures.HISTORY_DDL), "feed", "seq", fixtures.PLANNED)
+    assert balanced.collect() == []
+
+
+def test_lookups_and_reports(spark):
+    from textloom.operators import persona
+    from textloom.plans import fixtures
+
+    df = spark.createDataFrame(fixtures.PERSONAS, persona.PERSONA)
+    refs = spark.createDataFrame([("full", "b1"), ("full", "nope"), ("empty", "b1")], "persona_id string, ref string")
+    assert {(r.persona_id, r.ref, r.entry.claim if r.entry else None) for r in persona.lookup(refs, df, "beliefs").collect()} == {("full", "b1", "c"), ("full", "nope", None), ("empty", "b1", None)}
+    with pytest.raises(ValueError):
+        persona.entries(df, "profile")
+    posts_ = spark.createDataFrame([("a",), ("b",)], "id string")
+    written = {r.id: r.voice_report for r in persona.with_voice_report(posts_, spark.createDataFrame([("a", 3)], "id string, hard_bans int")).collect()}
+    assert written["a"].hard_bans == 3 and written["b"] is None
+
+
+def test_calendar_of_two_posts_a_day(spark):
+    pillars = spark.createDataFrame([(0, "p1", 0.7, ["b1"]), (1, "p2", 0.3, [])], "ord int, id string, weight double, maps_to_beliefs array<string>")
+    df = planning.slots(spark, date(2026, 1, 5), 7, pillars, [], [], ("08:00", "17:00"), ("b2",), per_day=2, claims={"b1": "x" * 100}, hot_take={"take": "t", "line": "Say it"}, segment="s")
+    s = df.orderBy("idx").collect()
+    assert len(s) == 10 and [r.date.day for r in s] == [5, 5, 6, 6, 7, 7, 8, 8, 9, 9] and {r.segment for r in s} == {"s"}
+    assert [r.time for r in s[:4]] == ["08:00", "17:00"] * 2
+    told = {r.archetype: r.hook_brief for r in s}
+    assert told["opinion"] == "Argue: Say it" and ("x" * 79 + "…" in told["framework"] or "reuse" in told["framework"])
+    assert {(r.kind, r.key): r["count"] for r in planning.distribution(df, pillars).collect()}[("archetype", "how_to")] == 1
+    labels = planning.labelled_levels(df, spark.createDataFrame([(1, "opinion")], "level int, label string")).collect()
+    assert {r.claim_level: r.label for r in labels}["1"] == "opinion" and sum(r["count"] for r in labels) == 10
+    assert sinks.calendar_rows(df).columns == sinks.CALENDAR and len(sinks.CALENDAR) == 17
+    assert planning.slots(spark, date(2026, 1, 10), 2, pillars, [], []).collect() == []
+
+
+def test_schema_of_further_properties(spark):
+    schema = {"properties": {"id": {"type": "string"}}, "additionalProperties": {"type": "object", "additionalProperties": {"type": "string", "minLength": 2}}}
+    df = spark.createDataFrame([("a", {"k": "x", "l": "long"}), ("b", None)], "id string, more map<string,string>")
+    assert [(r.id, r.pointer, r.message) for r in quality.violations(df, schema, "id").collect()] == [("a", "/more/k", "minLength 2")]
+    assert quality.violations(df, {}, "id").collect() == []
+
+
+def test_settings_folders(spark, tmp_path):
+    from textloom.operators import persona
+
+    folder = tmp_path / "one" / "persona"
+    folder.mkdir(parents=True)
+    (folder / "identity.yaml").write_text("profile:\n  display_name: Mira\n  domain: finance\npublish:\n  mode: auto\n")
+    (folder / "proof.yaml").write_text("policy:\n  require_client_permission: true\nentries:\n  - id: h1\n    claim: c\n    tier: measured\n")
+    (folder / "voice.yaml").write_text("sentence:\n  target_words: 12\n")
+    (folder / "voice-samples.md").write_text("## Sample 1\n" + "Close the month. " * 8)
+    got = readers.load_persona(spark, str(tmp_path / "one"))
+    assert got["identity"]["profile"]["display_name"] == "Mira" and got["audience"] is None and len(got["voice-samples"]) == 1
+    assert readers.load_persona(spark, str(tmp_path / "one" / "persona"))["proof"] == got["proof"]
+    df = readers.read_personas(spark, {"mira": str(tmp_path / "one"), "none": str(tmp_path / "none")}, persona.PERSONA)
+    out = {r.persona_id: r for r in df.collect()}
+    assert out["mira"].proof[0].id == "h1" and out["mira"].voice.target_words == 12.0 and out["none"].profile is None
+    assert {(r.persona_id, r.gap) for r in persona.gaps(df).filter("persona_id = 'none'").collect()} == {("none", "identity")}
+    rubric = tmp_path / "rubric"
+    rubric.mkdir()
+    (rubric / "post-rubric.yaml").write_text("dimensions:\n  - id: hook\n    checks:\n      - id: h1\n        points: 6\n        computed: true\n      - id: h3\n        points: 4\n        computed: false\ngrade_bands:\n  - label: low\n    min: 0\n    max: 10\n")
+    docs = readers.load_rubric(spark, str(tmp_path))
+    assert docs["profile-rubric"] is None
+    assert rules.from_document(docs["post-rubric"]) == ((rules.Check("h1", "hook", 6), rules.Check("h3", "hook", 4, judged=True)), (("low", 0, 10),))
+
+
+def test_long_text_is_wrapped():
+    out = sinks.wrapped("word " * 30 + "x" * 90, 3, 20).split("\n")
+    assert all(line.startswith("   ") and (len(line) <= 23 or line.strip() == "x" * 90) for line in out)
+    text = sinks.render(0, "reject", [], [], ["hb1: no source"], [{"gap": "identity", "blocks": True}])
+    assert "HARD BLOCKS" in text and "GAPS THAT BLOCK" in text

@@ -111,3 +111,32 @@ def voice(personas: DataFrame) -> DataFrame:
     ]
     rows = F.array(*[F.struct(F.lit(n).alias("finding"), s.alias("severity"), c.alias("hit"), round_half_up(m, 3).alias("measured")) for n, s, c, m in rules])
     return a.select("persona_id", F.explode(rows).alias("_r")).filter("_r.hit").select("persona_id", "_r.finding", "_r.severity", "_r.measured")
+
+
+#: Parts of a persona whose entries are known by an id.
+PARTS = ("proof", "assets", "segments", "pillars", "beliefs", "hot_takes")
+
+
+def entries(personas: DataFrame, part: str) -> DataFrame:
+    """(persona_id, id, entry): the entries of a part; of entries with one id the first."""
+    if part not in PARTS:
+        raise ValueError(f"no part {part}")
+    rows = personas.select("persona_id", F.posexplode(part).alias("_at", "entry"))
+    return rows.groupBy("persona_id", F.col("entry.id").alias("id")).agg(F.min_by("entry", "_at").alias("entry"))
+
+
+def lookup(refs: DataFrame, personas: DataFrame, part: str, ref_col: str = "ref") -> DataFrame:
+    """refs (persona_id, ref, ...) with the entry that each names, null where there is none."""
+    found = entries(personas, part).withColumnRenamed("id", ref_col)
+    return refs.join(found, ["persona_id", ref_col], "left")
+
+
+def primary_segment(personas: DataFrame) -> DataFrame:
+    """(persona_id, ref, entry) of each persona's primary segment; the entry is null if it isn't defined."""
+    return lookup(personas.select("persona_id", F.col("primary_segment").alias("ref")), personas, "segments")
+
+
+def with_voice_report(posts: DataFrame, scored: DataFrame, id_col: str = "id") -> DataFrame:
+    """posts with the struct voice_report of their row in scored (id and any measures), null where it has none: a report written back into its post."""
+    measures = [c for c in scored.columns if c != id_col]
+    return posts.join(scored.select(id_col, F.struct(*measures).alias("voice_report")), id_col, "left")

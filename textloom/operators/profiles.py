@@ -142,6 +142,28 @@ def score_profiles(profiles: DataFrame, persona: dict) -> tuple[DataFrame, DataF
     return found, R.capped(found, ("id",), bands=BANDS)
 
 
+def copy_numbers(text: Column) -> Column:
+    """Numbers in profile copy with their units, without separators at their end."""
+    found = extract(T.whole(text), rf"(?i){T.DIGIT}[0-9,]*(?:\.[0-9]+)?\s?(?:{T.UNITS})?{B}")
+    return F.transform(found, lambda x: trim(F.regexp_replace(trim(x), r"[,.]+$", "")))
+
+
+def is_year(token: Column) -> Column:
+    return F.regexp_replace(token, "[^0-9]", "").rlike("^(19|20)[0-9]{2}$")
+
+
+def number_contexts(profiles: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, value, has_unit, structural, context): the different numbers of each profile's copy, with the sentence around the first place of each.
+
+    A year alone is structural, not a result.
+    """
+    base = profiles.select(id_col, visible_text(False).alias("_v"))
+    rows = base.select(id_col, "_v", F.explode_outer(F.array_distinct(copy_numbers(F.col("_v")))).alias("value")).filter("value is not null")
+    quoted = F.concat(F.lit("(?<![A-Za-z0-9_])"), F.regexp_replace("value", r"([.*+?^${}()|\[\]\\])", r"\\$1"))
+    placed = rows.withColumn("_at", F.regexp_instr("_v", quoted) - 1)
+    return placed.select(id_col, "value", F.col("value").rlike(rf"(?i)%|percent|x{B}|hours?|hrs?|days?|weeks?|months?|years?").alias("has_unit"), is_year(F.col("value")).alias("structural"), T.sentence_at(F.col("_v"), F.col("_at"), F.length("value")).alias("context"))
+
+
 def verify_import(profiles: DataFrame) -> DataFrame:
     """(id, check_id, severity, passed) of the 15 import checks."""
     head, about = T.whole(F.col("headline")), T.whole(F.col("about"))
@@ -151,12 +173,10 @@ def verify_import(profiles: DataFrame) -> DataFrame:
     names = F.filter(F.split(T.whole(F.col("custom_url_slug")), "[-_]"), lambda x: x != "")
     name_only = (F.size(F.split(h, r"\s+")) <= 5) & (F.size(names) > 0) & F.forall(names, lambda x: F.lower(head).contains(F.lower(x)))
     period = lambda e: F.coalesce(e["period"], F.concat_ws(" ", e["start"], e["end"]))
-    year = lambda e: F.regexp_extract(period(e), rf"{B}((?:19|20)[0-9]{{2}}){B}", 1)
-    years = F.filter(F.transform(roles, year), lambda y: y != "")
+    years = F.filter(F.transform(roles, lambda e: T.first_year(period(e))), lambda y: y.isNotNull())
     later = F.exists(F.zip_with(F.slice(years, 2, 10_000), years, lambda cur, above: F.coalesce(cur > above, F.lit(False))), lambda x: x)
     detail = F.exists(roles, lambda e: (F.coalesce(F.size(e["bullets"]), F.lit(0)) > 0) | (F.length(T.whole(e["description"])) > 20))
     full = lambda f: any_of([F.coalesce(f[c], F.lit("")) != "" for c in ("title", "url", "description")])
-    number = rf"(?i){B}[0-9][0-9,]*(?:\.[0-9]+)?\s?(?:{T.UNITS})?{B}"
     passes = {
         "headline_present": h != "",
         "headline_not_placeholder": (h != "") & ~h.rlike(PLACEHOLDER),
@@ -170,7 +190,7 @@ def verify_import(profiles: DataFrame) -> DataFrame:
         "skills_present": F.size(F.coalesce(F.col("skills"), F.expr("array()"))) > 0,
         "featured_parsed": F.forall(featured, full),
         "contact_present": F.exists(F.map_values(F.coalesce(F.col("contact"), F.expr("map()"))), lambda v: v.isNotNull() & (v != "")),
-        "numbers_present": F.size(extract(visible_text(False), number)) > 0,
+        "numbers_present": F.exists(copy_numbers(visible_text(False)), lambda x: ~is_year(x)),
         "no_template_leftovers": ~any_of([head.rlike(TEMPLATE), about.rlike(TEMPLATE), F.exists(roles, lambda e: T.whole(e["description"]).rlike(TEMPLATE))]),
         "reads_as_individual": ~F.concat(head, F.lit(" "), about).rlike(AGENCY),
     }

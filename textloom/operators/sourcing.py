@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.functions.text import claim_numbers, whole
+from textloom.functions.regex import B, extract
+from textloom.functions.text import DIGIT, claim_numbers, whole
+from textloom.operators.lexicon import matcher
 
 #: Numbers that structure a text rather than claim something.
 STRUCTURAL = "^(?:[0-9]{4}|[1-9]|10)$"
@@ -21,8 +24,39 @@ def known_numbers(registry: DataFrame, *text_cols: str) -> DataFrame:
     return tokens.select(F.explode(F.array("_t", bare(F.col("_t")))).alias("value")).distinct()
 
 
+#: A number in the text of a registry.
+NUMBER = rf"{DIGIT}[0-9]*(?:[.,][0-9]+)?{B}"
+
+
+def harvest(value: Column, kind: T.DataType) -> Column:
+    """array<string> of all numbers in a value of any nesting: of its texts, and its own."""
+    none = F.expr("cast(array() as array<string>)")
+    if isinstance(kind, T.StructType):
+        parts = [harvest(value.getField(f.name), f.dataType) for f in kind.fields]
+        return F.concat(*parts) if parts else none
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: harvest(x, kind.elementType))), none)
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.flatten(F.transform(F.map_values(value), lambda x: harvest(x, kind.valueType))), none)
+    if isinstance(kind, T.StringType):
+        return extract(whole(value), NUMBER)
+    if isinstance(kind, T.NumericType):
+        return F.when(value.isNull(), none).otherwise(F.array(F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))))
+    return none
+
+
+def registry_numbers(registry: DataFrame, *cols: str) -> DataFrame:
+    """Distinct column value: all numbers in the columns of a registry, whatever their nesting."""
+    found = F.concat(*[harvest(F.col(c), registry.schema[c].dataType) for c in cols])
+    return registry.select(F.explode(found).alias("value")).distinct()
+
+
 def unsourced(posts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, value, claim): numeric tokens that are not structural and not known, and the sentence around the first place of each value."""
+    """(id, pos, value, claim): numeric tokens that are not structural and not known, and the sentence around the first place of each value.
+
+    known: column value.  Numbers that belong to names (of a method, a domain, a keyword) are no claims: add those of registry_numbers
+    over the names.
+    """
     text = whole(F.col(text_col))
     rows = posts.select(id_col, text.alias("_t"), F.posexplode_outer(claim_numbers(F.col(text_col))).alias("pos", "value")).filter("value is not null").withColumn("_bare", bare(F.col("value")))
     open_ = rows.filter((F.col("_bare") != "") & ~F.col("_bare").rlike(STRUCTURAL))
@@ -35,21 +69,35 @@ def unsourced(posts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_c
     return missing.select(id_col, "pos", "value", F.when(F.length(claim) > 200, F.concat(F.substring(claim, 1, 200), F.lit("…"))).otherwise(claim).alias("claim"))
 
 
-#: The registry goes into the plan as a literal, counted first.
-MOST_ENTRIES = 10_000
+#: Words of the registry that are looked for in one pass over the claims.
+WORDS_A_PASS = 200_000
 
 
 def nearest_claim(claims: DataFrame, registry: DataFrame, registry_id: str = "item_id", registry_text: str = "text", least: float = 0.4) -> DataFrame:
-    """claims with entry and score: the entry of which most words of over 3 letters stand in the claim; null below `least`; ties by entry id."""
+    """claims with entry and score: the entry of which most words of over 3 letters stand in the claim; null below `least`; ties by entry id.
+
+    An automaton over the registry's words finds those that stand in a claim; only these are joined with their entries.  A
+    registry of very many words is looked for in several passes.
+    """
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(whole(c)), "[^a-z0-9 ]", " "), " +", " "))
-    entries = registry.select(F.col(registry_id).alias("id"), F.array_distinct(F.filter(F.split(clean(F.col(registry_text)), " "), lambda w: F.length(w) > 3)).alias("w")).filter(F.size("w") > 0)
-    n = entries.count()
-    if n > MOST_ENTRIES:
-        raise ValueError(f"the registry has {n} entries; this match is for at most {MOST_ENTRIES}")
-    rows = sorted((r["id"], r["w"]) for r in entries.collect())
-    literal = "array(" + ", ".join(f"named_struct('id', {i}L, 'w', array({', '.join(repr(x) for x in w)}))" for i, w in rows) + ")"
-    scored = claims.withColumn("_c", clean(F.col("claim"))).withColumn(
-        "_m", F.expr(f"array_max(transform({literal}, e -> named_struct('s', size(filter(e.w, x -> contains(_c, x))) / size(e.w), 'i', -e.id)))") if rows else F.lit(None).cast("struct<s:double,i:bigint>")
-    )
-    good = (F.col("_m.s") >= least) & (F.col("_c") != "")
-    return scored.select(*claims.columns, F.when(good, -F.col("_m.i")).alias("entry"), F.when(good, F.col("_m.s")).alias("score"))
+    entries = registry.select(F.col(registry_id).alias("_entry"), F.array_distinct(F.filter(F.split(clean(F.col(registry_text)), " "), lambda w: F.length(w) > 3)).alias("_words")).filter(F.size("_words") > 0)
+    holds = entries.select("_entry", F.size("_words").alias("_size"), F.explode("_words").alias("_word"))
+    words = holds.select("_word").distinct()
+    passes = max(1, -(-words.count() // WORDS_A_PASS))
+    base = claims.select(F.struct(*claims.columns).alias("_claim"), F.xxhash64(*claims.columns).alias("_key"), clean(F.col("claim")).alias("_c"))
+    found = None
+    for i in range(passes):
+        mine = words.filter(F.pmod(F.xxhash64("_word"), F.lit(passes)) == i) if passes > 1 else words
+        listed = [("word", n, r["_word"]) for n, r in enumerate(mine.sort("_word").toLocalIterator())]
+        if not listed:
+            continue
+        texts = F.array(*[F.lit(w) for _, _, w in listed])
+        met = base.select("_key", "_c", F.explode(matcher(listed)("_c")).alias("_i")).filter("_c <> ''").select("_key", F.get(texts, F.col("_i")).alias("_word")).distinct()
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return claims.withColumn("entry", F.lit(None).cast(registry.schema[registry_id].dataType)).withColumn("score", F.lit(None).cast("double"))
+    scored = found.join(holds, "_word").groupBy("_key", "_entry", "_size").agg(F.count(F.lit(1)).alias("_n")).select("_key", "_entry", (F.col("_n") / F.col("_size")).alias("_s")).filter(F.col("_s") >= least)
+    # The greatest score; of equal ones the least entry.
+    top = scored.groupBy("_key").agg(F.max("_s").alias("_s"), F.min_by("_entry", F.struct(-F.col("_s"), F.col("_entry"))).alias("_entry"))
+    out = base.join(top, "_key", "left")
+    return out.select("_claim.*", F.col("_entry").alias("entry"), F.col("_s").alias("score"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from textloom.functions import text as T
+from textloom.functions.regex import B
 
 
 def q(s: str) -> str:
@@ -11,11 +14,43 @@ def q(s: str) -> str:
 
 def re(pattern: str) -> str:
     """A pattern of this library, for RE2: its word boundaries are ASCII already."""
-    from textloom.functions.regex import B
-
     return q(pattern.replace(B, r"\b"))
 
 
+_TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def _fields(ddl: str) -> list[str]:
+    """Fields of a DDL string: cut at commas outside brackets."""
+    out, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def _shape(kind: str):
+    """A DDL type as DuckDB's JSON functions name it."""
+    kind = kind.strip()
+    inner = kind[kind.find("<") + 1 : -1]
+    if kind.startswith("array<"):
+        return [_shape(inner)]
+    if kind.startswith("map<"):
+        return "MAP(" + ",".join(_TYPES[x] for x in _fields(inner)) + ")"
+    if kind.startswith("struct<"):
+        return {n.strip(): _shape(k) for n, _, k in (f.partition(":") for f in _fields(inner))}
+    return _TYPES[kind]
+
+
+def rows(values: list[dict], ddl: str) -> str:
+    """A subquery with the rows that sources.tables.literal gives Spark."""
+    shape = {n: _shape(k) for n, _, k in (f.partition(" ") for f in _fields(" ".join(ddl.split())))}
+    return f"(SELECT unnest(r) FROM (SELECT unnest(from_json({q(json.dumps(values))}, {q(json.dumps([shape]))})) AS r))"
+
+
 def whole(t: str = "text") -> str:
     return f"coalesce({t}, '')"
 
@@ -84,6 +119,11 @@ def first_line(t: str = "text") -> str:
     return f"coalesce(list_filter(list_transform(string_split({whole(t)}, chr(10)), lambda x: {trim('x')}), lambda x: x <> '')[1], '')"
 
 
+def sentence_at(t: str, at: str, size: str) -> str:
+    """The sentence around `size` characters from the 0-based place `at` on, white space collapsed."""
+    return rf"trim(regexp_replace(string_split(substr({t}, 1, {at}), '.')[-1] || substr({t}, {at} + 1, {size}) || string_split(substr({t}, {at} + {size} + 1), '.')[1], '\s+', ' ', 'g'))"
+
+
 def numbers(t: str = "text") -> str:
     return rf"regexp_extract_all({whole(t)}, '(?i)\b[0-9][0-9,.]*\s?(?:{T.UNITS}|k|m|bn)?\b')"
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.regex import trim
+from textloom.sources.tables import literal
 
 
 def parse_history(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -178,3 +180,59 @@ def _value(rest: str, rows: list, at: int, indent: int, lines: list[str]):
             at += 1
         return text + ("" if rest.endswith("-") else "\n"), at
     return _scalar(rest), at + 1
+
+
+#: Settings files of a persona.
+PERSONA_FILES = ("identity", "audience", "voice", "pov-map", "proof", "offers", "keywords")
+RUBRIC_FILES = ("profile-rubric", "post-rubric", "brand-consistency")
+
+
+def _files(spark: SparkSession, folder: str, pattern: str) -> dict[str, str]:
+    """name -> whole text of a folder's files; empty if there is no such folder.  Spark reads them, so the folder may lie in any store."""
+    try:
+        rows = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select("_metadata.file_name", "value").collect()
+    except AnalysisException:
+        return {}
+    return {r["file_name"]: r["value"] for r in rows}
+
+
+def load_persona(spark: SparkSession, root: str) -> dict:
+    """A persona's settings by file and its voice samples; a file that isn't there is None.
+
+    root holds the files, or a folder named persona with them.
+    """
+    folder = f"{root.rstrip('/')}/persona"
+    found = _files(spark, folder, "*.yaml")
+    if not found:
+        folder = root
+        found = _files(spark, folder, "*.yaml")
+    out: dict = {name: load_settings(found[f"{name}.yaml"]) if f"{name}.yaml" in found else None for name in PERSONA_FILES}
+    text = _files(spark, folder, "voice-samples.md").get("voice-samples.md", "")
+    out["voice-samples"] = spark.range(1).select(voice_samples(F.lit(text))).first()[0]
+    return out
+
+
+def load_rubric(spark: SparkSession, root: str) -> dict:
+    """The three rubric documents in a folder, or in its folder named rubric; one that isn't there is None."""
+    found = _files(spark, f"{root.rstrip('/')}/rubric", "*.yaml") or _files(spark, root, "*.yaml")
+    return {name: load_settings(found[f"{name}.yaml"]) if f"{name}.yaml" in found else None for name in RUBRIC_FILES}
+
+
+def persona_row(persona_id: str, persona: dict) -> dict:
+    """The settings of load_persona as a row of operators.persona.PERSONA; parts that aren't there are null."""
+    part = lambda name: persona.get(name) or {}
+    identity, pov, proof, offers, voice = (part(x) for x in ("identity", "pov-map", "proof", "offers", "voice"))
+    return {
+        "persona_id": persona_id,
+        "profile": identity.get("profile"), "positioning": identity.get("positioning"), "publish": identity.get("publish"),
+        "primary_keyword": (part("keywords").get("primary") or {}).get("keyword"), "require_permission": (proof.get("policy") or {}).get("require_client_permission"),
+        "proof": proof.get("entries"), "assets": proof.get("assets"), "beliefs": pov.get("beliefs"), "hot_takes": pov.get("hot_takes"), "pillars": pov.get("pillars"),
+        "segments": part("audience").get("segments"), "primary_segment": part("audience").get("primary"), "ladder": offers.get("ladder"), "paid_offers": offers.get("paid_offers"),
+        "voice": {"target_words": (voice.get("sentence") or {}).get("target_words"), "min_length_variance": (voice.get("sentence") or {}).get("min_length_variance"), "emoji": (voice.get("formatting") or {}).get("emoji") not in (None, False, "none", 0)} if voice else None,
+        "samples": persona.get("voice-samples"),
+    }
+
+
+def read_personas(spark: SparkSession, roots: dict[str, str], ddl: str) -> DataFrame:
+    """One row for each persona id and root, typed by operators.persona.PERSONA."""
+    return literal(spark, [persona_row(i, load_persona(spark, root)) for i, root in roots.items()], ddl)

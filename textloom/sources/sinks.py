@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +40,34 @@ def calendar_rows(slots: DataFrame) -> DataFrame:
 
 
 def status(gated: DataFrame) -> DataFrame:
-    """One row: exported and rejected counts, and the reasons, of gated posts (reject_reason null: exported)."""
+    """One row: when, exported and rejected counts, and the reasons, of gated posts (reject_reason null: exported)."""
     reasons = gated.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
-    return reasons.agg(F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).alias("exported"), F.coalesce(F.sum(F.when(F.col("reject_reason").isNotNull(), F.col("n"))), F.lit(0)).alias("rejected"), F.map_from_entries(F.collect_list(F.when(F.col("reject_reason").isNotNull(), F.struct("reject_reason", "n")))).alias("reasons"))
+    return reasons.agg(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("generated_at"), F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).alias("exported"), F.coalesce(F.sum(F.when(F.col("reject_reason").isNotNull(), F.col("n"))), F.lit(0)).alias("rejected"), F.map_from_entries(F.collect_list(F.when(F.col("reject_reason").isNotNull(), F.struct("reject_reason", "n")))).alias("reasons"))
 
 
 def bar(ratio: float, width: int = 20) -> str:
     return "#" * round(ratio * width) + "-" * (width - round(ratio * width))
 
 
-def render(total: float, band: str, dimensions: list[dict], findings: list[dict]) -> str:
-    """A text report of one subject: dimensions as bars, then failed checks in their order, then the first three to do."""
+def wrapped(text: str, indent: int = 9, width: int = 74) -> str:
+    """Lines of at most `width` characters behind an indent; white space collapsed, long words whole."""
+    return textwrap.indent(textwrap.fill(" ".join(text.split()), width, break_long_words=False, break_on_hyphens=False), " " * indent)
+
+
+def render(total: float, band: str, dimensions: list[dict], findings: list[dict], hard_blocks: list[str] | None = None, gaps: list[dict] | None = None) -> str:
+    """A text report of one subject: hard blocks, dimensions as bars, failed checks in their order, gaps, then the first three to do."""
     out = [f"TOTAL {total:g} ({band})", ""]
+    if hard_blocks:
+        out += ["HARD BLOCKS", *(wrapped(b, 2) for b in hard_blocks), ""]
     out += [f"{d['dimension']:<24} {bar(d['ratio'])} {d['points_earned']}/{d['points_possible']}" for d in dimensions]
     failed = [f for f in findings if not f["passed"] and not f.get("judged")]
     for title, kind in (("BLOCKERS", "blocker"), ("WARNINGS", "warn"), ("NICES", "nice")):
         rows = [f for f in failed if f["severity"] == kind]
         if rows:
             out += ["", title] + [f"  {f['check_id']}: {f['points']} points, measured {f.get('measured')}" for f in rows]
+    for title, kind in (("GAPS THAT BLOCK", True), ("OTHER GAPS", False)):
+        rows = [g["gap"] for g in gaps or [] if g["blocks"] == kind]
+        if rows:
+            out += ["", title, *(f"  {g}" for g in rows)]
     out += ["", "DO THESE THREE FIRST"] + [f"  {i}. {f['check_id']}" for i, f in enumerate(failed[:3], 1)]
     return "\n".join(out)
