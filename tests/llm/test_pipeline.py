@@ -82,3 +82,51 @@ def test_stages_take_an_empty_table(spark, world):
     for _, f in corpus_pipeline.STAGES:
         frame = cut(f(spark, frame, root))
     assert frame.count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Documents with nulls in every column, empty and very long texts, ties, repeated rows and columns that the stages use inside."""
+    long_ = prose("xx", 40_000)
+    rows = [(i, prose("xx" if i % 2 else "yy", 40), "xx" if i % 2 else "yy", "s0", 1) for i in range(60)]
+    rows += [(100, long_, "xx", "s1", 1), (101, long_, "xx", "s1", 1), (102, rows[3][1], None, None, None), (None, prose("xx", 50), "xx", "s0", 1)]
+    rows += [(103, "", "xx", "s0", 0), (104, None, None, None, None), (105, rows[5][1], "xx", "s0", 1), (105, rows[5][1], "xx", "s0", 1), (106, prose("yy", 30), "yy", None, 1), (106, prose("yy", 30), "yy", None, 1)]
+    root = str(tmp_path_factory.mktemp("odd"))
+    df = spark.createDataFrame(rows, COLUMNS)
+    for c in ("_doc", "_w", "_row", "_spans", "_tag", "key", "pick", "component", "size", "taken", "shard", "slot", "host", "label"):
+        df = df.selectExpr("*", f"'x' as {c}")
+    df.write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(1, rows[7][1])], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    return root, rows
+
+
+def test_stages_take_odd_rows(spark, odd):
+    root, rows = odd
+    frame = spark.read.parquet(f"{root}/documents.parquet")
+    columns, ids = frame.columns, {}
+    for name, f in corpus_pipeline.STAGES:
+        frame = cut(f(spark, frame, root))
+        ids[name] = sorted((-1 if r.doc_id is None else r.doc_id) for r in frame.collect())
+        if name != "shard":
+            assert frame.columns == columns
+    first = [-1 if r[0] is None else r[0] for r in rows if r[0] not in (103, 104)]
+    assert ids["language_id"] == sorted(first)
+    # One of each text: the least identifier, null last; two different texts of one identifier both stay.
+    least = {}
+    for r in rows:
+        if r[1]:
+            least[r[1]] = min(least.get(r[1], 10**6), -1 if r[0] is None else r[0])
+    assert ids["near_duplicates"] == sorted(least.values())
+    assert ids["decontaminate"] == sorted(x for x in least.values() if x != 7)
+    assert set(ids["mix_sources"]) <= set(ids["decontaminate"]) and ids["shard"] == ids["mix_sources"]
+
+
+def test_drop_copies(spark, odd):
+    from textloom.llm.exact_dedup import drop_copies
+
+    root, rows = odd
+    kept = drop_copies(spark.read.parquet(f"{root}/documents.parquet"), keep="largest").collect()
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[1] or "", []).append(r[0])
+    assert len(kept) == len(texts) and sorted(str(r.doc_id) for r in kept) == sorted(str(max((i for i in v if i is not None), default=None)) for v in texts.values())

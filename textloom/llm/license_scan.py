@@ -6,7 +6,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import words
@@ -14,6 +14,16 @@ from textloom.llm.common import words
 # The base phrases with their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
+# What the BSD licenses begin and end with.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY <<var;1;12>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;1;12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
 # License wordings.  <<beginOptional>> ... <<endOptional>> may be absent;
 # <<var;min;max>> stands for so many words.  All other words are mandatory, in this order.
 TEMPLATES = (
@@ -33,6 +43,33 @@ TEMPLATES = (
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
     ("spdx", "SPDX-License-Identifier: <<var;1;1>>"),
+    # Whole licenses.
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<var;1;2>>), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>"
+        "shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL <<var;1;10>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND <<var;1;10>> "
+        "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;1;10>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    ),
+    ("bsd-2-clause", f"{_BSD} {_BSD_END}"),
+    ("bsd-3-clause", f"{_BSD} <<beginOptional>>3. <<endOptional>>Neither the name of <<var;1;10>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}"),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the <<var;1;4>> be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1. <<endOptional>>The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment "
+        "<<beginOptional>>(see the following) <<endOptional>>in the product documentation would be appreciated but is not required. <<beginOptional>>2. <<endOptional>>Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "<<beginOptional>>3. <<endOptional>>This notice may not be removed or altered from any source distribution",
+    ),
 )
 #: Templates whose variables are open-ended: beyond their maximum they take any words up to the template's next first word.
 OPEN = frozenset(("copyright-reserved",))
@@ -52,6 +89,8 @@ class Automaton:
         self.words: list[dict[str, int]] = [{}]
         self.free: list[list[int]] = [[]]
         self.empty: list[list[int]] = [[]]
+        # Words outside optional and variable regions: a text without one of them can't match.
+        self.mandatory: set[str] = set()
         at, opened = 0, []
         for piece in re.split(r"(<<[^>]*>>)", template):
             if piece == "<<beginOptional>>":
@@ -73,6 +112,8 @@ class Automaton:
                     self.loops.add(at)
             else:
                 for w in tokens(piece):
+                    if not opened:
+                        self.mandatory.add(w)
                     to = self._state()
                     self.words[at][w] = to
                     at = to
@@ -132,6 +173,22 @@ def compiled(base: tuple = BASE, templates: tuple = TEMPLATES) -> tuple[dict[str
     return table, sorted(table)
 
 
+def gate(w: Column, base: tuple = BASE, templates: tuple = TEMPLATES) -> Column:
+    """Whether a text's words hold all mandatory words of some template, in any order.
+
+    The longest word of each is looked for first, all of them only where one is found.
+    """
+    table, _ = compiled(base, templates)
+    needed = {frozenset(a.mandatory) for rows in table.values() for _, _, a in rows}
+    # What needs all that another one needs is covered by that one.
+    needed = sorted(sorted(x) for x in needed if not any(y < x for y in needed))
+    longest = sorted({max(x, key=lambda t: (len(t), t)) for x in needed})
+    whole = F.lit(False)
+    for x in needed:
+        whole = whole | (F.size(F.array_except(F.array(*map(F.lit, x)), w)) == 0)
+    return F.when(F.arrays_overlap(w, F.array(*map(F.lit, longest))), whole).otherwise(False)
+
+
 def scan_words(text: list[str], base: tuple = BASE, templates: tuple = TEMPLATES) -> dict:
     """n_base, first_word, last_word, base_labels, labels, score and matches of one list of words."""
     table, _ = compiled(base, templates)
@@ -156,7 +213,7 @@ RESULT = "n_base long, first_word long, last_word long, base_labels string, labe
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple = BASE, templates: tuple = TEMPLATES) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    Words are cut in the JVM.  Only texts that hold the first word of some template reach the
+    Words are cut in the JVM.  Only texts that hold all mandatory words of some template reach the
     automata, all words of them; the others can't match.  A template is accepted at every place
     where its mandatory words stand in order, with or without its optional regions and with any words in its variables.
     score is 1 for an accepted template, 0.5 for base phrases alone, else 0.
@@ -164,8 +221,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text has no words: n_base 0, first_word and last_word null, empty labels, score 0.  Repeated rows are
     scanned one by one.  An empty table gives no rows.
     """
-    _, firsts = compiled(base, templates)
-
     @F.pandas_udf(RESULT)
     def scan(texts: pd.Series) -> pd.DataFrame:
         none = scan_words([])
@@ -175,5 +230,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return out
 
     cut = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("_w"))
-    sent = cut.select("doc_id", F.size("_w").cast("long").alias("n_words"), scan(F.when(F.arrays_overlap("_w", F.array(*[F.lit(w) for w in firsts])), F.col("_w")).otherwise(F.expr("cast(array() as array<string>)"))).alias("_r"))
+    sent = cut.select("doc_id", F.size("_w").cast("long").alias("n_words"), scan(F.when(gate(F.col("_w"), base, templates), F.col("_w")).otherwise(F.expr("cast(array() as array<string>)"))).alias("_r"))
     return sent.select("doc_id", "n_words", "_r.*")
