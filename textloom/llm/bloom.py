@@ -30,9 +30,13 @@ def bloom(keys: DataFrame, n_keys: int, column: str = "key") -> tuple[Column, in
     bits = F.expr("shiftleft(1L, cast(shiftright(_g, 6 * _w) & 63 as int))")
     set_bits = keys.select(_block(F.col(column), blocks).alias("_b"), F.xxhash64(column, F.lit(1)).alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(WORDS - 1))).alias("_w"))
     words = set_bits.groupBy((F.col("_b") * WORDS + F.col("_w")).cast("long").alias("id")).agg(F.bit_or(bits).alias("v"))
-    every = keys.sparkSession.range(blocks * WORDS).join(words, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0)).alias("v")))).alias("all"))
-    found = every.select(F.to_json(F.transform("all", lambda x: x["v"]))).first()[0]
-    return F.from_json(F.lit(found), "array<bigint>"), blocks
+    return literal_words(words, blocks * WORDS), blocks
+
+
+def literal_words(words: DataFrame, size: int) -> Column:
+    """Literal array<bigint> of `size` words from those (id, v) that aren't 0."""
+    every = words.sparkSession.range(size).join(words, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0)).alias("v")))).alias("all"))
+    return F.from_json(F.lit(every.select(F.to_json(F.transform("all", lambda x: x["v"]))).first()[0]), "array<bigint>")
 
 
 def maybe_listed(key: Column, table: Column, blocks: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.bloom import bloom, maybe_listed
+from textloom.llm.bloom import literal_words
 from textloom.llm.common import NOT_WORD, cut, text_or_empty, words
 
 #: The hash set goes to every executor as a literal of 18 bytes a window (36 MB); a benchmark with more distinct windows is joined by shuffle instead.
@@ -19,11 +19,15 @@ def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_co
     return runs.select("item_id", F.col("_l").alias("len"), "window").distinct()
 
 
-def _probe(parts: Column, first: Column | int, size: Column | int) -> Column:
-    """A hash of the first, the middle and the last of `size` words from place first on."""
-    at = lambda k: F.get(parts, F.lit(first) + k if isinstance(first, int) else first + k)
-    middle, last = (size // 2, size - 1) if isinstance(size, int) else (F.floor(size / 2).cast("int"), size - 1)
-    return F.xxhash64(at(0), at(middle), at(last))
+#: Words of the bitmap of windows: at least 4 a window (256 bits) up to this many (16 MiB); then fewer bits a window.
+MOST_WORDS = 1 << 21
+
+
+def _place(parts: Column, first, size, words_: int) -> tuple[Column, Column]:
+    """(word, bit) in the bitmap of the run of `size` words from place first on: by its first and last word, and by its middle one."""
+    at = lambda k: F.get(parts, first + k)
+    middle = F.floor(size / 2).cast("int") if isinstance(size, Column) else F.lit(size // 2)
+    return F.xxhash64(at(F.lit(0)), at(size - F.lit(1))).bitwiseAND(F.lit(words_ - 1)).cast("int"), F.xxhash64(at(middle)).bitwiseAND(F.lit(63)).cast("int")
 
 
 def _listed(print_: Column, prints: Column, n: int) -> Column:
@@ -41,20 +45,28 @@ def _listed(print_: Column, prints: Column, n: int) -> Column:
 def _scan(distinct: DataFrame, n: int) -> Column:
     """Sorted array of (s, e): the word ranges of _w that equal one of the n distinct windows (len, window).
 
-    A position passes if the hash of three of its window's words is in a Bloom filter of the windows'
+    A position passes if the bit of three of its window's words is set in a bitmap of the windows'
     own; only then the digest of the whole window (128 bits) is looked up among those of all windows.
     """
-    none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
     if not n:
-        return none
-    table, blocks = bloom(distinct.select(_probe(F.split("window", " "), 0, F.col("len")).alias("key")), n)
+        return F.expr("cast(array() as array<struct<s:int,e:int>>)")
+    size_ = min(MOST_WORDS, 1 << max(4, (4 * n - 1).bit_length()))
+    word, bit = _place(F.split("window", " "), F.lit(0), F.col("len"), size_)
+    marks = distinct.select(word.cast("long").alias("id"), bit.alias("_b")).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("v"))
+    table = literal_words(marks, size_)
     prints = F.lit(bytearray(distinct.agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.md5("window"))), "")).alias("all")).first()["all"]))
     w, found = F.col("_w"), []
+
+    def spans(starts: Column, size: int) -> Column:
+        def hit(i: Column) -> Column:
+            word, bit = _place(w, i, size, size_)
+            return (F.getbit(F.get(table, word), bit) == 1) & _listed(F.unhex(F.md5(F.array_join(F.slice(w, i + 1, size), " "))), prints, n)
+
+        return F.transform(F.filter(starts, hit), lambda i: F.struct(i.alias("s"), (i + size).alias("e")))
+
     for size in sorted(r[0] for r in distinct.select("len").distinct().collect()):
-        keys = F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: _probe(w, i, size))).otherwise(F.expr("cast(array() as array<bigint>)"))
-        near = F.filter(F.transform(keys, lambda k, i: F.when(maybe_listed(k, table, blocks), i).otherwise(-1)), lambda i: i >= 0)
-        hits = F.filter(near, lambda i: _listed(F.unhex(F.md5(F.array_join(F.slice(w, i + 1, size), " "))), prints, n))
-        found.append(F.transform(hits, lambda i: F.struct(i.cast("int").alias("s"), (i + size).cast("int").alias("e"))))
+        starts = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.expr("cast(array() as array<int>)"))
+        found.append(spans(starts, size))
     return F.array_sort(F.concat(*found))
 
 
