@@ -128,6 +128,13 @@ def test_jaccard_join_counts_all_links_of_a_near_copy_group(spark, monkeypatch):
     for i, t in enumerate(texts):
         assert found[i].n_links == n[classes[t]]
     assert np.array([found[i].class_id for i in range(130, 180)]).tolist() == list(range(130, 180))
+    # Every pair of 0.8 or more is found, so the classes are those that such pairs and copies make.
+    least = {i: i for i in sets}
+    linked = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    while any(least[i] != least[j] for i, j in linked):
+        for i, j in linked:
+            least[i] = least[j] = min(least[i], least[j])
+    assert all(found[i].class_id == least[classes[t]] for i, t in enumerate(texts))
 
 
 def test_posterior_prunes_below_and_keeps_above():
