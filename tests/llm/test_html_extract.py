@@ -65,7 +65,7 @@ def test_names_are_whole(spark):
 
 def test_only_alignment_tells_menu_from_article(spark):
     # Class names say nothing and there is no article element; the constant parts of aligned pages are the template.
-    page = "<body><div class=q1><div>Start</div><div>Contact us</div></div><div class=q2><h1>T%d</h1>%s</div><div class=q3><p>All prices without tax</p></div></body>"
+    page = "<body><div class=qa><div>Start</div><div>Contact us</div></div><div class=qb><h1>T%d</h1>%s</div><div class=qc><p>All prices without tax</p></div></body>"
     bodies = ["".join(f"<p>part {k} of text {i}</p>" for k in range(1 + i % 3)) for i in range(9)]
     assert texts(spark, [page % (i, b) for i, b in enumerate(bodies)]) == [f"T{i} " + " ".join(f"part {k} of text {i}" for k in range(1 + i % 3)) for i in range(9)]
 

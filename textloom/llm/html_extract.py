@@ -43,7 +43,7 @@ CONTENT = frozenset(("article", "main"))
 LEAST_PAGES = 5
 #: Share of a slot's articles that its commonest text stands beside, from which on the slot is template.
 SHARE = 0.9
-#: Skeletons of a host that match in this share of their nodes, dropped parts aside, share a wrapper.
+#: Skeletons of a host that match in this share of their nodes share a wrapper.
 SIMILAR = 0.7
 #: Skeletons of a host among which wrappers are looked for in a first round; each round doubles them.
 FIRST_LOOK = 64
@@ -175,7 +175,10 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
 
 
 def skeleton(root: Node) -> str:
-    """The tree's labels without dropped parts, repeated neighbours as one; numbers each node's slot in preorder."""
+    """The tree's labels, repeated neighbours as one; numbers each node's slot in preorder.
+
+    Menus, headers and the like are in it: whether they are template is for the alignment to say, whatever they are called.
+    """
     out: list[str] = []
     count = 0
     todo: list = [[root]]
@@ -191,8 +194,6 @@ def skeleton(root: Node) -> str:
         merged: list[list[Node]] = []
         for n in group:
             for kid in n.kids:
-                if kid.dropped:
-                    continue
                 if merged and merged[-1][0].label == kid.label:
                     merged[-1].append(kid)
                 else:
@@ -401,12 +402,12 @@ def _digest(text: str) -> int:
 
 
 def evidence(runs: list[tuple[Node, str]], has_main: bool) -> list[tuple[int, int, int]]:
-    """(slot, digest of its text, article) of the slots outside dropped parts.
+    """(slot, digest of its text, article) of the slots.
 
     The article is the digest of the longest other slot of the chosen ones: copies of one article, whatever
     menus and adverts stand beside them, are one article to each of its slots.
     """
-    texts = slot_texts([(n, t) for n, t in runs if t == " " or not n.dropped])
+    texts = slot_texts(runs)
     pool = slot_texts(chosen(runs, has_main))
     first, second = [*sorted(pool, key=lambda s: (-len(pool[s]), pool[s])), -1, -1][:2]
     digests = {s: _digest(t) for s, t in texts.items()}
@@ -457,7 +458,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     """(host, wrappers, constant array<long>): each host's wrappers, one for each group of similar
     skeletons, and the places in them whose text hardly ever changes.
 
-    Each page becomes the skeleton of its tree and a digest of the text in each kept slot, and is
+    Each page becomes the skeleton of its tree and a digest of the text in each slot, and is
     aligned with the nearest wrapper of its host by simple tree matching.  A place is constant if its commonest text
     stands beside at least LEAST_PAGES different articles, and beside SHARE of those that the
     place has any text beside; copies of an article count once.  All counts are combined before they are shuffled.
@@ -504,7 +505,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars.
 
     Slots of the page in constant places of its host's wrappers are template, unless nothing
-    else is kept of the page; the varying ones are content, except in navigation, headers, footers, sidebars, notices,
+    else is kept of the page.  The varying ones are content; only among these do tags, roles and names say what is not, that is navigation, headers, footers, sidebars, notices,
     adverts, forms, scripts, styles, comments and hidden parts.  Article and main elements alone count where they hold
     most of the content.  A form or an element with such a name is no such part if it holds the main content.
     Character references are decoded, white space becomes one space, blocks are joined in page order by one space.
