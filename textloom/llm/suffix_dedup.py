@@ -277,12 +277,14 @@ def _frequent_runs(windows: DataFrame, least: int) -> DataFrame:
     runs = windows.dropDuplicates(["doc_id", "copy", "run"])
     ordered = runs.repartitionByRange(shuffle_partitions(spark), "run", "doc_id", "copy").sortWithinPartitions("run", "doc_id", "copy")
     met = cut(ordered.mapInArrow(_compare, f"doc_id {kind}, copy long, at array<int>, run long, part int, state int, later boolean"))
-    # Three rows for each range at most: what stands at its edges.
+    # Three rows for each range at most: what stands at its edges.  Only these may have equal runs in another range, so
+    # only they are joined; whatever lies between two neighbours of its own range is known already.
     edges = F.broadcast(met.filter(f"state in ({ALONE}, {START}, {MARK})").groupBy("run").agg(F.count(F.lit(1)).alias("_n"), F.min("part").alias("_first")))
-    joined = met.filter(f"state <> {MARK}").join(edges, "run", "left")
-    across = F.col("state").isin(INSIDE, START) | (F.col("_n") > 1)
-    later = F.when(F.col("state") == INSIDE, F.col("later")).when(across, F.col("part") > F.col("_first")).otherwise(False)
-    marked = joined.select("doc_id", "copy", "at", across.alias("_across"), later.alias("_later")).filter("_across or size(at) > 1")
+    between = met.filter(f"state in ({INSIDE}, {WITHIN})").select("doc_id", "copy", "at", (F.col("state") == INSIDE).alias("_across"), ((F.col("state") == INSIDE) & F.col("later")).alias("_later"))
+    outer = met.filter(f"state in ({ALONE}, {START})").join(edges, "run")
+    across = (F.col("state") == START) | (F.col("_n") > 1)
+    later = across & (F.col("part") > F.col("_first"))
+    marked = between.unionByName(outer.select("doc_id", "copy", "at", across.alias("_across"), later.alias("_later"))).filter("_across or size(at) > 1")
     spans = f"transform(at, x -> named_struct('first', x, 'end', x + {least}))"
     none = f"cast(array() as {SPANS})"
     return marked.select("doc_id", "copy", F.expr(f"if(_across, {spans}, {none})").alias("across"), F.expr(f"if(_later, {spans}, slice({spans}, 2, size(at)))").alias("later"))
