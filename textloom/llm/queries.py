@@ -201,6 +201,34 @@ def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.fill_middle import fill_middle, restore
+
+    made = fill_middle(table(spark, sf_dir, "documents"))
+    return made.withColumn("output_sha256", F.sha2("output", 256)).withColumn("restored_sha256", F.sha2(restore(F.col("output"), F.col("form")), 256)).drop("output")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), r AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), p AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM r
+), s AS (
+  SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM p
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -213,8 +241,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_shard": op8_shard,
         "op9_identify_language": op9_identify_language,
         "op10_filter_urls": op10_filter_urls,
+        "op11_fill_middle": op11_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_scan_licenses": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op5_mix_sources": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_filter_urls": OP10_SQL}
+    return {"op2_scan_licenses": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op5_mix_sources": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_filter_urls": OP10_SQL, "op11_fill_middle": OP11_SQL}
