@@ -229,6 +229,41 @@ FROM s
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k) GROUP BY ALL
+), t AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT *, string_split(phrase, ' ') AS x FROM g WHERE f >= 100
+), s AS (
+  SELECT c.lang, c.phrase, c.k, c.x, c.f AS a, a.f AS l, b.f AS r, n, CAST(1000::HUGEINT * c.f * n // (a.f::HUGEINT * b.f) AS BIGINT) AS score, j
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c WHERE k > 1) AS c JOIN t USING (lang)
+  JOIN c AS a ON a.lang = c.lang AND a.phrase = array_to_string(c.x[1:j], ' ') JOIN c AS b ON b.lang = c.lang AND b.phrase = array_to_string(c.x[j + 1:], ' ')
+), m AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), o AS (
+  SELECT DISTINCT m.lang, m.phrase FROM m JOIN (SELECT *, unnest(generate_series(2, k - 1)) AS z FROM c) AS y ON m.k = z AND m.lang = y.lang AND 100 * y.f >= 100 * m.a
+  WHERE contains(' ' || y.phrase || ' ', ' ' || m.phrase || ' ')
+), k AS (
+  SELECT * FROM m ANTI JOIN o USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -242,8 +277,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_identify_language": op9_identify_language,
         "op10_filter_urls": op10_filter_urls,
         "op11_fill_middle": op11_fill_middle,
+        "op12_collocations": op12_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_scan_licenses": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op5_mix_sources": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_filter_urls": OP10_SQL, "op11_fill_middle": OP11_SQL}
+    return {"op2_scan_licenses": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op5_mix_sources": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_filter_urls": OP10_SQL, "op11_fill_middle": OP11_SQL, "op12_collocations": OP12_SQL}
