@@ -264,6 +264,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 """
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -278,6 +284,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_filter_urls": op10_filter_urls,
         "op11_fill_middle": op11_fill_middle,
         "op12_collocations": op12_collocations,
+        "op13_toxicity": op13_toxicity,
     }
 
 
