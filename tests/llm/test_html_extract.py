@@ -105,3 +105,31 @@ def test_pages_of_very_many_blocks_are_aligned():
     r = random.Random(1)
     x, y = ("r ( " + " ".join(r.choice(["h ( )", "p ( b ( ) )", "p ( )", "u ( l ( ) )"]) for _ in range(6000)) + " )" for _ in range(2))
     assert len(H.align(x, y)) > 6000
+
+
+def test_cut_off_and_odd_tags_take_linear_time():
+    import time
+
+    many = " ".join(f'data-a{i}="v{i}" b{i}=\'w{i}\'' for i in range(500))
+    head = "<body><article><p>kept</p>"
+    pages = {
+        f"{head}<div {many}": "kept",
+        f"{head}<div {many} x=\"": "kept",
+        f"{head}<div {'\"' * 501}": "kept",
+        head + "<a " * 20_000: "kept",
+        head + '<a x="' * 20_000: "kept",
+        head + "<!" * 20_000: "kept",
+        head + "<b " * 20_000 + ">end": "kept end",
+        f"{head}<div {many} x=\">after</div>": "kept after",
+        f"{head}1 < 2 and <3": "kept 1 < 2 and <3",
+        f"{head}<p title=\"a > b\">quoted</p><p title=\"open>loose</p>": "kept quoted loose",
+    }
+    for page, wanted in pages.items():
+        begin = time.perf_counter()
+        found = text_of(page)
+        assert (found, time.perf_counter() - begin < 0.5) == (wanted, True), page[:80]
+
+
+def test_formulas_objects_and_headlines_are_text():
+    page = "<body><header><h1>Site</h1></header><article><header><h1>Head</h1><nav>menu</nav></header><p>Let <math><mi>x</mi></math> be, <canvas>a drawing</canvas> <object>thing</object></p><xmp>as is</xmp><footer>foot</footer></article></body>"
+    assert text_of(page) == "Head Let x be, a drawing thing as is"

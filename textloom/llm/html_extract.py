@@ -18,13 +18,19 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut, small
 from textloom.llm.url_filter import url_host
 
-TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)>|<[!?][^>]*>""", re.S)
+#: A comment, a tag or a declaration.  Quoted values may hold a >; where quotes don't pair up to a > behind them, the tag ends at its first one.
+#: Nothing that was matched is given back, so a tag costs time in proportion to its length.
+TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+(?=>)|[^>]*+)>|<[!?][^>]*+>""", re.S)
+#: What begins like a tag; without a > behind it the page was cut off inside it.
+BEGUN = re.compile(r"<[/!?]?[A-Za-z!?-]")
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 # Elements by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas, and what stands in for pictures and objects, are read as part of the line.
+INLINE |= frozenset("canvas math mfrac mi mn mo mover mroot mrow ms msqrt mspace mstyle msub msubsup msup mtext munder object semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object audio video textarea title xmp noframes noembed".split())
+RAW = frozenset("script style noscript template iframe svg audio video textarea title noframes noembed".split())
 DROPPED = frozenset("head nav header footer aside button select menu dialog fieldset dialog".split())
 #: Dropped unless they hold the main content.
 FORMS = frozenset(("form",))
@@ -104,6 +110,9 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
     # Open elements by tag: the stack is searched only for what is in it, so deep pages take no quadratic time.
     opened: Counter[str] = Counter()
     find = TAG.search
+    # A page that was cut off inside a tag ends before it.
+    if (begun := BEGUN.search(html, html.rfind(">") + 1)) is not None:
+        html = html[: begun.start()]
 
     def close(i: int) -> None:
         opened.subtract(n.tag for n in stack[i:])
@@ -149,7 +158,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], bool]:
                 if stack[i].tag in ("ul", "ol", "dl", "table", "select"):
                     break
         up = stack[-1]
-        label, hard, soft, core = tag, tag in DROPPED, tag in FORMS, tag in CONTENT
+        # An article's own header holds its headline.
+        label, hard, soft, core = tag, tag in DROPPED and not (tag == "header" and up.main), tag in FORMS, tag in CONTENT
         if m[3]:
             marks = {}
             for a in ATTR.finditer(m[3]):
@@ -511,7 +521,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Character references are decoded, white space becomes one space, blocks are joined in page order by one space.
 
     Null or empty html gives empty text.  Pages without a host share the wrapper of the empty
-    host.  Repeated rows are extracted one by one.  An empty table gives no rows.  Broken markup is read to its end.
+    host.  Repeated rows are extracted one by one.  An empty table gives no rows.  Broken markup is read to its end; a tag
+    in which the page was cut off is dropped.
     """
     found = cut(wrappers(pages, url_col, html_col).filter(F.size("constant") > 0))
     # The aliases avoid clashes with columns of the input.
