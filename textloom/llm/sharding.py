@@ -35,7 +35,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     keys (RANGES_PER_SHARD * SAMPLES_PER_RANGE keys for each shard are expected) gives quantile boundaries of fine ranges;
     the sizes of all rows are then summed exactly for each range.  A group of equal texts above
     1/64 of a shard leaves its range; one above a whole shard is subdivided by a hash
-    of the identifier.  Those pieces are dealt out largest first, and the ranges, in key order, fill each
+    of its rows' places in the table that is written first.  Those pieces are dealt out largest first, and the ranges, in key order, fill each
     shard up to an equal size.  So equal texts share a shard wherever the group is no larger
     than one, and shards differ by about one fine range.  Slots number the rows of a shard
     from 0: rows are numbered inside cells of bounded row count, whose offsets the driver knows.
@@ -52,8 +52,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("_k"),
-            # Rows without an identifier are told apart by their place.
-            F.coalesce(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"), F.lit(11))), F.xxhash64(F.monotonically_increasing_id(), F.lit(12))).alias("_u"),
+            # Rows are told apart by their place, so that rows with one identifier and one text can be dealt out, too.
+            F.xxhash64(F.monotonically_increasing_id(), F.lit(12)).alias("_u"),
         )
     )
     rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
