@@ -464,3 +464,27 @@ def test_shards_of_a_hot_text_without_ids(spark):
     load = [sum(r.size for r in found if r.shard == s) for s in range(4)]
     assert max(load) - min(load) < 0.1 * sum(load) / 4
     assert all(sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found))) for s in range(4))
+
+
+def test_half_of_all_rows_are_one_row(spark):
+    rows = [(1, "same words here " * 6, "s")] * 3000 + [(i, prose(i, 16), "s") for i in range(2, 3002)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("lang string, ", "").replace(", n_chars long", "")).repartition(6)
+    sharded = sharding.shard(df, 16).collect()
+    loads = [sum(r["size"] for r in sharded if r["shard"] == s) for s in range(16)]
+    assert max(loads) <= 1.05 * sum(loads) / 16 and min(loads) >= 0.95 * sum(loads) / 16
+    for s in range(16):
+        slots = sorted(r["slot"] for r in sharded if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
+@pytest.mark.parametrize("id_", [None, 7])
+def test_a_mix_of_rows_without_or_with_one_identifier(spark, id_):
+    rows = [(id_, "w " * (5 + i % 2), "a") for i in range(20_000)] + [(i, "w " * 9, "b") for i in range(100, 3100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    found = mixing.mix(df)
+    per_task = [len(x) for x in found.rdd.glom().collect()]
+    assert sum(per_task) == len(rows) and max(per_task) <= 4 * sorted(per_task)[len(per_task) // 2]
+    taken = {r["source_size"]: (r["target"], r["t"]) for r in found.groupBy("source_size", "target").sum("taken").withColumnRenamed("sum(taken)", "t").collect()}
+    assert all(abs(t - target) < 1 for target, t in taken.values()) and sum(taken) == sum(len(r[1].split()) for r in rows)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in found.collect())
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, mixing.mix(df.repartition(3)).collect()), key=repr)
