@@ -59,6 +59,7 @@ MOST_CACHED = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(LEET) + MASKS)
 _SUSPECT = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1|[^\W\d_][{re.escape(BETWEEN)}]+[^\W\d_]")
+_DOUBLED, _RUN = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1+", re.S)
 _MASKED = re.compile(rf"(?<=[^\W_])[{re.escape(MASKS)}]+(?=[^\W_])")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 _EDGE = ".,;:?\"“”„«»[]{}"
@@ -188,6 +189,14 @@ def evidence(words: set[str]) -> list[str]:
 _SKELETON = {**{c: x[0] for c, x in LEET.items()}, **{x[1]: x[0] for x in LEET.values() if len(x) > 1}}
 
 
+_FOLDED = str.maketrans({**_SKELETON, **dict.fromkeys(BETWEEN)})
+
+
+def folded(text: str) -> str:
+    """The skeleton of a text without masks, faster."""
+    return _RUN.sub(r"\1", text.translate(_FOLDED))
+
+
 def skeleton(text: str) -> tuple[str, list[int]]:
     """Text with signs as letters, l as i, signs between letters dropped and repeats as one; and where each character stands.
 
@@ -245,7 +254,8 @@ class Scorer:
 
     def suspect(self, chunk: str) -> list[tuple[int, int, dict[int, str]]]:
         """(first, end, letters under masks) of the parts of a chunk that may be read as words the model knows."""
-        if not self.tells:
+        hides = any(c in chunk for c in MASKS)
+        if not self.tells or not hides and next(self.finder.iter(folded(chunk)), None) is None:
             return []
         text, at = skeleton(chunk)
         found, masked = [(at[end - size + 1], at[end] + 1) for end, size in self.finder.iter(text)], {}
@@ -276,7 +286,12 @@ class Scorer:
 
     def words(self, chunk: str) -> list[str]:
         """Words of a chunk without spaces, restored where they are disguised."""
+        if chunk.isalpha():
+            # Letters alone are disguised by repeats only.
+            return (_DOUBLED.search(chunk) and self.read(chunk)) or [chunk]
         core = chunk.strip(_EDGE)
+        if core.isalpha() and not _DOUBLED.search(core):
+            return [core]
         found = self.read(core) if _SUSPECT.search(core.rstrip("!")) else None
         if found is None:
             return WORD.findall(chunk)
@@ -285,7 +300,7 @@ class Scorer:
 
     def known(self, words: list[str]) -> tuple:
         """((word, its parts that the model knows), ...)."""
-        pairs = ((w, tuple(p for p in parts_of(w) if p in self.roots)) for w in words if w[:SHORTEST] in self.heads or f"{w}$"[:SHORTEST] in self.heads)
+        pairs = [(w, tuple(p for p in parts_of(w) if p in self.roots)) for w in words if w[:SHORTEST] in self.heads or len(w) < SHORTEST]
         return tuple(x for x in pairs if x[1])
 
     def score(self, text: str) -> float:
