@@ -15,11 +15,13 @@ FIRST = "i|i'm|i've|ive|i'll|i'd|my|mine|me|we|we're|we've|our|us"
 SECOND = "you|you're|you've|you'll|you'd|your|yours"
 THIRD = "they|them|their|theirs|he|him|his|she|her|hers|it|its"
 UNITS = "%|percent|x|hours?|hrs?|days?|weeks?|months?|years?"
-VERBS = (
-    "use|start|stop|write|build|measure|track|ask|try|check|pick|choose|drop|add|remove|test|ship|document|define|list|block|automate|reorder|review|audit|log|tag|standardise|standardize|"
-    "schedule|run|read|look|find|count|compare|cut|replace|move|write down|write it down|put|keep|make|give|take|send|call|book|share|note|set|decide|name|delete|skip|start with|end with|"
-    "begin|finish|avoid|expect|assume|ignore|waste|pay|hire|fire|fix"
+IMPERATIVES = (
+    "use", "start", "stop", "write", "build", "measure", "track", "ask", "try", "check", "pick", "choose", "drop", "add", "remove", "test", "ship", "document", "define",
+    "list", "block", "automate", "reorder", "review", "audit", "log", "tag", "standardise", "standardize", "schedule", "run", "read", "look", "find", "count", "compare",
+    "cut", "replace", "move", "write down", "write it down", "put", "keep", "make", "give", "take", "send", "call", "book", "share", "note", "set", "decide", "name", "delete",
+    "skip", "start with", "end with", "begin", "finish", "avoid", "expect", "assume", "ignore", "waste", "pay", "hire", "fire", "fix",
 )
+VERBS = "|".join(IMPERATIVES)
 STOPWORDS = (
     "a about after all also am an and any are as at be because been before being but by can cannot could did do does doing done down each even every for from get got had has have he her here "
     "hers him his how i if in into is it its just like me more most my no nor not of off on once only or other our out over own said same she should so some such than that the their them then "
@@ -49,8 +51,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: trim(F.replace(F.replace(s, F.lit("\x01"), F.lit(" ")), F.lit("\x02"), F.lit(".")))), lambda s: s != "")
 
 
+def lengths_of(sentences_: Column) -> Column:
+    """Words of each sentence."""
+    return F.transform(sentences_, lambda s: count(s, WORD))
+
+
 def sentence_lengths(text: Column) -> Column:
-    return F.transform(sentences(text), lambda s: count(s, WORD))
+    return lengths_of(sentences(text))
 
 
 def paragraphs(text: Column) -> Column:
@@ -120,9 +127,27 @@ def variation(a: Column) -> Column:
     return F.when(total(a) > 0, stdev(a) / mean(a)).otherwise(F.lit(0.0))
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; in a text of ASCII characters alone lower() does that, and faster."""
+    return F.when(is_ascii(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters, digits and underscores in lower case, in which pronouns are counted."""
-    return F.transform(F.split(whole(text), "[^A-Za-z0-9_]+"), F.lower)
+    return F.split(ascii_lower(whole(text)), "[^a-z0-9_]+")
+
+
+def emoji_count(text: Column) -> Column:
+    """Emoji of a text; none are ASCII."""
+    t = whole(text)
+    return F.when(is_ascii(t), F.lit(0)).otherwise(count(t, EMOJI))
 
 
 def pronouns(tokens_: Column, which: str) -> Column:
@@ -152,7 +177,12 @@ def claim_numbers(text: Column) -> Column:
 
 
 def imperatives(text: Column) -> Column:
-    return F.filter(sentences(text), lambda s: s.rlike(rf"(?i)^(?:[0-9]{{1,2}}[.)]\s+|[-*•]\s+)?(?:{VERBS}){B}"))
+    return imperatives_of(sentences(text))
+
+
+def imperatives_of(sentences_: Column) -> Column:
+    """The sentences that begin with a verb of IMPERATIVES, behind a list marker or not."""
+    return F.filter(sentences_, lambda s: s.rlike(rf"(?i)^(?:[0-9]{{1,2}}[.)]\s+|[-*•]\s+)?(?:{VERBS}){B}"))
 
 
 def hashtags(text: Column) -> Column:
@@ -217,18 +247,21 @@ def hashtag_count(text: Column) -> Column:
 
 
 def style_profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with 21 numeric columns of style; the words of each sentence are counted once, and tokens cut once."""
+    """docs with 21 numeric columns of style; the words of each sentence are counted once, and tokens cut once.
+
+    No word reaches across the end of a sentence, so the sentences' words are the text's.
+    """
     text = F.col(text_col)
     base = docs.withColumns({"_lens": sentence_lengths(text), "_tokens": tokens(text)})
     out = {
         "chars": F.length(whole(text)),
-        "words": count(whole(text), WORD),
+        "words": total(F.col("_lens")).cast("int"),
         "sentences": F.size("_lens"),
         "mean_sentence_words": round_half_up(mean(F.col("_lens")), 2),
         "median_sentence_words": round_half_up(median(F.col("_lens")), 2),
         "length_variance": round_half_up(variation(F.col("_lens")), 3),
         "paragraphs": F.size(paragraphs(text)),
-        "emoji": count(whole(text), EMOJI),
+        "emoji": emoji_count(text),
         "hashtags": hashtag_count(text),
         "numbers": F.size(numbers(text)),
         "first_person": pronouns(F.col("_tokens"), FIRST),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,20 +97,55 @@ def hook_head(text: Column) -> Column:
     return F.concat(first_line(text), F.lit(" "), F.array_join(F.slice(F.split(whole(text), "\n"), 1, 2), " "))
 
 
+#: A boundary before or behind a pattern whose own end is a word character.
+_LEAD, _TRAIL = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+
+def searched(pattern: str) -> str:
+    """A fixed pattern in a form that finds a match in the same texts, first at the same place, in less time.
+
+    A boundary around a group of words looks one way.  A class that repeats before white space finds its last character
+    alone: any longer match ends in that one, and the run needn't be tried from each of its characters.
+    """
+    out = re.sub(r"^(\(\?i\))?\{B\}(?=[(a-z])", lambda m: f"{m[1] or ''}{_LEAD}", pattern)
+    return re.sub(r"(?<=[)a-z])\{B\}$", _TRAIL, out).replace("{B}", B)
+
+
 def hook_families(text: Column) -> Column:
     """array<string> of the hook families that the opening belongs to."""
-    found = lambda head: F.filter(F.array(*[F.when(head.rlike(p.replace("{B}", B)), F.lit(n)) for n, p in HOOKS]), lambda x: x.isNotNull())
+    # Only whether a family matches counts here, not where.
+    once = lambda p: searched(p).replace(r"]+\s+(?:", r"]\s+(?:")
+    found = lambda head: F.filter(F.array(*[F.when(head.rlike(once(p)), F.lit(n)) for n, p in HOOKS]), lambda x: x.isNotNull())
     return let(hook_head(text), found)
 
 
+#: Words without which a call to action of a kind can't stand in a text, lower-cased.
+ROOTS = {
+    "ask": ("comment", "dm", "message me", "reply", "drop a", "leave a", "send me", "email me", "tell me", "let me know"),
+    "link": ("link ", "url "),
+    "read": ("read ", "full "),
+    "follow": ("follow", "connect with me", "add me"),
+    "save": ("save this",),
+    "book": ("sign up", "get access", "book", "call", "grab"),
+    "question": ("?",),
+}
+
+
 def cta_positions(text: Column) -> Column:
-    """First offsets of each kind of call to action, from 0, kinds that are absent left out."""
+    """First offsets of each kind of call to action, from 0, kinds that are absent left out; a pattern is only tried on texts with one of its roots."""
     t = whole(text)
-    return F.filter(F.array(*[F.nullif(F.regexp_instr(t, F.lit(p.replace("{B}", B))), F.lit(0)) - 1 for _, p in CTA]), lambda x: x.isNotNull())
+
+    def place(low: Column, kind: str, pattern: str) -> Column:
+        rooted = reduce(lambda a, r: a | low.contains(r), ROOTS[kind], F.lit(False))
+        return F.when(rooted, F.nullif(F.regexp_instr(t, F.lit(searched(pattern))), F.lit(0)) - 1)
+
+    return F.filter(let(F.lower(t), lambda low: F.array(*[place(low, k, p) for k, p in CTA])), lambda x: x.isNotNull())
 
 
 def has_markdown(text: Column) -> Column:
-    return whole(text).rlike(r"(?m)^\s*#{1,6}\s|^.*\|.*\||\*\*[^*\n]+\*\*")
+    t = whole(text)
+    marked = t.contains("#") | t.contains("|") | t.contains("**")
+    return marked & t.rlike(r"(?m)^\s*#{1,6}\s|^.*\|.*\||\*\*[^*\n]+\*\*")
 
 
 def contains_word(text: Column, phrase: str) -> Column:

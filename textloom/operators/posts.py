@@ -14,6 +14,11 @@ from textloom.operators import lexicon as L
 from textloom.operators.sourcing import nearest_claim, unsourced
 
 
+#: A phrase that gives a machine away as the author, and the places of such phrases in the dictionary.
+SELF = re.compile(r"as an ai|ai.generated|language model")
+OWN_VOICE = [i for i, (kind, _, p) in enumerate(L.DICTIONARY) if kind == "hard" and SELF.search(p)]
+
+
 @dataclass(frozen=True)
 class Voice:
     """Targets of a voice; the defaults are those of an unset profile."""
@@ -31,10 +36,23 @@ class Voice:
 def measure(posts: DataFrame, known: DataFrame, overlap: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One wide row for each post, with the columns keep unchanged; overlap: (id, overlap), absent without history."""
     text = F.col(text_col)
-    base = posts.select(id_col, *keep, text.alias("_t"), T.sentence_lengths(text).alias("_l"), L.cta_positions(text).alias("_c"), T.first_line(text).alias("_f"), T.tokens(text).alias("_tokens"), L.matcher()(F.lower(T.whole(text))).alias("_ids"))
+    # Sentences and tokens are cut once; what is read from them is computed once, too.
+    cut = posts.select(id_col, *keep, text.alias("_t"), T.sentences(text).alias("_sentences"), T.tokens(text).alias("_tokens"))
     t = F.col("_t")
-    n_words = count(T.whole(t), T.WORD)
-    ratio = T.second_to_first(T.pronouns(F.col("_tokens"), T.SECOND), T.pronouns(F.col("_tokens"), T.FIRST), n_words)
+    base = cut.select(
+        id_col,
+        *keep,
+        "_t",
+        T.lengths_of(F.col("_sentences")).alias("_l"),
+        F.size(T.imperatives_of(F.col("_sentences"))).alias("imperatives"),
+        T.pronouns(F.col("_tokens"), T.FIRST).alias("_first"),
+        T.pronouns(F.col("_tokens"), T.SECOND).alias("_second"),
+        L.cta_positions(t).alias("_c"),
+        T.first_line(t).alias("_f"),
+        L.matcher()(F.lower(T.whole(t))).alias("_ids"),
+    )
+    # No word reaches across the end of a sentence.
+    ratio = T.second_to_first(F.col("_second"), F.col("_first"), T.total(F.col("_l")))
     wide = base.select(
         id_col,
         *keep,
@@ -44,16 +62,17 @@ def measure(posts: DataFrame, known: DataFrame, overlap: DataFrame | None = None
         round_half_up(T.mean(F.col("_l")), 2).alias("mean_sentence_words"),
         round_half_up(T.variation(F.col("_l")), 3).alias("variation"),
         F.coalesce(F.array_max(F.transform(T.paragraphs(t), F.length)), F.lit(0)).alias("longest_paragraph"),
-        F.size(T.imperatives(t)).alias("imperatives"),
+        "imperatives",
         L.present("hard", F.col("_ids")).alias("hard_bans"),
         L.present("soft", F.col("_ids")).alias("soft_tells"),
         round_half_up(ratio, 2).alias("second_to_first"),
         F.size("_c").alias("ctas"),
         round_half_up(F.when(F.size("_c") > 0, F.array_min("_c") / F.greatest(F.length(T.whole(t)), F.lit(1))).otherwise(F.lit(1.0)), 4).alias("cta_ratio"),
         T.hashtag_count(t).alias("hashtags"),
-        count(T.whole(t), T.EMOJI).alias("emoji"),
+        T.emoji_count(t).alias("emoji"),
         L.has_markdown(t).alias("markdown"),
         L.present("authority", F.col("_ids")).alias("authority"),
+        F.exists("_ids", lambda i: i.isin(OWN_VOICE)).alias("self_reference"),
     )
     missing = unsourced(posts, known, id_col, text_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("_m"))
     out = wide.join(missing, id_col, "left").withColumn("needs_source", F.coalesce("_m", F.lit(0))).drop("_m")
@@ -91,10 +110,6 @@ def hard_blocks(needs_source: Column, self_reference: Column, published_by_hand:
     return F.concat_ws(",", *[F.when(x, F.lit(n)) for x, n in parts])
 
 
-#: A phrase that gives a machine away as the author.
-SELF = re.compile(r"as an ai|ai.generated|language model")
-
-
 @dataclass(frozen=True)
 class Publishing:
     """A persona's publishing settings; the defaults are those of an unset profile."""
@@ -113,8 +128,7 @@ def blocked(posts: DataFrame, known: DataFrame, registry: DataFrame, publishing:
     open_ = unsourced(posts, known, id_col, text_col)
     near = nearest_claim(open_, registry, "id", "claim").join(registry.select(F.col("id").alias("entry"), "permission"), "entry", "left")
     counts = near.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("permission").isin("requested", "denied")).alias("_refused"))
-    own = [i for i, (kind, _, p) in enumerate(L.DICTIONARY) if kind == "hard" and SELF.search(p)]
-    flags = posts.select(id_col, "status", "approvals", "gate_bypassed", F.exists(L.matcher()(F.lower(T.whole(F.col(text_col)))), lambda i: i.isin(own)).alias("_self"))
+    flags = posts.select(id_col, "status", "approvals", "gate_bypassed", F.exists(L.matcher()(F.lower(T.whole(F.col(text_col)))), lambda i: i.isin(OWN_VOICE)).alias("_self"))
     approved = F.exists(F.coalesce("approvals", F.expr("array()")), lambda a: a["decision"].isin("approved", "edited"))
     late = F.col("status").isin("queued", "published") & ~F.coalesce(approved, F.lit(False)) & ~F.coalesce("gate_bypassed", F.lit(False))
     needs = F.coalesce("_n", F.lit(0))

@@ -165,23 +165,29 @@ def order_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- approval gate
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    # A post that isn't approved is refused by its status, so only approved ones are scored.
+    approved = labels.filter("quality = 1").select("doc_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(approved) if approved.count() <= MOST_BROADCAST else approved, "doc_id")
     # Only whether a text is empty goes through the joins, not the text.
     empty = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "") == ""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", F.when(empty, "").otherwise("-").alias("_some"))
-    scores = PQ.post_scores(spark, sf_dir, docs, ("source", "lang", "_some")).select("doc_id", "source", "lang", F.col("_some").alias("text"), "hard_blocks", "total")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    rows = scores.join(labels, "doc_id", "left")
+    scores = PQ.post_scores(spark, sf_dir, texts.withColumn("_some", F.when(empty, "").otherwise("-")), ("_some",)).select("doc_id", F.col("_some").alias("text"), F.col("hard_blocks").alias("_blocks"), "total")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(labels, "doc_id", "left").join(scores, "doc_id", "left")
     status = F.when(F.col("quality") == 1, "approved").when(F.col("quality") == 0, "rejected").otherwise("draft")
-    blocks = F.concat_ws(",", F.nullif("hard_blocks", F.lit("")), F.when(F.col("toxic") == 1, F.lit("toxic")))
+    blocks = F.when(F.col("quality") == 1, F.concat_ws(",", F.nullif("_blocks", F.lit("")), F.when(F.col("toxic") == 1, F.lit("toxic"))))
     shown = F.when(F.col("source") == "src3", "CONNECTIONS").otherwise("PUBLIC")
     ready = rows.select("doc_id", "text", "source", "lang", "total", status.alias("status"), blocks.alias("hard_blocks"), (F.col("quality") == 1).alias("approved"), shown.alias("visibility"), F.lit(40.0).alias("least_score"), F.array(F.lit("PUBLIC")).alias("allowed_visibility"))
     return H.approved_rows(ready)
 
 
+#: Identifiers of approved posts that are broadcast at most, counted first; beyond, Spark shuffles.
+MOST_BROADCAST = 1_000_000
+
+
 _SCORES = f"""WITH {PQ.FINDINGS}, t AS (SELECT doc_id, {PQ._SUMS.format('earned', 'possible')} FROM f GROUP BY doc_id),
- sc AS (SELECT doc_id, CASE WHEN needs_source > 0 THEN 'hb1' END AS hb, CASE WHEN needs_source > 0 THEN 0.0 ELSE {D.rnd('earned::DOUBLE / possible * 100', 1)} END AS total FROM t JOIN m USING (doc_id)),
+ sc AS (SELECT doc_id, CASE WHEN needs_source > 0 THEN 'hb1' END AS hb1, CASE WHEN self_reference THEN 'hb3' END AS hb3, CASE WHEN needs_source > 0 OR self_reference THEN 0.0 ELSE {D.rnd('earned::DOUBLE / possible * 100', 1)} END AS score FROM t JOIN m USING (doc_id)),
  lb AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
- g AS (SELECT d.doc_id, d.text, d.source, d.lang, total, CASE quality WHEN 1 THEN 'approved' WHEN 0 THEN 'rejected' ELSE 'draft' END AS status, concat_ws(',', hb, CASE WHEN toxic = 1 THEN 'toxic' END) AS hard_blocks, CASE WHEN source = 'src3' THEN 'CONNECTIONS' ELSE 'PUBLIC' END AS visibility FROM documents d JOIN sc USING (doc_id) LEFT JOIN lb USING (doc_id)),
+ g AS (SELECT d.doc_id, d.text, d.source, d.lang, CASE WHEN quality = 1 THEN score END AS total, CASE quality WHEN 1 THEN 'approved' WHEN 0 THEN 'rejected' ELSE 'draft' END AS status, CASE WHEN quality = 1 THEN concat_ws(',', hb1, hb3, CASE WHEN toxic = 1 THEN 'toxic' END) END AS hard_blocks, CASE WHEN source = 'src3' THEN 'CONNECTIONS' ELSE 'PUBLIC' END AS visibility FROM documents d JOIN sc USING (doc_id) LEFT JOIN lb USING (doc_id)),
  r AS (SELECT *, CASE WHEN status <> 'approved' THEN 'status is ' || status WHEN hard_blocks <> '' THEN 'hard blocks present: ' || hard_blocks WHEN regexp_replace(coalesce(text, ''), '\\s', '', 'g') = '' THEN 'empty text' WHEN total < 40 THEN 'score too low' WHEN visibility <> 'PUBLIC' THEN 'visibility not allowed' END AS reject_reason FROM g)"""
 
 

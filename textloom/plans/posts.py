@@ -44,6 +44,21 @@ def max_overlap_vs_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.worst_overlap(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
+_NEAR = f"""hg AS (SELECT item_id, len(g) AS n, unnest(g) AS gram FROM (SELECT item_id, {D.grams()} AS g FROM benchmark)), pg AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM (SELECT doc_id, {D.grams()} AS g FROM documents)),
+ po AS (SELECT doc_id, item_id, count(*)::DOUBLE / (hg.n + pg.n - count(*)) AS o FROM pg JOIN hg USING (gram) GROUP BY doc_id, item_id, hg.n, pg.n),
+ near AS (SELECT doc_id, {D.rnd('o', 3)} AS overlap, item_id AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o DESC, item_id) AS r FROM po WHERE o >= 0.25::DOUBLE) WHERE r = 1)"""
+
+
+def _near(spark: SparkSession, sf_dir: str, posts: DataFrame | None = None) -> DataFrame:
+    posts = table(spark, sf_dir, "documents").select("doc_id", "text") if posts is None else posts
+    return S.overlaps_of_least(posts, table(spark, sf_dir, "benchmark").select("item_id", "text"), "doc_id", "item_id")
+
+
+@query(f"WITH {_NEAR} SELECT doc_id, overlap, nearest FROM near")
+def repeats_of_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir)
+
+
 # --- sourcing
 _KNOWN = f"(SELECT DISTINCT unnest([t, regexp_replace(t, '[^0-9.,]', '', 'g')]) AS value FROM (SELECT unnest({D.claim_numbers()}) AS t FROM benchmark))"
 _TOKENS = f"(SELECT doc_id, t, pos, v[pos] AS value, regexp_replace(v[pos], '[^0-9.,]', '', 'g') AS bare FROM (SELECT doc_id, t, v, unnest(generate_series(1, len(v))) AS pos FROM (SELECT doc_id, {D.whole()} AS t, {D.claim_numbers()} AS v FROM documents)))"
@@ -64,18 +79,19 @@ def unsourced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- post rubric: documents are posts, labels their approval, benchmark the registry of evidence
 def _measures(spark: SparkSession, sf_dir: str, posts: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     posts = table(spark, sf_dir, "documents").select("doc_id", "text") if posts is None else posts
-    return P.measure(posts, Q.known_numbers(_registry(spark, sf_dir), "text"), keep=keep)
+    return P.measure(posts, Q.known_numbers(_registry(spark, sf_dir), "text"), _near(spark, sf_dir, posts.select("doc_id", "text")), keep=keep)
 
 
 _RATIO = "CASE WHEN f = 0 THEN s::DOUBLE / greatest(w, 1) * 100 ELSE (s::DOUBLE / greatest(w, 1) * 100) / (f::DOUBLE / greatest(w, 1) * 100) END"
 _DICTN = lambda k: f"(SELECT count(*) FROM {X.DICT} WHERE kind = '{k}' AND contains(lower({D.whole()}), phrase))"
-MEASURES = f"""known AS {_KNOWN}, u AS (SELECT doc_id, count(*) AS m FROM {UNSOURCED} GROUP BY doc_id),
+_SELF = f"(SELECT count(*) > 0 FROM {X.DICT} WHERE kind = 'hard' AND contains(lower({D.whole()}), phrase) AND regexp_matches(phrase, 'as an ai|ai.generated|language model'))"
+MEASURES = f"""{_NEAR}, known AS {_KNOWN}, u AS (SELECT doc_id, count(*) AS m FROM {UNSOURCED} GROUP BY doc_id),
  b AS (SELECT doc_id, text, {D.lengths()} AS l, {X.CTA_SQL} AS c, {D.first_line()} AS fl, {D.pronouns(T.FIRST)} AS f, {D.pronouns(T.SECOND)} AS s, {D.count(D.whole(), T.WORD)} AS w FROM documents),
  m AS (SELECT doc_id, length(fl) AS hook_chars, {D.count('fl', T.WORD)} AS hook_words, len({X.HOOK_SQL}) AS hook_families, {D.rnd(D.mean('l'), 2)} AS mean_sentence_words, {D.rnd(D.variation('l'), 3)} AS variation,
  coalesce(list_max(list_transform({D.paragraphs()}, lambda x: length(x))), 0) AS longest_paragraph, len({D.imperatives()}) AS imperatives, {_DICTN('hard')} AS hard_bans, {_DICTN('soft')} AS soft_tells,
  {D.rnd(_RATIO, 2)} AS second_to_first, len(c) AS ctas, {D.rnd(X._CR, 4)} AS cta_ratio, {D.STYLE['hashtags']} AS hashtags, {D.STYLE['emoji']} AS emoji,
- regexp_matches({D.whole()}, '(?m)^\\s*#{{1,6}}\\s|^.*\\|.*\\||\\*\\*[^*\\n]+\\*\\*') AS markdown, {_DICTN('authority')} AS authority, coalesce(m, 0) AS needs_source, 0.0::DOUBLE AS overlap FROM b LEFT JOIN u USING (doc_id))"""
-_COLS = "doc_id, hook_chars, hook_words, hook_families, mean_sentence_words, variation, longest_paragraph, imperatives, hard_bans, soft_tells, second_to_first, ctas, cta_ratio, hashtags, emoji, markdown, authority, needs_source, overlap"
+ regexp_matches({D.whole()}, '(?m)^\\s*#{{1,6}}\\s|^.*\\|.*\\||\\*\\*[^*\\n]+\\*\\*') AS markdown, {_DICTN('authority')} AS authority, coalesce(m, 0) AS needs_source, coalesce(overlap, 0.0::DOUBLE) AS overlap, {_SELF} AS self_reference FROM b LEFT JOIN u USING (doc_id) LEFT JOIN near USING (doc_id))"""
+_COLS = "doc_id, hook_chars, hook_words, hook_families, mean_sentence_words, variation, longest_paragraph, imperatives, hard_bans, soft_tells, second_to_first, ctas, cta_ratio, hashtags, emoji, markdown, authority, needs_source, overlap, self_reference"
 _PASS = {
     "h1": "hook_chars <= 130 AND hook_words <= 18", "h2": "hook_families > 0", "s2": "needs_source = 0", "st1": "mean_sentence_words <= 18", "st2": "variation >= 0.35::DOUBLE", "st3": "longest_paragraph <= 180", "vd1": "imperatives > 0",
     "vd3": "overlap < 0.25", "vm1": "hard_bans = 0", "vm2": "soft_tells <= 1", "vm3": "second_to_first BETWEEN 1.2::DOUBLE AND 6.0::DOUBLE", "ct1": "ctas = 1", "ct2": "cta_ratio > 0.6::DOUBLE", "ff1": "hashtags BETWEEN 3 AND 5", "ff2": "emoji <= 0", "ff3": "NOT markdown",
@@ -111,12 +127,12 @@ _BAND = "CASE " + " ".join(f"WHEN {{0}} BETWEEN {a} AND {b} THEN '{n}'" for n, a
 
 
 @query(f"""WITH {FINDINGS}, t AS (SELECT doc_id, {_SUMS.format('earned', 'possible')} FROM f GROUP BY doc_id),
- h AS (SELECT doc_id, CASE WHEN needs_source > 0 THEN 'hb1' ELSE '' END AS hard_blocks FROM m),
+ h AS (SELECT doc_id, concat_ws(',', CASE WHEN needs_source > 0 THEN 'hb1' END, CASE WHEN self_reference THEN 'hb3' END) AS hard_blocks FROM m),
  c AS (SELECT *, {D.rnd('earned::DOUBLE / possible * 100', 1)} AS computed_score FROM t JOIN h USING (doc_id))
  SELECT doc_id, earned, possible, computed_score, hard_blocks, CASE WHEN hard_blocks <> '' THEN 0.0 ELSE computed_score END AS total, CASE WHEN hard_blocks <> '' THEN 'reject' ELSE {_BAND.format('computed_score')} END AS band FROM c""")
 def post_scores(spark: SparkSession, sf_dir: str, posts: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     no = F.lit(False)
-    return R.scored(_measures(spark, sf_dir, posts, keep), P.checks()[0], P.hard_blocks(F.col("needs_source") > 0, no, no, no), keys=("doc_id", *keep))
+    return R.scored(_measures(spark, sf_dir, posts, keep), P.checks()[0], P.hard_blocks(F.col("needs_source") > 0, F.col("self_reference"), no, no), keys=("doc_id", *keep))
 
 
 _RANK = "row_number() OVER (PARTITION BY doc_id ORDER BY passed, CASE severity WHEN 'blocker' THEN 0 WHEN 'warn' THEN 1 WHEN 'nice' THEN 2 ELSE 3 END, points DESC, rubric_pos)"
