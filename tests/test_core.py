@@ -342,11 +342,11 @@ def test_registry_of_any_nesting(spark):
     assert {r.value for r in sourcing.registry_numbers(df, "claim", "metric").collect()} == {"14", "20", "6", "1.5", "2", "31.5", "7"}
 
 
-def test_nearest_claim_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(sourcing, "WORDS_A_PASS", 2)
+@pytest.mark.parametrize("most_broadcast", [0, 1000])
+def test_nearest_claim_by_broadcast_and_by_shuffle(spark, most_broadcast):
     registry = spark.createDataFrame([("x", "ledger closed early"), ("y", "ledger closed late"), ("z", "nothing else")], "item_id string, text string")
     claims = spark.createDataFrame([(1, "Our ledger closed lately."), (2, "unrelated"), (2, "unrelated"), (3, "ledger, closed")], "doc_id long, claim string")
-    found = sorted((r.doc_id, r.entry or "", r.score or 0.0) for r in sourcing.nearest_claim(claims, registry).collect())
+    found = sorted((r.doc_id, r.entry or "", r.score or 0.0) for r in sourcing.nearest_claim(claims, registry, most_broadcast=most_broadcast).collect())
     assert found == [(1, "y", 1.0), (2, "", 0.0), (2, "", 0.0), (3, "x", pytest.approx(2 / 3))]
 
 

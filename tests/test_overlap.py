@@ -86,3 +86,24 @@ def test_a_long_line_takes_no_quadratic_time(spark):
     begin = time.perf_counter()
     assert row.select(F.size(L.hook_families(F.col("text")))).first()[0] <= len(HOOKS)
     assert time.perf_counter() - begin < 10
+
+
+@pytest.mark.parametrize("most_broadcast,least", [(0, 0.4), (1000, 0.4), (1000, 0.75), (0, 1.0)])
+def test_nearest_claims_equal_a_brute_force(spark, most_broadcast, least):
+    from textloom.operators import sourcing
+
+    r = random.Random(11)
+    words = ["ledger", "ledgers", "close", "closed", "closest", "the", "of", "receipt", "rent", "parent", "team", "steam", "x1y2z3", "abcd"]
+    clean = lambda t: re.sub(" +", " ", re.sub("[^a-z0-9 ]", " ", (t or "").lower())).strip()
+    claims = [(i, r.choice((" ", ", ", "-")).join(r.choices(words, k=r.randint(0, 8)))) for i in range(120)] + [(500, None), (501, "!!"), (502, "ab")]
+    registry = [(i, " ".join(r.choices(words, k=r.randint(1, 7)))) for i in range(40)] + [(90, None), (91, "a of the"), (92, "Unmet, word")]
+    wanted = {}
+    for i, c in claims:
+        best = (0.0, 0)
+        for e, t in registry:
+            w = {x for x in clean(t).split(" ") if len(x) > 3}
+            if w and clean(c):
+                best = max(best, (sum(x in clean(c) for x in w) / len(w), -e))
+        wanted[i] = (-best[1], best[0]) if best[0] >= least else (None, None)
+    found = sourcing.nearest_claim(spark.createDataFrame(claims, "i long, claim string"), spark.createDataFrame(registry, "item_id long, text string"), least=least, most_broadcast=most_broadcast)
+    assert {x["i"]: (x["entry"], x["score"]) for x in found.collect()} == wanted

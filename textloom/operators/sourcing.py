@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from textloom.functions.regex import B, extract
 from textloom.functions.text import DIGIT, claim_numbers, whole
-from textloom.operators.lexicon import matcher
 
 #: Numbers that structure a text rather than claim something.
 STRUCTURAL = "^(?:[0-9]{4}|[1-9]|10)$"
@@ -69,34 +68,47 @@ def unsourced(posts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_c
     return missing.select(id_col, "pos", "value", F.when(F.length(claim) > 200, F.concat(F.substring(claim, 1, 200), F.lit("…"))).otherwise(claim).alias("claim"))
 
 
-#: Words of the registry that are looked for in one pass over the claims.
-WORDS_A_PASS = 200_000
+#: Words that are broadcast at most, counted first; beyond, Spark shuffles.
+MOST_BROADCAST = 1_000_000
 
 
-def nearest_claim(claims: DataFrame, registry: DataFrame, registry_id: str = "item_id", registry_text: str = "text", least: float = 0.4) -> DataFrame:
+def _trigrams(text: Column) -> Column:
+    """Distinct runs of three letters or digits; words hold no spaces, so runs with one are left out."""
+    runs = F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.filter(F.array_distinct(runs), lambda x: ~x.contains(" "))
+
+
+def nearest_claim(claims: DataFrame, registry: DataFrame, registry_id: str = "item_id", registry_text: str = "text", least: float = 0.4, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """claims with entry and score: the entry of which most words of over 3 letters stand in the claim; null below `least`; ties by entry id.
 
-    An automaton over the registry's words finds those that stand in a claim; only these are joined with their entries.  A
-    registry of very many words is looked for in several passes.
+    An inverted index finds the candidates.  An entry of s words needs ceil(least * s) of them in the claim, so one of its
+    s - ceil(least * s) + 1 rarest stands there: only these are looked for, and an entry without one is never met.  A word
+    stands in a claim only if all its trigrams do, so it is posted under the one that fewest words have, and claims look up
+    their own trigrams.  Candidates are then counted on all words of the entry.  Nothing of the registry reaches the driver but a count.
     """
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(whole(c)), "[^a-z0-9 ]", " "), " +", " "))
     entries = registry.select(F.col(registry_id).alias("_entry"), F.array_distinct(F.filter(F.split(clean(F.col(registry_text)), " "), lambda w: F.length(w) > 3)).alias("_words")).filter(F.size("_words") > 0)
-    holds = entries.select("_entry", F.size("_words").alias("_size"), F.explode("_words").alias("_word"))
-    words = holds.select("_word").distinct()
-    passes = max(1, -(-words.count() // WORDS_A_PASS))
-    base = claims.select(F.struct(*claims.columns).alias("_claim"), F.xxhash64(*claims.columns).alias("_key"), clean(F.col("claim")).alias("_c"))
-    found = None
-    for i in range(passes):
-        mine = words.filter(F.pmod(F.xxhash64("_word"), F.lit(passes)) == i) if passes > 1 else words
-        listed = [("word", n, r["_word"]) for n, r in enumerate(mine.sort("_word").toLocalIterator())]
-        if not listed:
-            continue
-        texts = F.array(*[F.lit(w) for _, _, w in listed])
-        met = base.select("_key", "_c", F.explode(matcher(listed)("_c")).alias("_i")).filter("_c <> ''").select("_key", F.get(texts, F.col("_i")).alias("_word")).distinct()
-        found = met if found is None else found.unionByName(met)
-    if found is None:
-        return claims.withColumn("entry", F.lit(None).cast(registry.schema[registry_id].dataType)).withColumn("score", F.lit(None).cast("double"))
-    scored = found.join(holds, "_word").groupBy("_key", "_entry", "_size").agg(F.count(F.lit(1)).alias("_n")).select("_key", "_entry", (F.col("_n") / F.col("_size")).alias("_s")).filter(F.col("_s") >= least)
+    holds = entries.select("_entry", F.explode("_words").alias("_word"))
+    rarity = holds.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = holds.join(rarity, "_word").groupBy("_entry").agg(F.sort_array(F.collect_list(F.struct("_df", "_word"))).alias("_r"))
+    prefix = F.slice("_r", 1, F.size("_r") - F.ceil(F.lit(least) * F.size("_r") - F.lit(1e-9)).cast("int") + 1)
+    postings = ranked.select("_entry", F.explode(prefix["_word"]).alias("_word"))
+    words = postings.select("_word").distinct()
+    spelled = words.select("_word", F.explode(_trigrams(F.col("_word"))).alias("_tri"))
+    shared = spelled.groupBy("_tri").agg(F.count(F.lit(1)).alias("_n"))
+    index = spelled.join(shared, "_tri").groupBy("_word").agg(F.min_by("_tri", F.struct("_n", "_tri")).alias("_tri"))
+    base = claims.select(F.struct(*claims.columns).alias("_claim"), clean(F.col("claim")).alias("_c")).withColumn("_key", F.xxhash64("_c"))
+    texts = base.select("_key", "_c").filter("_c <> ''").dropDuplicates(["_key"])
+    looked = texts.select("_key", "_c", F.explode_outer(_trigrams(F.col("_c"))).alias("_tri"))
+    if words.count() <= most_broadcast:
+        met = looked.join(F.broadcast(index), "_tri").filter(F.contains("_c", F.col("_word")))
+    else:
+        # Claims' texts stay out of the shuffle by trigram; words are checked with the others of their entry.
+        met = looked.drop("_c").join(index, "_tri")
+    candidates = met.select("_key", "_word").join(postings, "_word").select("_key", "_entry").distinct()
+    counted = candidates.join(texts, "_key").join(entries, "_entry")
+    share = F.size(F.filter("_words", lambda w: F.contains(F.col("_c"), w))) / F.size("_words")
+    scored = counted.select("_key", "_entry", share.alias("_s")).filter(F.col("_s") >= least)
     # The greatest score; of equal ones the least entry.
     top = scored.groupBy("_key").agg(F.max("_s").alias("_s"), F.min_by("_entry", F.struct(-F.col("_s"), F.col("_entry"))).alias("_entry"))
     out = base.join(top, "_key", "left")

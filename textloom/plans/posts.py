@@ -76,6 +76,25 @@ def unsourced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.unsourced(table(spark, sf_dir, "documents"), Q.known_numbers(_registry(spark, sf_dir), "text"))
 
 
+_CLEAN = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""WITH s AS (SELECT doc_id, pos - 1 AS pos, {_CLEAN.format('l[pos]')} AS c FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS pos FROM (SELECT doc_id, {D.sentences()} AS l FROM documents))),
+ e AS (SELECT item_id, w, len(w) AS size FROM (SELECT item_id, list_distinct(list_filter(string_split({_CLEAN.format(D.whole())}, ' '), lambda x: length(x) > 3)) AS w FROM benchmark) WHERE len(w) > 0),
+ h AS (SELECT item_id, size, unnest(w) AS word FROM e), t AS (SELECT DISTINCT c FROM s), met AS (SELECT c, word FROM t JOIN (SELECT DISTINCT word FROM h) ON contains(c, word)),
+ o AS (SELECT c, item_id, count(*)::DOUBLE / size AS o FROM met JOIN h USING (word) GROUP BY c, item_id, size), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY o DESC, item_id) AS r FROM o WHERE o >= 0.4::DOUBLE) WHERE r = 1)
+ SELECT doc_id, CAST(pos AS INT) AS pos, item_id AS entry, {D.rnd('o', 3)} AS score FROM s JOIN b USING (c)""")
+def claims_in_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("pos", "claim")).filter("claim is not null")
+    found = Q.nearest_claim(sentences, _registry(spark, sf_dir))
+    return found.filter("entry is not null").select("doc_id", "pos", "entry", round_half_up(F.col("score"), 3).alias("score"))
+
+
+@query(f"SELECT DISTINCT unnest([t, regexp_replace(t, '[^0-9.,]', '', 'g')]) AS value FROM (SELECT unnest({D.claim_numbers()}) AS t FROM documents)")
+def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.known_numbers(table(spark, sf_dir, "documents"), "text")
+
+
 # --- post rubric: documents are posts, labels their approval, benchmark the registry of evidence
 def _measures(spark: SparkSession, sf_dir: str, posts: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     posts = table(spark, sf_dir, "documents").select("doc_id", "text") if posts is None else posts
