@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -213,7 +212,7 @@ def skeleton(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def hidden(key: str, cells: list[str]) -> list[tuple[int, str]]:
+def hidden(key: str, cells: str) -> list[tuple[int, str]]:
     """(cell, letter) for the masks under which a key may lie in cells of a skeleton; at least half of its letters are in sight."""
     found: list[tuple[int, str]] = []
 
@@ -228,7 +227,8 @@ def hidden(key: str, cells: list[str]) -> list[tuple[int, str]]:
             lay(k + 1, c + 1, under)
 
     for c, x in enumerate(cells):
-        if x == key[0]:
+        # A word begins behind no letter.
+        if x == key[0] and not (c and cells[c - 1].isalpha()):
             lay(0, c, ())
         elif x in MASKS:
             lay(1, c + 1, ((c, key[0]),))
@@ -244,25 +244,22 @@ class Scorer:
         self.heads = {p[:SHORTEST] for p in self.roots}
         for_ = {p for p in self.roots if any(weights.get(f"{p}{x}", 0.0) > 0 for x in ("", *(f"#{n}" for n in STEPS)))}
         #: What tells words of evidence for toxicity: the skeletons of their parts.
-        self.tells = sorted({skeleton(p.rstrip("$"))[0] for p in for_} - {""})
-        self.finder = ahocorasick.Automaton()
-        for key in self.tells:
-            self.finder.add_word(key, len(key))
-        if self.tells:
-            self.finder.make_automaton()
+        self.tells = {skeleton(p.rstrip("$"))[0] for p in for_} - {""}
+        self.sizes = sorted({len(x) for x in self.tells})
         self.cache: dict[str, tuple] = {}
 
     def suspect(self, chunk: str) -> list[tuple[int, int, dict[int, str]]]:
         """(first, end, letters under masks) of the parts of a chunk that may be read as words the model knows."""
-        hides = any(c in chunk for c in MASKS)
-        if not self.tells or not hides and next(self.finder.iter(folded(chunk)), None) is None:
+        if not self.tells:
             return []
         text, at = skeleton(chunk)
-        found, masked = [(at[end - size + 1], at[end] + 1) for end, size in self.finder.iter(text)], {}
+        # A word begins where the chunk does or behind a sign.
+        starts = [i for i, k in enumerate(at) if not k or not chunk[k - 1].isalpha()]
+        found, masked = [(at[i], at[i + size - 1] + 1) for i in starts for size in self.sizes if i + size <= len(at) and text[i : i + size] in self.tells], {}
         for m in _MASKED.finditer(chunk):
             lo = max(0, m.start() - LONGEST)
             cells, places = skeleton(chunk[lo : m.end() + LONGEST])
-            under = [x for key in self.tells for x in hidden(key, list(cells))]
+            under = [x for key in self.tells for x in hidden(key, cells)]
             for c, x in under:
                 masked[lo + places[c]] = "".join(sorted({*masked.get(lo + places[c], ""), *("il" if x == "i" else x)}))
             if under:
@@ -287,8 +284,10 @@ class Scorer:
     def words(self, chunk: str) -> list[str]:
         """Words of a chunk without spaces, restored where they are disguised."""
         if chunk.isalpha():
-            # Letters alone are disguised by repeats only.
-            return (_DOUBLED.search(chunk) and self.read(chunk)) or [chunk]
+            # Letters alone are one word, disguised by repeats only.
+            if _DOUBLED.search(chunk) and (text := folded(chunk)) and any(text[:k] in self.tells for k in self.sizes):
+                return self.read(chunk) or [chunk]
+            return [chunk]
         core = chunk.strip(_EDGE)
         if core.isalpha() and not _DOUBLED.search(core):
             return [core]
