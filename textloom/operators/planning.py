@@ -66,19 +66,24 @@ def rotation(pool: DataFrame, total: int) -> DataFrame:
     the pool that differs from it and whose distance from the slot's place does not lead to it either; else its own after all.
     One array of the slots' few hundred pillars is folded inside an expression.
     """
-    size = F.size("_pool")
+    one = pool.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pillar"))), lambda x: x["pillar"]).alias("_pool"))
+    return one.select(F.posexplode(dealt(F.col("_pool"), F.lit(total))).alias("idx", "pillar"))
+
+
+def dealt(pool: Column, total: Column) -> Column:
+    """array<string> of the pillars of `total` slots, dealt from an array of pillars by the rule of rotation(); empty for an empty one."""
+    size = F.size(pool)
 
     def deal(done: Column, idx: Column) -> Column:
-        own = F.get("_pool", idx % size)
-        fits = lambda p, i: F.when((p != done["last"]) & (F.get("_pool", (idx + i) % size) != done["last"]), p)
-        other = F.get(F.filter(F.transform("_pool", fits), lambda p: p.isNotNull()), F.lit(0))
+        own = F.get(pool, idx % size)
+        fits = lambda p, i: F.when((p != done["last"]) & (F.get(pool, (idx + i) % size) != done["last"]), p)
+        other = F.get(F.filter(F.transform(pool, fits), lambda p: p.isNotNull()), F.lit(0))
         pick = F.when(own.eqNullSafe(done["last"]), F.coalesce(other, own)).otherwise(own)
         return F.struct(pick.alias("last"), F.concat(done["all"], F.array(pick)).alias("all"))
 
-    one = pool.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pillar"))), lambda x: x["pillar"]).alias("_pool"))
     start = F.struct(F.lit(None).cast("string").alias("last"), F.expr("cast(array() as array<string>)").alias("all"))
-    slots_ = F.sequence(F.lit(0), F.lit(total - 1)) if total else F.expr("cast(array() as array<int>)")
-    return one.select(F.posexplode(F.aggregate(slots_, start, deal, lambda done: done["all"])).alias("idx", "pillar"))
+    slots_ = F.when((total > 0) & (size > 0), F.sequence(F.lit(0), total - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(slots_, start, deal, lambda done: done["all"])
 
 
 def claim_level(archetype: Column, has_proof: Column) -> Column:

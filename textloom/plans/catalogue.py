@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from textloom.plans import editorial, history, lexicons, personas, posts, profiles, texts  # noqa: F401
+from textloom.plans import calendars, editorial, history, lexicons, personas, posts, profiles, texts  # noqa: F401
 from textloom.plans.registry import QUERIES, SQL  # noqa: F401
