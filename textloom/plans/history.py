@@ -55,6 +55,21 @@ def rolling_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("seen"), F.count_if(F.col("event_type") == "click").over(w).alias("clicks"))
 
 
+@query("SELECT event_id, user_id, count(*) OVER w AS seen, count(*) FILTER (WHERE event_type = 'click') OVER w AS clicks FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
+def rolling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rolling_drift over the events as a stream: each file is read once, and the state is what the next batch needs."""
+    from textloom.sources import shared
+    from textloom.streaming import windows
+
+    schema = table(spark, sf_dir, "events").schema
+    # A pattern, as the table may be one file or a folder of files.
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{sf_dir}/event[s].parquet")
+    rolled = windows.last_posts(events.select("event_id", "user_id", "ts", (F.col("event_type") == "click").alias("mark")), "user_id", ["ts", "event_id"], "mark")
+    out = shared.folder(spark, "rolling")
+    windows.run(rolled, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(rolled.schema).parquet(f"{out}/rows").select("event_id", "user_id", "seen", F.col("marked").alias("clicks"))
+
+
 @query(f"SELECT hook_key, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, {D.hook_key()} AS hook_key FROM documents) GROUP BY hook_key HAVING count(*) >= 3")
 def first_line_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "documents").select("doc_id", T.hook_key(F.col("text")).alias("hook_key"))
