@@ -15,7 +15,7 @@ from textloom.operators import quality as K
 from textloom.operators.similarity import total_variation
 from textloom.plans import duck as D
 from textloom.plans import posts as PQ
-from textloom.plans.registry import SQL, query
+from textloom.plans.registry import SQL, fixture, query
 from textloom.sources.tables import table
 
 
@@ -228,7 +228,7 @@ def _pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("ord"), F.concat(F.lit("p"), (F.col("r_regionkey") + 1).cast("string")).alias("id"), weight.alias("weight"), F.expr("cast(array() as array<string>)").alias("maps_to_beliefs"))
 
 
-@query(f"SELECT idx, date FROM {_SPINE}")
+@fixture(f"SELECT idx, date FROM {_SPINE}")
 def date_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.date_spine(spark, START, DAYS)
 
@@ -236,7 +236,7 @@ def date_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ARCH = "[" + ", ".join(f"'{a}'" for a in G.ARCHETYPES) + "]"
 
 
-@query(f"SELECT idx, {_ARCH}[idx % 10 + 1] AS archetype FROM {_SPINE}")
+@fixture(f"SELECT idx, {_ARCH}[idx % 10 + 1] AS archetype FROM {_SPINE}")
 def archetype_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.date_spine(spark, START, DAYS).select("idx", G.archetype_at(F.col("idx")).alias("archetype"))
 

@@ -10,7 +10,7 @@ from textloom.operators import persona as P
 from textloom.operators import sourcing as Q
 from textloom.plans import duck as D
 from textloom.plans import fixtures as X
-from textloom.plans.registry import query
+from textloom.plans.registry import fixture, query
 from textloom.sources.tables import literal
 
 _P = D.rows(X.PERSONAS, X.PERSONA_DDL)
@@ -62,7 +62,7 @@ _GAP_ROWS = f"p AS MATERIALIZED (SELECT * FROM {_P} x), g AS (" + " UNION ALL ".
 ) + ")"
 
 
-@query(f"WITH {_GAP_ROWS} SELECT * FROM g")
+@fixture(f"WITH {_GAP_ROWS} SELECT * FROM g")
 def persona_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.gaps(_personas(spark))
 
@@ -70,7 +70,7 @@ def persona_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVIDENCE = _IDS.format("proof")
 
 
-@query(f"WITH p AS (SELECT * FROM {_P} x) " + " UNION ALL ".join([
+@fixture(f"WITH p AS (SELECT * FROM {_P} x) " + " UNION ALL ".join([
     _refs("beliefs", "e.evidence_refs", _EVIDENCE, "'belief ' || coalesce(e.id, '')", "reference, 'blocker' AS severity"),
     _refs("hot_takes", "e.evidence_refs", _EVIDENCE, "'hot take ' || coalesce(e.id, '')", "reference, 'warn' AS severity"),
     _refs("paid_offers", "e.proof_refs", _EVIDENCE, "'offer ' || coalesce(e.name, '')", "reference, 'warn' AS severity"),
@@ -85,7 +85,7 @@ def persona_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUTO = "coalesce(publish.mode, '') = 'auto'"
 
 
-@query(f"WITH {_GAP_ROWS} SELECT persona_id, 'auto_needs_no_approval' AS rule, 'warn' AS severity FROM p WHERE {_AUTO} AND coalesce(publish.approval_required, false) UNION ALL SELECT persona_id, 'auto_without_timezone', 'blocker' FROM p WHERE {_AUTO} AND {_blank('profile.timezone')} UNION ALL SELECT persona_id, 'auto_with_gaps', 'blocker' FROM p WHERE {_AUTO} AND persona_id IN (SELECT persona_id FROM g WHERE blocks)")
+@fixture(f"WITH {_GAP_ROWS} SELECT persona_id, 'auto_needs_no_approval' AS rule, 'warn' AS severity FROM p WHERE {_AUTO} AND coalesce(publish.approval_required, false) UNION ALL SELECT persona_id, 'auto_without_timezone', 'blocker' FROM p WHERE {_AUTO} AND {_blank('profile.timezone')} UNION ALL SELECT persona_id, 'auto_with_gaps', 'blocker' FROM p WHERE {_AUTO} AND persona_id IN (SELECT persona_id FROM g WHERE blocks)")
 def persona_publishing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.publishing(_personas(spark))
 
@@ -93,7 +93,7 @@ def persona_publishing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VOICED = D.style(f"(SELECT persona_id, voice, unnest(samples) AS text FROM {_P} x)", "persona_id, voice, text")
 
 
-@query(f"""WITH a AS (SELECT persona_id, any_value(voice) AS voice, count(*) AS n, avg(mean_sentence_words) AS m, avg(length_variance) AS v, count(*) FILTER (WHERE emoji > 0)::DOUBLE AS e, count(*) FILTER (WHERE hashtags > 0)::DOUBLE AS h FROM {_VOICED} GROUP BY persona_id),
+@fixture(f"""WITH a AS (SELECT persona_id, any_value(voice) AS voice, count(*) AS n, avg(mean_sentence_words) AS m, avg(length_variance) AS v, count(*) FILTER (WHERE emoji > 0)::DOUBLE AS e, count(*) FILTER (WHERE hashtags > 0)::DOUBLE AS h FROM {_VOICED} GROUP BY persona_id),
  b AS (SELECT *, coalesce(voice.target_words, 14.0) AS target, abs(m - coalesce(voice.target_words, 14.0)) / coalesce(voice.target_words, 14.0) AS off FROM a)
  SELECT persona_id, 'voice.mean_sentence_words' AS finding, CASE WHEN off > 0.7 THEN 'blocker' ELSE 'warn' END AS severity, {D.rnd('m', 3)} AS measured FROM b WHERE off > 0.4
  UNION ALL SELECT persona_id, 'voice.length_variance', 'warn', {D.rnd('v', 3)} FROM b WHERE v < coalesce(voice.min_length_variance, 0.35)
@@ -106,14 +106,14 @@ def persona_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASKED = "(SELECT persona_id, unnest(['h0', 'h2', 'h7', 'h99']) AS ref FROM p)"
 
 
-@query(f"WITH p AS (SELECT * FROM {_P} x), e AS (SELECT persona_id, unnest(proof) AS e FROM p) SELECT a.persona_id, a.ref, e.e.claim AS claim, e.e.permission AS permission FROM {_ASKED} a LEFT JOIN e ON a.persona_id = e.persona_id AND a.ref = e.e.id")
+@fixture(f"WITH p AS (SELECT * FROM {_P} x), e AS (SELECT persona_id, unnest(proof) AS e FROM p) SELECT a.persona_id, a.ref, e.e.claim AS claim, e.e.permission AS permission FROM {_ASKED} a LEFT JOIN e ON a.persona_id = e.persona_id AND a.ref = e.e.id")
 def proof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = _personas(spark)
     asked = people.select("persona_id", F.explode(F.array(*map(F.lit, ("h0", "h2", "h7", "h99")))).alias("ref"))
     return P.lookup(asked, people, "proof").select("persona_id", "ref", F.col("entry.claim").alias("claim"), F.col("entry.permission").alias("permission"))
 
 
-@query(f"WITH p AS (SELECT * FROM {_P} x), e AS (SELECT persona_id, unnest(segments) AS e FROM p) SELECT p.persona_id, primary_segment AS ref, e.e.id IS NOT NULL AS found FROM p LEFT JOIN e ON p.persona_id = e.persona_id AND p.primary_segment = e.e.id")
+@fixture(f"WITH p AS (SELECT * FROM {_P} x), e AS (SELECT persona_id, unnest(segments) AS e FROM p) SELECT p.persona_id, primary_segment AS ref, e.e.id IS NOT NULL AS found FROM p LEFT JOIN e ON p.persona_id = e.persona_id AND p.primary_segment = e.e.id")
 def primary_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.primary_segment(_personas(spark)).select("persona_id", "ref", F.col("entry").isNotNull().alias("found"))
 
@@ -127,12 +127,12 @@ def known(spark: SparkSession) -> DataFrame:
     return Q.registry_numbers(literal(spark, X.PROOF, X.PROOF_DDL), "metric", "claim", "context", "subject", "source", "period")
 
 
-@query(f"SELECT value FROM {KNOWN}")
+@fixture(f"SELECT value FROM {KNOWN}")
 def known_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known(spark)
 
 
-@query(f"SELECT DISTINCT unnest(regexp_extract_all(concat_ws(chr(10), positioning.method, positioning.statement, profile.domain, profile.role_title, primary_keyword), {_NUMBER})) AS value FROM {_P} x")
+@fixture(f"SELECT DISTINCT unnest(regexp_extract_all(concat_ws(chr(10), positioning.method, positioning.statement, profile.domain, profile.role_title, primary_keyword), {_NUMBER})) AS value FROM {_P} x")
 def structural_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _personas(spark).select("positioning.method", "positioning.statement", "profile.domain", "profile.role_title", "primary_keyword")
     return Q.registry_numbers(names, *names.columns)

@@ -10,7 +10,7 @@ from textloom.functions import text as T
 from textloom.operators import profiles as P
 from textloom.plans import duck as D
 from textloom.plans import fixtures as X
-from textloom.plans.registry import query
+from textloom.plans.registry import fixture
 from textloom.sources.tables import literal
 
 _P = D.rows(X.PROFILES, X.PROFILE_DDL)
@@ -65,12 +65,12 @@ _CHECKED = (
 )
 
 
-@query(f"WITH {_CHECKED} SELECT * FROM f")
+@fixture(f"WITH {_CHECKED} SELECT * FROM f")
 def import_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.verify_import(_profiles(spark))
 
 
-@query(f"WITH {_CHECKED} SELECT id, count(*) FILTER (WHERE passed) AS passed, count(*) AS checks, CASE WHEN count(*) FILTER (WHERE NOT passed AND severity = 'blocker') > 0 THEN 'unsound' WHEN count(*) FILTER (WHERE NOT passed AND severity = 'warn') > 0 THEN 'usable_with_caveats' ELSE 'sound' END AS verdict FROM f GROUP BY id")
+@fixture(f"WITH {_CHECKED} SELECT id, count(*) FILTER (WHERE passed) AS passed, count(*) AS checks, CASE WHEN count(*) FILTER (WHERE NOT passed AND severity = 'blocker') > 0 THEN 'unsound' WHEN count(*) FILTER (WHERE NOT passed AND severity = 'warn') > 0 THEN 'usable_with_caveats' ELSE 'sound' END AS verdict FROM f GROUP BY id")
 def import_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.import_verdict(P.verify_import(_profiles(spark)))
 
@@ -78,7 +78,7 @@ def import_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AT = "length(string_split_regex(v, '\\b' || regexp_escape(value))[1])"
 
 
-@query(f"""WITH t AS (SELECT DISTINCT id, v, unnest({_NUM}) AS value FROM (SELECT id, {_COPY} AS v FROM {_P} p))
+@fixture(f"""WITH t AS (SELECT DISTINCT id, v, unnest({_NUM}) AS value FROM (SELECT id, {_COPY} AS v FROM {_P} p))
  SELECT id, value, regexp_matches(value, '(?i)%|percent|x\\b|hours?|hrs?|days?|weeks?|months?|years?') AS has_unit, {_YEAR.format('value')} AS structural, {D.sentence_at('v', _AT, 'length(value)')} AS context FROM t""")
 def number_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.number_contexts(_profiles(spark))
@@ -147,7 +147,7 @@ _SCORED = (
 )
 
 
-@query(f"WITH {_SCORED} SELECT * FROM f")
+@fixture(f"WITH {_SCORED} SELECT * FROM f")
 def profile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.score_profiles(_profiles(spark), X.SETTINGS)[0].drop("judged", "measured")
 
@@ -155,6 +155,6 @@ def profile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BAND = "CASE " + " ".join(f"WHEN score BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in P.BANDS) + " ELSE 'unclassified' END"
 
 
-@query(f"WITH {_SCORED}, t AS (SELECT id, sum(CASE WHEN passed THEN points ELSE 0 END)::BIGINT AS score, count(*) FILTER (WHERE severity = 'blocker' AND NOT passed) AS b FROM f GROUP BY id) SELECT id, score, CASE WHEN b > 0 THEN least(score, 59) ELSE score END AS total, b > 0 AND score > 59 AS capped, {_BAND} AS band FROM t")
+@fixture(f"WITH {_SCORED}, t AS (SELECT id, sum(CASE WHEN passed THEN points ELSE 0 END)::BIGINT AS score, count(*) FILTER (WHERE severity = 'blocker' AND NOT passed) AS b FROM f GROUP BY id) SELECT id, score, CASE WHEN b > 0 THEN least(score, 59) ELSE score END AS total, b > 0 AND score > 59 AS capped, {_BAND} AS band FROM t")
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.score_profiles(_profiles(spark), X.SETTINGS)[1]
