@@ -36,7 +36,7 @@ TEMPLATES = (
     ("gpl-2.0", "licensed under the GNU General Public License<<beginOptional>>,<<endOptional>> version 2"),
     ("gpl-3.0", "licensed under the GNU General Public License<<beginOptional>>,<<endOptional>> version 3<<beginOptional>> or<<beginOptional>> at your option any<<endOptional>> later version<<endOptional>>"),
     ("gpl-notice", "free software you can redistribute it and/or modify it under the terms of the GNU <<beginOptional>><<var;1;1>><<endOptional>> General Public License as published by the Free Software Foundation"),
-    ("copyright-reserved", "Copyright <<beginOptional>>(c) <<endOptional>><<var;1;8>> All rights reserved"),
+    ("copyright-reserved", "Copyright <<beginOptional>>(c) <<endOptional>><<var;1;40>> All rights reserved"),
     ("mit-reference", "released under the <<beginOptional>>terms of the <<endOptional>>MIT License"),
     ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<var;1;2>>), to deal in the Software without restriction"),
     ("isc-grant", "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
@@ -71,8 +71,6 @@ TEMPLATES = (
         "<<beginOptional>>3. <<endOptional>>This notice may not be removed or altered from any source distribution",
     ),
 )
-#: Templates whose variables are open-ended: beyond their maximum they take any words up to the template's next first word.
-OPEN = frozenset(("copyright-reserved",))
 _TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,10 +80,9 @@ def tokens(text: str) -> list[str]:
 
 
 class Automaton:
-    """Token automaton of one template: word edges, free edges (any word), empty edges and, in an open one, loops at the ends of variables."""
+    """Token automaton of one template: word edges, free edges (any word) and empty edges."""
 
-    def __init__(self, template: str, open_ended: bool = False):
-        self.loops: set[int] = set()
+    def __init__(self, template: str):
         self.words: list[dict[str, int]] = [{}]
         self.free: list[list[int]] = [[]]
         self.empty: list[list[int]] = [[]]
@@ -108,8 +105,6 @@ class Automaton:
                     at = to
                 for e in ends:
                     self.empty[e].append(at)
-                if open_ended:
-                    self.loops.add(at)
             else:
                 for w in tokens(piece):
                     if not opened:
@@ -120,8 +115,6 @@ class Automaton:
         if opened:
             raise ValueError("an optional region is not closed")
         self.final = at
-        # A loop ends at the next place where the template may start, so scans stay linear.
-        self.stops = self.first_words() if self.loops else set()
 
     def _state(self) -> int:
         self.words.append({})
@@ -146,18 +139,15 @@ class Automaton:
 
     def accept(self, text: list[str], start: int) -> int:
         """End of the longest accepted run of words from start, or -1."""
-        states, end, looping = self.closed({0}), -1, bool(self.loops)
+        states, end = self.closed({0}), -1
         for i in range(start, len(text)):
             step = {self.words[s][text[i]] for s in states if text[i] in self.words[s]}
             step.update(t for s in states for t in self.free[s])
-            if looping and text[i] not in self.stops:
-                step.update(states & self.loops)
             if not step:
                 break
             states = self.closed(step)
             if self.final in states:
-                # A loop takes the nearest end.
-                end, looping = i + 1, False
+                end = i + 1
         return end
 
 
@@ -167,7 +157,7 @@ def compiled(base: tuple = BASE, templates: tuple = TEMPLATES) -> tuple[dict[str
     table: dict[str, list] = {}
     for kind, pairs in ((True, [(label, phrase) for phrase, label in base]), (False, list(templates))):
         for label, template in pairs:
-            a = Automaton(template, not kind and label in OPEN)
+            a = Automaton(template)
             for w in a.first_words():
                 table.setdefault(w, []).append((label, kind, a))
     return table, sorted(table)
@@ -215,7 +205,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are cut in the JVM.  Only texts that hold all mandatory words of some template reach the
     automata, all words of them; the others can't match.  A template is accepted at every place
-    where its mandatory words stand in order, with or without its optional regions and with any words in its variables.
+    where its mandatory words stand in order, with or without its optional regions and with any words, as many as
+    the template allows, in its variables; those of copyright-reserved take up to 40 words of holders and years.
     score is 1 for an accepted template, 0.5 for base phrases alone, else 0.
 
     Null text has no words: n_base 0, first_word and last_word null, empty labels, score 0.  Repeated rows are
