@@ -23,11 +23,15 @@ def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_co
 MOST_WORDS = 1 << 21
 
 
-def _place(parts: Column, first, size, words_: int) -> tuple[Column, Column]:
-    """(word, bit) in the bitmap of the run of `size` words from place first on: by its first and last word, and by its middle one."""
-    at = lambda k: F.get(parts, first + k)
+def _place(hashes: Column, first, size, words_: int) -> tuple[Column, Column]:
+    """(word, bit) in the bitmap of the run of `size` words from place first on: by the hashes of its first and last word, and of its middle one."""
+    at = lambda k: F.get(hashes, first + k)
     middle = F.floor(size / 2).cast("int") if isinstance(size, Column) else F.lit(size // 2)
-    return F.xxhash64(at(F.lit(0)), at(size - F.lit(1))).bitwiseAND(F.lit(words_ - 1)).cast("int"), F.xxhash64(at(middle)).bitwiseAND(F.lit(63)).cast("int")
+    return at(F.lit(0)).bitwiseXOR(F.shiftright(at(size - F.lit(1)), 21)).bitwiseAND(F.lit(words_ - 1)).cast("int"), at(middle).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _hashes(words_: Column) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
 
 
 def _listed(print_: Column, prints: Column, n: int) -> Column:
@@ -42,32 +46,33 @@ def _listed(print_: Column, prints: Column, n: int) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve, lambda r: at(r["lo"]) == print_)
 
 
-def _scan(distinct: DataFrame, n: int) -> Column:
-    """Sorted array of (s, e): the word ranges of _w that equal one of the n distinct windows (len, window).
+def _digest(start: Column, size: int) -> Column:
+    """128 bits of the run of `size` words of _w from a place on."""
+    return F.unhex(F.md5(F.array_join(F.slice(F.col("_w"), start + 1, size), " ")))
+
 
-    A position passes if the bit of three of its window's words is set in a bitmap of the windows'
-    own; only then the digest of the whole window (128 bits) is looked up among those of all windows.
+def _candidates(distinct: DataFrame, n: int) -> Column:
+    """array of (s, size): the runs of _w whose place in a bitmap of the n distinct windows (len, window) is set; words are hashed once, in _h.
+
+    The bitmap has 256 bits for each window, up to MOST_WORDS words in all, so few other runs pass.
     """
-    if not n:
-        return F.expr("cast(array() as array<struct<s:int,e:int>>)")
     size_ = min(MOST_WORDS, 1 << max(4, (4 * n - 1).bit_length()))
-    word, bit = _place(F.split("window", " "), F.lit(0), F.col("len"), size_)
-    marks = distinct.select(word.cast("long").alias("id"), bit.alias("_b")).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("v"))
+    hashed = distinct.select("len", _hashes(F.split("window", " ")).alias("_h"))
+    word, bit = _place(F.col("_h"), F.lit(0), F.col("len"), size_)
+    marks = hashed.select(word.cast("long").alias("id"), bit.alias("_b")).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("v"))
     table = literal_words(marks, size_)
-    prints = F.lit(bytearray(distinct.agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.md5("window"))), "")).alias("all")).first()["all"]))
-    w, found = F.col("_w"), []
+    w = F.col("_h")
 
-    def spans(starts: Column, size: int) -> Column:
+    def passing(size: int) -> Column:
         def hit(i: Column) -> Column:
             word, bit = _place(w, i, size, size_)
-            return (F.getbit(F.get(table, word), bit) == 1) & _listed(F.unhex(F.md5(F.array_join(F.slice(w, i + 1, size), " "))), prints, n)
-
-        return F.transform(F.filter(starts, hit), lambda i: F.struct(i.alias("s"), (i + size).alias("e")))
+            return F.getbit(F.get(table, word), bit) == 1
 
-    for size in sorted(r[0] for r in distinct.select("len").distinct().collect()):
         starts = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.expr("cast(array() as array<int>)"))
-        found.append(spans(starts, size))
-    return F.array_sort(F.concat(*found))
+        return F.transform(F.filter(starts, hit), lambda i: F.struct(i.alias("s"), F.lit(size).alias("size"), _digest(i, size).alias("print")))
+
+    found = [passing(r[0]) for r in distinct.select("len").distinct().sort("len").collect()]
+    return F.concat(*found) if found else F.expr("cast(array() as array<struct<s:int,size:int,print:binary>>)")
 
 
 COVERED = "aggregate(_spans, named_struct('e', 0, 'c', 0L), (a, x) -> named_struct('e', greatest(a.e, x.e), 'c', a.c + greatest(0, x.e - greatest(a.e, x.s))), a -> a.c)"
@@ -84,14 +89,24 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "t
     # A filter on the spans must name the row number too: it then stays above this projection.
     # Pushed below it, the filter would cut the words anew for every position.
     with_words = docs.select("*", words(F.col(text_col)).alias("_w"), F.monotonically_increasing_id().alias("_row"))
-    if (many := distinct.count()) <= most_windows:
-        return with_words.withColumn("_spans", _scan(distinct, many))
-    sizes = [r[0] for r in distinct.select("len").distinct().collect()]
-    rows = cut(with_words)
-    runs = " , ".join(f"if(size(_w) >= {k}, transform(sequence(0, size(_w) - {k}), i -> named_struct('s', i, 'e', i + {k}, 'window', array_join(slice(_w, i + 1, {k}), ' '))), array())" for k in sizes)
-    hits = rows.select("_row", F.explode(F.expr(f"concat({runs})")).alias("x")).select("_row", "x.*").join(distinct.select("window"), "window", "left_semi")
-    spans = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_spans"))
-    return rows.join(spans, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")))
+    many = distinct.count()
+    hashed = with_words.withColumn("_h", _hashes(F.col("_w")))
+    met = hashed.withColumn("_met", _candidates(distinct, many)).drop("_h")
+    span = lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["size"]).alias("e"))
+    if many <= most_windows:
+        if not many:
+            return with_words.withColumn("_spans", F.expr(NO_SPANS))
+        prints = F.lit(bytearray(distinct.agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.md5("window"))), "")).alias("all")).first()["all"]))
+        return met.withColumn("_spans", F.array_sort(F.transform(F.filter("_met", lambda x: _listed(x["print"], prints, many)), span))).drop("_met")
+    # Only runs that the bitmap passes become rows, as digests.
+    rows = cut(met)
+    listed = distinct.select(F.unhex(F.md5("window")).alias("print")).distinct()
+    hits = rows.select("_row", F.explode("_met").alias("x")).select("_row", "x.s", "x.size", "x.print").join(listed, "print", "left_semi")
+    spans = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", (F.col("s") + F.col("size")).alias("e")))).alias("_spans"))
+    return rows.drop("_met").join(spans, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.expr(NO_SPANS)))
+
+
+NO_SPANS = "cast(array() as array<struct<s:int,e:int>>)"
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
