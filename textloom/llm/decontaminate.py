@@ -86,20 +86,21 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "t
     """
     windows = item_windows(items, n, item_id_col, item_text_col)
     distinct = cut(windows.select("len", "window").distinct())
-    # A filter on the spans must name the row number too: it then stays above this projection.
-    # Pushed below it, the filter would cut the words anew for every position.
-    with_words = docs.select("*", words(F.col(text_col)).alias("_w"), F.monotonically_increasing_id().alias("_row"))
     many = distinct.count()
-    hashed = with_words.withColumn("_h", _hashes(F.col("_w")))
+    hashed = docs.select("*", words(F.col(text_col)).alias("_w")).withColumn("_h", _hashes(F.col("_w")))
     met = hashed.withColumn("_met", _candidates(distinct, many)).drop("_h")
+    # The row number is made beside the spans: no filter is pushed below such a projection.  One on the spans
+    # would hash the words anew for every position there.
+    row = F.monotonically_increasing_id().alias("_row")
     span = lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["size"]).alias("e"))
     if many <= most_windows:
         if not many:
-            return with_words.withColumn("_spans", F.expr(NO_SPANS))
+            return docs.select("*", words(F.col(text_col)).alias("_w"), row, F.expr(NO_SPANS).alias("_spans"))
         prints = F.lit(bytearray(distinct.agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.md5("window"))), "")).alias("all")).first()["all"]))
-        return met.withColumn("_spans", F.array_sort(F.transform(F.filter("_met", lambda x: _listed(x["print"], prints, many)), span))).drop("_met")
+        spans = F.array_sort(F.transform(F.filter("_met", lambda x: _listed(x["print"], prints, many)), span))
+        return met.select(*docs.columns, "_w", row, spans.alias("_spans"))
     # Only runs that the bitmap passes become rows, as digests.
-    rows = cut(met)
+    rows = cut(met.select("*", row))
     listed = distinct.select(F.unhex(F.md5("window")).alias("print")).distinct()
     hits = rows.select("_row", F.explode("_met").alias("x")).select("_row", "x.s", "x.size", "x.print").join(listed, "print", "left_semi")
     spans = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", (F.col("s") + F.col("size")).alias("e")))).alias("_spans"))
