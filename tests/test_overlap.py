@@ -107,3 +107,37 @@ def test_nearest_claims_equal_a_brute_force(spark, most_broadcast, least):
         wanted[i] = (-best[1], best[0]) if best[0] >= least else (None, None)
     found = sourcing.nearest_claim(spark.createDataFrame(claims, "i long, claim string"), spark.createDataFrame(registry, "item_id long, text string"), least=least, most_broadcast=most_broadcast)
     assert {x["i"]: (x["entry"], x["score"]) for x in found.collect()} == wanted
+
+
+@pytest.mark.parametrize("most_broadcast,only_found", [(0, True), (10_000, True), (10_000, False)])
+def test_nearest_claims_of_long_entries_and_copies_equal_a_brute_force(spark, most_broadcast, only_found):
+    """Entries of more words than a long has bits; copies of a claim; claims that hold a few words of an entry, just enough, and more."""
+    from textloom.operators import sourcing
+
+    r = random.Random(5)
+    words = [f"{a}{b}{c}" for a in ("lo", "ran", "tem") for b in ("ko", "pi", "sta", "m") for c in ("de", "gur", "n", "fe", "lim", "7", "xo", "qua")] + [f"term{i}" for i in range(150)]
+    entries = [(f"e{i}", sorted(set(r.sample(words, n)))) for i, n in enumerate((1, 2, 3, 4, 5, 7, 8, 10, 20, 64, 66, 107, 120, 130, 160))]
+    texts = ["", None] + [" ".join(r.sample(w, r.randint(0, len(w))) + r.sample(words, r.randint(0, 3))) for _, w in entries for _ in range(12)]
+    claims = [(i, t) for i, t in enumerate(texts)] + [(1000, texts[40])] * 3 + [(1001, texts[40].upper())]
+    wanted = []
+    for i, t in claims:
+        found = [(-sum(x in (t or "").lower() for x in w if len(x) > 3) / n, e) for e, w in entries if (n := sum(len(x) > 3 for x in w))]
+        least = min((f for f in found if -f[0] >= 0.4), default=None)
+        if least or not only_found:
+            wanted.append((i, least[1] if least else None, -least[0] if least else None))
+    out = sourcing.nearest_claim(spark.createDataFrame(claims, "i long, claim string"), spark.createDataFrame([(e, " ".join(w)) for e, w in entries], "item_id string, text string"), most_broadcast=most_broadcast, only_found=only_found)
+    assert sorted((x["i"], x["entry"], x["score"]) for x in out.collect()) == sorted(wanted)
+    assert len({w[1] for w in wanted}) > 8
+
+
+def test_claims_that_hold_one_word_of_each_entry_are_not_compared_with_all(spark):
+    import time
+
+    from textloom.operators import sourcing
+
+    registry = spark.createDataFrame([(i, f"alpha{i} " + " ".join(f"none{i}n{j}" for j in range(29))) for i in range(100, 500)], "item_id long, text string")
+    each = " ".join(f"alpha{i} other{i}" for i in range(100, 500))
+    claims = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit(each), F.lit(" only"), F.col("id").cast("string")).alias("claim")).repartition(8)
+    begin = time.perf_counter()
+    assert sourcing.nearest_claim(claims, registry).filter("entry is not null").count() == 0
+    assert time.perf_counter() - begin < 60

@@ -72,44 +72,54 @@ def unsourced(posts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_c
 MOST_BROADCAST = 1_000_000
 
 
-def _trigrams(text: Column) -> Column:
-    """Distinct runs of three letters or digits; words hold no spaces, so runs with one are left out."""
-    runs = F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.filter(F.array_distinct(runs), lambda x: ~x.contains(" "))
+#: Words of an entry that a claim must hold before its text is compared; fewer if the entry needs fewer.
+FIRST_MET = 2
 
 
-def nearest_claim(claims: DataFrame, registry: DataFrame, registry_id: str = "item_id", registry_text: str = "text", least: float = 0.4, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """claims with entry and score: the entry of which most words of over 3 letters stand in the claim; null below `least`; ties by entry id.
+def _fours(rows: DataFrame, token: str) -> DataFrame:
+    """rows with column _four: a row for each run of four characters of the token, which has four or more."""
+    # Places are exploded, not the runs: these are then cut in compiled code.
+    at = rows.select("*", F.explode_outer(F.sequence(F.lit(1), F.length(token) - 3)).alias("_i"))
+    return at.select(*rows.columns, F.substr(token, "_i", F.lit(4)).alias("_four"))
 
-    An inverted index finds the candidates.  An entry of s words needs ceil(least * s) of them in the claim, so one of its
-    s - ceil(least * s) + 1 rarest stands there: only these are looked for, and an entry without one is never met.  A word
-    stands in a claim only if all its trigrams do, so it is posted under the one that fewest words have, and claims look up
-    their own trigrams.  Candidates are then counted on all words of the entry.  Nothing of the registry reaches the driver but a count.
+
+def nearest_claim(claims: DataFrame, registry: DataFrame, registry_id: str = "item_id", registry_text: str = "text", least: float = 0.4, most_broadcast: int = MOST_BROADCAST, only_found: bool = False) -> DataFrame:
+    """claims with entry and score: the entry of which most words of over 3 letters stand in the claim; null below `least` (with only_found: no row); ties by entry id.
+
+    An inverted index finds the candidates.  An entry of s words needs k = ceil(least * s) of them in the claim, so at least m of its
+    s - k + m rarest stand there, for any m up to k: only these are looked for, and an entry with fewer than m (FIRST_MET) is never
+    compared.  A word stands in a claim only if one of the claim's runs of letters and digits holds it, so it is posted under the one of
+    its runs of four that fewest words have, and claims look up their own.  What is met is a bit of the entry, so copies and repeats
+    count once.  Candidates are then counted on all words of the entry.  Nothing of the registry reaches the driver but a count.
     """
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(whole(c)), "[^a-z0-9 ]", " "), " +", " "))
-    entries = registry.select(F.col(registry_id).alias("_entry"), F.array_distinct(F.filter(F.split(clean(F.col(registry_text)), " "), lambda w: F.length(w) > 3)).alias("_words")).filter(F.size("_words") > 0)
+    tokens = lambda c: F.array_distinct(extract(F.lower(whole(c)), "[a-z0-9]{4,}"))
+    entries = registry.select(F.col(registry_id).alias("_entry"), tokens(F.col(registry_text)).alias("_words")).filter(F.size("_words") > 0)
     holds = entries.select("_entry", F.explode("_words").alias("_word"))
-    rarity = holds.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = holds.join(rarity, "_word").groupBy("_entry").agg(F.sort_array(F.collect_list(F.struct("_df", "_word"))).alias("_r"))
-    prefix = F.slice("_r", 1, F.size("_r") - F.ceil(F.lit(least) * F.size("_r") - F.lit(1e-9)).cast("int") + 1)
-    postings = ranked.select("_entry", F.explode(prefix["_word"]).alias("_word"))
-    words = postings.select("_word").distinct()
-    spelled = words.select("_word", F.explode(_trigrams(F.col("_word"))).alias("_tri"))
-    shared = spelled.groupBy("_tri").agg(F.count(F.lit(1)).alias("_n"))
-    index = spelled.join(shared, "_tri").groupBy("_word").agg(F.min_by("_tri", F.struct("_n", "_tri")).alias("_tri"))
-    base = claims.select(F.struct(*claims.columns).alias("_claim"), clean(F.col("claim")).alias("_c")).withColumn("_key", F.xxhash64("_c"))
-    texts = base.select("_key", "_c").filter("_c <> ''").dropDuplicates(["_key"])
-    looked = texts.select("_key", "_c", F.explode_outer(_trigrams(F.col("_c"))).alias("_tri"))
-    if words.count() <= most_broadcast:
-        met = looked.join(F.broadcast(index), "_tri").filter(F.contains("_c", F.col("_word")))
-    else:
-        # Claims' texts stay out of the shuffle by trigram; words are checked with the others of their entry.
-        met = looked.drop("_c").join(index, "_tri")
-    candidates = met.select("_key", "_word").join(postings, "_word").select("_key", "_entry").distinct()
-    counted = candidates.join(texts, "_key").join(entries, "_entry")
-    share = F.size(F.filter("_words", lambda w: F.contains(F.col("_c"), w))) / F.size("_words")
-    scored = counted.select("_key", "_entry", share.alias("_s")).filter(F.col("_s") >= least)
+    # A word is as rare as the rarest of its runs in the words of the registry; of equal ones the longer come first: claims hold them less often.
+    spelled = _fours(holds, "_word").distinct()
+    shared = spelled.groupBy("_four").agg(F.count(F.lit(1)).alias("_n"))
+    rarity = spelled.select("_word", "_four").distinct().join(shared, "_four").groupBy("_word").agg(F.min(F.struct("_n", "_four")).alias("_rarest")).select("_word", F.col("_rarest._n").alias("_df"), F.col("_rarest._four").alias("_four"))
+    ranked = holds.join(rarity, "_word").groupBy("_entry").agg(F.sort_array(F.collect_list(F.struct("_df", (-F.length("_word")).alias("_l"), "_word"))).alias("_r"))
+    need = F.ceil(F.lit(least) * F.size("_r") - F.lit(1e-9)).cast("int")
+    sized = ranked.withColumn("_need", F.greatest(need, F.lit(1))).withColumn("_m", F.least(F.lit(FIRST_MET), "_need"))
+    # The words looked for are bits of a long; an entry with more is compared when one is met.
+    sized = sized.withColumn("_m", F.when(F.size("_r") - F.col("_need") + F.col("_m") > 64, F.lit(1)).otherwise(F.col("_m")))
+    looked = sized.select("_entry", "_m", F.posexplode(F.slice("_r", F.lit(1), F.size("_r") - F.col("_need") + F.col("_m"))).alias("_at", "_w"))
+    postings = looked.groupBy(F.col("_w._word").alias("_word")).agg(F.collect_list(F.struct("_entry", "_m", F.expr("shiftleft(1L, _at % 64)").alias("_bit"))).alias("_posted"))
+    index = postings.join(rarity.select("_word", "_four"), "_word")
+    small_ = (lambda df: F.broadcast(df)) if holds.count() <= most_broadcast else (lambda df: df)
+    base = claims.withColumn("_key", F.xxhash64(*[c for c, kind in claims.dtypes if "map<" not in kind]))
+    # Not explode(): Spark would add a filter on the array's size and push it, with all that makes the array, below.
+    runs = base.select("_key", F.explode_outer(tokens(F.col("claim"))).alias("_token")).filter("_token is not null")
+    met = _fours(runs, "_token").join(small_(index), "_four").filter(F.contains("_token", F.col("_word"))).select("_key", F.explode("_posted").alias("_p"))
+    pairs = met.groupBy("_key", F.col("_p._entry").alias("_entry")).agg(F.bit_or("_p._bit").alias("_bits"), F.max("_p._m").alias("_m")).filter(F.bit_count("_bits") >= F.col("_m")).select("_key", "_entry")
+    candidates = pairs.repartition("_key").join(small_(entries), "_entry").groupBy("_key").agg(F.collect_list(F.struct("_entry", "_words")).alias("_near"))
+    # Only the tokens go on to be compared.  Rows with equal keys are compared each by its own, so a key that two texts share does no harm.
+    held = base.withColumn("_text", F.array_join(tokens(F.col("claim")), " "))
+    score = lambda e: F.size(F.filter(e["_words"], lambda w: F.contains(F.col("_text"), w))) / F.size(e["_words"])
+    scored = F.transform(F.col("_near"), lambda e: F.struct((-score(e)).alias("_s"), e["_entry"].alias("_entry")))
     # The greatest score; of equal ones the least entry.
-    top = scored.groupBy("_key").agg(F.max("_s").alias("_s"), F.min_by("_entry", F.struct(-F.col("_s"), F.col("_entry"))).alias("_entry"))
-    out = base.join(top, "_key", "left")
-    return out.select("_claim.*", F.col("_entry").alias("entry"), F.col("_s").alias("score"))
+    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["_s"] <= -least)), 1, 1)
+    out = held.join(candidates, "_key", "inner" if only_found else "left").select(*claims.columns, F.explode_outer(best).alias("_best"))
+    out = out.filter("_best is not null") if only_found else out
+    return out.select(*claims.columns, F.col("_best._entry").alias("entry"), (-F.col("_best._s")).alias("score"))

@@ -86,8 +86,8 @@ _CLEAN = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'),
  SELECT doc_id, CAST(pos AS INT) AS pos, item_id AS entry, {D.rnd('o', 3)} AS score FROM s JOIN b USING (c)""")
 def claims_in_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentences = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("pos", "claim")).filter("claim is not null")
-    found = Q.nearest_claim(sentences, _registry(spark, sf_dir))
-    return found.filter("entry is not null").select("doc_id", "pos", "entry", round_half_up(F.col("score"), 3).alias("score"))
+    found = Q.nearest_claim(sentences, _registry(spark, sf_dir), only_found=True)
+    return found.select("doc_id", "pos", "entry", round_half_up(F.col("score"), 3).alias("score"))
 
 
 @query(f"SELECT DISTINCT unnest([t, regexp_replace(t, '[^0-9.,]', '', 'g')]) AS value FROM (SELECT unnest({D.claim_numbers()}) AS t FROM documents)")
